@@ -58,7 +58,7 @@ class Rolling:
 _FIRST = {"sum": F.sum, "mean": F.sum, "max": F.max, "min": F.min}
 
 
-def tile_factors(n: int, largest: int = 14) -> list[int]:
+def tile_factors(n: int, largest: int = 8) -> list[int]:
     """Split n into factors of at most `largest`, smallest first; a big prime stays whole."""
     factors, rest = [], n
     while rest > largest:

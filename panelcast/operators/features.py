@@ -36,10 +36,12 @@ def complete_rows(features: DataFrame) -> DataFrame:
 
 def feature_columns(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
     """All feature columns before the completeness filter (warm-up rows carry nulls)."""
-    steps = bars.select("ticker", "date", *OHLCV).transform(trend_inputs).transform(rolling_inputs)
-    smooth = with_ewm(steps, [("__ema12", "Close", 12), ("__ema26", "Close", 26)])
-    smooth = with_ewm(smooth.withColumn("MACD", F.col("__ema12") - F.col("__ema26")), [("MACD_signal", "MACD", 9)])
-    return join_market(smooth, market).transform(derived_columns)
+    # Smoothing re-sorts by block, so it runs early, while rows are still narrow.
+    base = join_market(bars.select("ticker", "date", *OHLCV), market)
+    smooth = with_ewm(base, [("__ema12", "Close", 12), ("__ema26", "Close", 26)])
+    smooth = with_ewm(smooth.select("*", (F.col("__ema12") - F.col("__ema26")).alias("MACD")), [("MACD_signal", "MACD", 9)])
+    steps = smooth.drop("__ema12", "__ema26").transform(trend_inputs).transform(rolling_inputs)
+    return derived_columns(steps)
 
 
 def trend_inputs(bars: DataFrame) -> DataFrame:

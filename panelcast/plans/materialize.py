@@ -23,7 +23,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     This cuts the lineage: lost executors re-read files instead of recomputing the chain,
     and later readers get column pruning and filter pushdown.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/panelcast/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
