@@ -14,15 +14,13 @@ from panelcast.operators.metrics import pinball_loss
 from panelcast.plans.quantiles import exact_quantiles
 
 
-def blend(a: str | Column, b: str | Column, w: Column) -> Column:
-    """w a + (1 - w) b per quantile, re-sorted so quantiles never cross."""
-    return F.sort_array(F.zip_with(col(a), col(b), lambda x, y: w * x + (F.lit(1.0) - w) * y))
+def blend(a: str | Column, b: str | Column, w: Column, size: int = len(DEFAULTS.quantiles)) -> Column:
+    """w a + (1 - w) b per quantile, re-sorted so quantiles never cross.
 
-
-def blend_quantiles(a: str, b: str, w: Column, size: int) -> list[Column]:
-    """Same as blend, as separate columns, which keeps whole-stage code generation."""
-    mixed = F.array(*[w * F.col(a)[i] + (F.lit(1.0) - w) * F.col(b)[i] for i in range(size)])
-    return [F.sort_array(mixed)[i] for i in range(size)]
+    Element by element rather than with a lambda, which would leave generated code.
+    """
+    a, b = col(a), col(b)
+    return F.sort_array(F.array(*[w * a[i] + (F.lit(1.0) - w) * b[i] for i in range(size)]))
 
 
 def fit_blend_weights(preds: DataFrame, a: str, b: str, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
@@ -33,7 +31,7 @@ def fit_blend_weights(preds: DataFrame, a: str, b: str, cfg: ForecastConfig = DE
     steps = cfg.blend_steps
     weights = [i / steps for i in range(steps + 1)]
     losses = [
-        F.avg(pinball_loss(F.col("y"), blend(a, b, F.lit(w)), cfg.quantiles)).alias(f"l{i}") for i, w in enumerate(weights)
+        F.avg(pinball_loss(F.col("y"), blend(a, b, F.lit(w), len(cfg.quantiles)), cfg.quantiles)).alias(f"l{i}") for i, w in enumerate(weights)
     ]
     scored = preds.groupBy("horizon").agg(*losses)
     curve = F.array(*[F.col(f"l{i}") for i in range(len(weights))])
@@ -72,7 +70,7 @@ def fit_ensemble(preds: DataFrame, a: str, b: str, cfg: ForecastConfig = DEFAULT
     if validation.isEmpty():
         return fit_blend_weights(preds, a, b, cfg).withColumn("delta", F.lit(None).cast("double"))
     weights = fit_blend_weights(validation, a, b, cfg)
-    blended = validation.join(F.broadcast(weights), "horizon").withColumn("__q", blend(a, b, F.col("w")))
+    blended = validation.join(F.broadcast(weights), "horizon").withColumn("__q", blend(a, b, F.col("w"), len(cfg.quantiles)))
     return weights.join(fit_conformal(blended, "__q", cfg), "horizon")
 
 
