@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.config import DEFAULTS, ForecastConfig
-from panelcast.functions.windows import Decay, full_frame, series, with_decay
+from panelcast.functions.windows import Decay, Rolling, series, with_decay, with_rolling
 
 # The (alpha, beta) grid searched by garch_volatility.
 GARCH_GRID = tuple((a, b) for b in (0.80, 0.88, 0.94) for a in (0.03, 0.05, 0.10))
@@ -20,11 +20,17 @@ def log_prices(bars: DataFrame) -> DataFrame:
 
 
 def trailing_volatility(bars: DataFrame, rows: int = 252) -> DataFrame:
-    """(ticker, date, log_price, sigma): sd of the last `rows` one-day log returns."""
+    """(ticker, date, log_price, sigma): sample sd of the last `rows` one-day log returns.
+
+    From rolling sums of the returns and their squares. Daily returns are centred near zero,
+    so the subtraction loses no digits, and long sums are cheap to tile.
+    """
     w = series()
-    moves = log_prices(bars).withColumn("__r", F.col("log_price") - F.lag("log_price").over(w))
-    sigma = full_frame(F.stddev_samp("__r"), "__r", w, rows)
-    return moves.select("ticker", "date", "log_price", sigma.alias("sigma"))
+    r = F.col("log_price") - F.lag("log_price").over(w)
+    moves = log_prices(bars).select("*", r.alias("__r"), (r * r).alias("__rr"))
+    sums = with_rolling(moves, [Rolling("__s", "sum", "__r", rows), Rolling("__ss", "sum", "__rr", rows)], w)
+    spread = F.col("__ss") - F.col("__s") * F.col("__s") / rows
+    return sums.select("ticker", "date", "log_price", F.sqrt(F.greatest(spread, F.lit(0.0)) / (rows - 1)).alias("sigma"))
 
 
 class SeriesVol:

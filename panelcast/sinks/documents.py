@@ -61,7 +61,8 @@ def model_card(scores: DataFrame, params: DataFrame | None = None) -> DataFrame:
     """(ord, value): the lines of the model card, n/a for undefined values."""
 
     def shown(c: str) -> Column:
-        return F.coalesce(F.format_string("%.4f", finite_or_null(c)), F.lit("n/a"))
+        v = finite_or_null(c)
+        return F.when(v.isNull(), F.lit("n/a")).otherwise(F.format_string("%.4f", v))
 
     rank = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("section")), F.lit(0))
     metric_line = F.concat(

@@ -31,8 +31,20 @@ def _q(needs: list[str], sql: str) -> str:
     return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else sql
 
 
+# Short decimals by construction: rounded late enough that no value sits on a tie.
+SHORT_DECIMALS = {"Open", "High", "Low", "Close", "Volume", "SMA_10", "SMA_50", "SMA_200", "Volume_SMA_20", "MOM_5",
+                  "body_size", "upper_shadow", "lower_shadow", "p10", "p50", "p90"}
+
+
+SIX_DIGITS = {"BB_upper", "BB_lower"}
+
+
+def digits_of(column: str, default: int) -> int:
+    return 8 if column in SHORT_DECIMALS else 6 if column in SIX_DIGITS else default
+
+
 def _r(cols: list[str], digits: int = 4) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    return ", ".join(f"round({c}, {digits_of(c.strip(chr(34)), digits)}) AS {c}" for c in cols)
 
 
 TICKER = "'S' || lpad(CAST(l_suppkey AS VARCHAR), 7, '0')"
@@ -187,9 +199,9 @@ _cte("weight", ["curve"], """SELECT horizon, w FROM curve QUALIFY row_number() O
 _cte("mixed", ["pair", "weight"], f"""SELECT p.* EXCLUDE (a10, a50, a90, b10, b50, b90), w, {_mix('w')} FROM pair p JOIN weight USING (horizon)""")
 _cte("score", ["mixed"], """SELECT horizon, greatest(q10 - y, y - q90) AS s, row_number() OVER (PARTITION BY horizon ORDER BY greatest(q10 - y, y - q90)) - 1 AS i,
     count(*) OVER (PARTITION BY horizon) AS n FROM mixed WHERE split = 'val'""")
-_cte("rankat", ["score"], """SELECT horizon, s, i, (n - 1) * least(1, ceil((n + 1) * CAST(0.8 AS DOUBLE)) / n) AS at FROM score""")
-_cte("delta", ["rankat"], """SELECT horizon, max(CASE WHEN i = floor(at) THEN s END) + (max(CASE WHEN i = ceil(at) THEN s END)
-    - max(CASE WHEN i = floor(at) THEN s END)) * max(at - floor(at)) AS delta FROM rankat GROUP BY horizon""")
+_cte("rankat", ["score"], """SELECT horizon, s, i, (n - 1) * least(1, ceil((n + 1) * CAST(0.8 AS DOUBLE)) / n) AS pos FROM score""")
+_cte("delta", ["rankat"], """SELECT horizon, max(CASE WHEN i = floor(pos) THEN s END) + (max(CASE WHEN i = ceil(pos) THEN s END)
+    - max(CASE WHEN i = floor(pos) THEN s END)) * max(pos - floor(pos)) AS delta FROM rankat GROUP BY horizon""")
 _cte("params", ["weight", "delta"], "SELECT horizon, w, delta FROM weight JOIN delta USING (horizon)")
 _E = _sorted3("q10 - delta", "q50", "q90 + delta")
 _cte("ens", ["mixed", "delta"], f"""SELECT fold, split, ticker, end_date, horizon, y, {_E[0]} AS e10, {_E[1]} AS e50, {_E[2]} AS e90
@@ -323,7 +335,7 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
             FROM panel p JOIN macd m ON p.ticker = m.ticker AND p.end_date = m.date"""),
         "panel_written": _q(["panel"], "SELECT ticker, count(*) AS n, round(sum(base_close), 3) AS base_close, max(end_date) AS last FROM panel GROUP BY ticker"),
         "month_anchors": _q(["anchors"], "SELECT ticker, end_date, base_close, round(y_1m, 6) AS y_1m FROM anchors"),
-        "latest_features": _q(["latest"], """SELECT ticker, end_date, round("Close", 4) AS "Close", round("SMA_50", 4) AS "SMA_50",
+        "latest_features": _q(["latest"], """SELECT ticker, end_date, round("Close", 8) AS "Close", round("SMA_50", 8) AS "SMA_50",
             round("RSI_14", 4) AS "RSI_14", round("Close", 4) AS base_close FROM latest"""),
         "business_days": f"""SELECT d, {', '.join(f'{_busday("d", n)} AS plus_{n}' for n in (1, 3, 5, 126))}
             FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)""",
@@ -362,7 +374,7 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "ensemble_makeup": _q(["params"], "SELECT horizon, round(w, 6) AS w, round(1 - w, 6) AS other, round(delta, 6) AS delta FROM params"),
         "drift": _q(["panel", "macd"], "SELECT feature, round(mean, 3) AS mean, round(std, 3) AS std FROM (" + " UNION ALL ".join(
             f"""SELECT '{c.strip('"')}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std FROM panel p JOIN macd m ON p.ticker = m.ticker AND p.end_date = m.date"""
-            if "MACD" in c else f"""SELECT '{c.strip('"')}', avg({c}), stddev_samp({c}) FROM panel""" for c in FEATURE_COLS) + ")"),
+            if "MACD" in c else f"""SELECT '{c.strip('"')}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std FROM panel""" for c in FEATURE_COLS) + ")"),
         "bt_selection": _q(["sel"], "SELECT end_date, ticker, n, k, CAST(i > n - k AS INTEGER) AS is_long, CAST(i <= k AS INTEGER) AS is_short FROM sel"),
         "bt_monthly": _q(["monthly"], f"SELECT end_date, {_r(['long_short', 'long_only', 'benchmark', 'turnover'], 6)} FROM monthly"),
         "bt_stats": _q(["eq"], f"""SELECT book, {_STAT}, CASE WHEN book <> 'benchmark' THEN round(avg(turnover), 3) END AS avg_turnover FROM eq GROUP BY book"""),

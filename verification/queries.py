@@ -32,6 +32,7 @@ from panelcast.sources.bars import daily_bars, normalise_symbol, read_bars, tick
 from panelcast.sources.reference_data import constituents, read_metrics_params
 from verification import datasets as ds
 from verification.datasets import BOOK, CFG, SHORT_SERIES
+from verification.oracles import digits_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +44,7 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: F.round(c, digits_of(c, digits)) for c in cols})
 
 
 def with_quantiles(df: DataFrame, q: str, *keep: str, digits: int = 6) -> DataFrame:
