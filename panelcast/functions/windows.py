@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelcast.functions.numbers import all_set, col, total
 
-_BLOCK, _POS = "__block", "__pos"
+BLOCK, POS = "__block", "__pos"
 
 
 def series(key: str = "ticker", order: str = "date") -> WindowSpec:
@@ -47,12 +47,22 @@ def full_frame(agg: Column, c: str | Column, w: WindowSpec, n: int) -> Column:
 
 @dataclass(frozen=True)
 class Rolling:
-    """One rolling statistic: kind is 'sum', 'mean', 'max' or 'min' over n rows of source."""
+    """One rolling statistic: kind is 'sum', 'mean', 'max' or 'min' over n rows of source.
+
+    The result is null unless `guard` (the source itself by default) has n non-null values
+    in the frame. Sources that are null together should share a guard: it is counted once.
+    """
 
     out: str
     kind: str
     source: str
     n: int
+    guard: str | None = None
+
+    def tile(self, width: int) -> str:
+        """Name of the partial result over `width` rows, shared between statistics."""
+        kind = "sum" if self.kind == "mean" else self.kind
+        return f"__{kind}_{self.source}_{self.guard or self.source}_{width}"
 
 
 _FIRST = {"sum": F.sum, "mean": F.sum, "max": F.max, "min": F.min}
@@ -71,26 +81,28 @@ def tile_factors(n: int, largest: int = 8) -> list[int]:
 
 
 def with_rolling(df: DataFrame, specs: Iterable[Rolling], w: WindowSpec) -> DataFrame:
-    """Append rolling statistics; null where fewer than n non-null values are in the frame."""
+    """Append rolling statistics, each composed level by level from shared shorter tiles."""
     specs = list(specs)
-    keep = df.columns
     plans = [tile_factors(s.n) for s in specs]
-    stage = df.select(
-        "*",
-        *[full_frame(_FIRST[s.kind](col(s.source)), s.source, w, p[0]).alias(s.out) for s, p in zip(specs, plans)],
-    )
+    made: dict[str, Column] = {}
+    for s, p in zip(specs, plans):
+        frame = last_rows(w, p[0])
+        whole = F.count(col(s.guard or s.source)).over(frame) == p[0]
+        made[s.tile(p[0])] = F.when(whole, _FIRST[s.kind](col(s.source)).over(frame))
+    stage, have = df.select("*", *[c.alias(n) for n, c in made.items()]), set(made)
     for level in range(1, max(len(p) for p in plans)):
-        grown = []
+        made = {}
         for s, p in zip(specs, plans):
             if level < len(p):
-                stride = math.prod(p[:level])
-                parts = [col(s.out)] + [F.lag(s.out, stride * k).over(w) for k in range(1, p[level])]
-                grown.append(_combine(s.kind, parts).alias(s.out))
-            else:
-                grown.append(col(s.out))
-        stage = stage.select(*keep, *grown)
-    means = [(col(s.out) / s.n if s.kind == "mean" else col(s.out)).alias(s.out) for s in specs]
-    return stage.select(*keep, *means)
+                stride, width = math.prod(p[:level]), math.prod(p[: level + 1])
+                part = s.tile(stride)
+                parts = [col(part)] + [F.lag(part, stride * k).over(w) for k in range(1, p[level])]
+                made[s.tile(width)] = _combine(s.kind, parts)
+        fresh = {n: c for n, c in made.items() if n not in have}
+        stage = stage.select("*", *[c.alias(n) for n, c in fresh.items()])
+        have |= set(fresh)
+    finished = [(col(s.tile(s.n)) / s.n if s.kind == "mean" else col(s.tile(s.n))).alias(s.out) for s in specs]
+    return stage.select(*df.columns, *finished)
 
 
 def _combine(kind: str, parts: Sequence[Column]) -> Column:
@@ -109,34 +121,39 @@ class Decay:
     keep: float
 
 
-def with_decay(df: DataFrame, specs: Iterable[Decay], key: str = "ticker", order: str = "date") -> DataFrame:
-    """Append linear recurrences, exact to double precision.
+def in_blocks(df: DataFrame, block: int = 256, key: str = "ticker", order: str = "date") -> DataFrame:
+    """Number each series' rows and cut them into blocks: adds BLOCK and POS columns."""
+    at = F.row_number().over(series(key, order)) - 1
+    return df.withColumn(POS, at).withColumn(BLOCK, F.floor(F.col(POS) / block)).withColumn(POS, F.col(POS) % block)
+
 
-    Rows are cut into blocks short enough that keep**-block stays far from overflow. Inside
-    a block the recurrence is a prefix sum of source * keep**-position; the value carried in
-    from earlier blocks is a short geometric series of block totals, truncated where its
-    weight drops below 1e-18.
+def block_series(key: str = "ticker", order: str = "date") -> WindowSpec:
+    """The order of `series`, spelled so that per-block windows share its sort."""
+    return Window.partitionBy(key).orderBy(BLOCK, order)
+
+
+def with_decay(df: DataFrame, specs: Iterable[Decay], block: int = 256, key: str = "ticker", order: str = "date") -> DataFrame:
+    """Append linear recurrences, exact to double precision, to rows cut by `in_blocks`.
+
+    Inside a block the recurrence is a prefix sum of source * keep**-position; the value
+    carried in from earlier blocks is a short geometric series of block totals, truncated
+    where its weight drops below 1e-18.
     """
     specs = list(specs)
     names = df.columns
     speeds = [-math.log(s.keep) for s in specs]
-    block = max(8, min(256, int(250 / max(speeds))))
-    days = series(key, order)
-    numbered = (
-        df.withColumn(_POS, F.row_number().over(days) - 1)
-        .withColumn(_BLOCK, F.floor(F.col(_POS) / block))
-        .withColumn(_POS, F.col(_POS) % block)
-    )
-    in_block = Window.partitionBy(key, _BLOCK).orderBy(order)
-    across = Window.partitionBy(key).orderBy(_BLOCK, order)
+    if max(speeds) * block > 600:
+        raise ValueError("block too long for this decay: keep**-block would overflow")
+    in_block = Window.partitionBy(key, BLOCK).orderBy(order)
+    across = block_series(key, order)
 
     def power(keep: float, exponent: Column) -> Column:
         return F.pow(F.lit(keep), exponent)
 
-    local = numbered.select(
-        *names, _BLOCK, _POS,
+    local = df.select(
+        *names,
         *[
-            (power(s.keep, F.col(_POS)) * F.sum(col(s.source) * power(1 / s.keep, F.col(_POS))).over(so_far(in_block))).alias(s.out)
+            (power(s.keep, F.col(POS)) * F.sum(col(s.source) * power(1 / s.keep, F.col(POS))).over(so_far(in_block))).alias(s.out)
             for s in specs
         ],
     )
@@ -147,7 +164,7 @@ def with_decay(df: DataFrame, specs: Iterable[Decay], key: str = "ticker", order
             F.coalesce(F.lag(s.out, block * k).over(across), F.lit(0.0)) * (s.keep ** (block * k))
             for k in range(1, reach + 1)
         ]
-        return F.when(F.col(_POS) == block - 1, total([F.col(s.out), *older])).alias(f"__end_{s.out}")
+        return F.when(F.col(POS) == block - 1, total([F.col(s.out), *older])).alias(f"__end_{s.out}")
 
     ends = local.select("*", *[block_end(s, v) for s, v in zip(specs, speeds)])
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -157,7 +174,7 @@ def with_decay(df: DataFrame, specs: Iterable[Decay], key: str = "ticker", order
             (
                 F.col(s.out)
                 + F.coalesce(F.last(f"__end_{s.out}", ignorenulls=True).over(before), F.lit(0.0))
-                * power(s.keep, F.col(_POS) + 1)
+                * power(s.keep, F.col(POS) + 1)
             ).alias(s.out)
             for s in specs
         ],
@@ -165,14 +182,14 @@ def with_decay(df: DataFrame, specs: Iterable[Decay], key: str = "ticker", order
 
 
 def with_ewm(df: DataFrame, specs: Iterable[tuple[str, str, int]], key: str = "ticker", order: str = "date") -> DataFrame:
-    """Append exponential moving averages, given as (out, source, span).
+    """Append exponential moving averages, given as (out, source, span), to rows cut by
+    `in_blocks`.
 
     Recursive form: starts at the first value, then moves by 2 / (span + 1) of the gap.
     """
-    first = F.row_number().over(series(key, order)) == 1
-    marked = df.withColumn("__first", first)
+    first = (F.col(BLOCK) == 0) & (F.col(POS) == 0)
     decays = []
     for out, source, span in specs:
         step = 2.0 / (span + 1.0)
-        decays.append(Decay(out, F.when(F.col("__first"), F.col(source)).otherwise(F.col(source) * step), 1.0 - step))
-    return with_decay(marked, decays, key, order).drop("__first")
+        decays.append(Decay(out, F.when(first, F.col(source)).otherwise(F.col(source) * step), 1.0 - step))
+    return with_decay(df, decays, key=key, order=order)

@@ -124,9 +124,10 @@ def fold_roles(panel: DataFrame, folds: list[Fold]) -> DataFrame:
     member = F.array(
         *[F.struct(F.lit(f.fold).alias("fold"), F.when(in_train(f), "train").when(in_test(f), "test").alias("role")) for f in folds]
     )
-    taking_part = F.filter(member, lambda m: m["role"].isNotNull())
-    return panel.select("*", F.explode(taking_part).alias("__m")).select(
-        *panel.columns, F.col("__m.fold").alias("fold"), F.col("__m.role").alias("role")
+    return (
+        panel.select("*", F.explode(member).alias("__m"))
+        .select(*panel.columns, F.col("__m.fold").alias("fold"), F.col("__m.role").alias("role"))
+        .where(F.col("role").isNotNull())
     )
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelcast.functions.numbers import flag, safe_div
-from panelcast.functions.windows import Rolling, forward_fill, full_frame, series, so_far, with_ewm, with_rolling
+from panelcast.functions.numbers import all_set, flag, safe_div
+from panelcast.functions.windows import (
+    Rolling, block_series, forward_fill, full_frame, in_blocks, series, so_far, with_ewm, with_rolling,
+)
 from panelcast.schemas import FEATURES, MARKET_COLS, OHLCV
 
 TINY = 1e-9
@@ -26,27 +28,42 @@ def join_market(bars: DataFrame, market: DataFrame | None) -> DataFrame:
 
 
 def compute_features(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
-    """(ticker, date, 35 features), keeping only rows where every feature is present."""
-    return complete_rows(feature_columns(bars, market))
+    """(ticker, date, 35 features), keeping only rows where every feature is present.
+
+    Equal to `complete_rows(feature_columns(...))`. The check is made on the window results
+    that the features are computed from: testing the 35 finished expressions would compute
+    them twice, in a generated method too long for the JVM to compile.
+    """
+    return derived_columns(_prepared(bars, market).transform(_complete_inputs))
 
 
 def complete_rows(features: DataFrame) -> DataFrame:
     return features.na.drop(subset=FEATURES).select("ticker", "date", *FEATURES)
 
 
+def _complete_inputs(prepared: DataFrame) -> DataFrame:
+    helpers = ("__sma20", "__sd20", "__gain14", "__high14", "__low14", "__high252", "__low252", "__obv", "__obv252")
+    needed = [c for c in FEATURES if c in prepared.columns] + list(helpers)
+    return prepared.where((F.col("__loss14") != 0) & all_set([F.col(c) for c in needed]))
+
+
 def feature_columns(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
     """All feature columns before the completeness filter (warm-up rows carry nulls)."""
-    # Smoothing re-sorts by block, so it runs early, while rows are still narrow.
-    base = join_market(bars.select("ticker", "date", *OHLCV), market)
+    return derived_columns(_prepared(bars, market))
+
+
+def _prepared(bars: DataFrame, market: DataFrame | None) -> DataFrame:
+    """Bars with every window result the features need."""
+    # From here on all windows are ordered by (block, date), so they share one sort.
+    base = in_blocks(join_market(bars.select("ticker", "date", *OHLCV), market))
     smooth = with_ewm(base, [("__ema12", "Close", 12), ("__ema26", "Close", 26)])
     smooth = with_ewm(smooth.select("*", (F.col("__ema12") - F.col("__ema26")).alias("MACD")), [("MACD_signal", "MACD", 9)])
-    steps = smooth.drop("__ema12", "__ema26").transform(trend_inputs).transform(rolling_inputs)
-    return derived_columns(steps)
+    return smooth.drop("__ema12", "__ema26").transform(trend_inputs).transform(rolling_inputs)
 
 
 def trend_inputs(bars: DataFrame) -> DataFrame:
     """Row-to-row quantities: lags, gains and losses, true range, signed volume."""
-    w = series()
+    w = block_series()
     lagged = bars.select(
         "*",
         F.lag("Close").over(w).alias("__prev_close"),
@@ -73,27 +90,30 @@ def trend_inputs(bars: DataFrame) -> DataFrame:
 
 
 def rolling_inputs(df: DataFrame) -> DataFrame:
-    w = series()
-    with_obv = df.select("*", F.sum("__flow").over(so_far(w)).alias("__obv"))
+    """Rolling means, extremes and deviations. Bars are complete, so one count of Close per
+    frame guards all of them; gains and losses miss the first row and share their own."""
+    w = block_series()
+    with_obv = df.select(
+        "*",
+        F.sum("__flow").over(so_far(w)).alias("__obv"),
+        full_frame(F.stddev_samp("Close"), "Close", w, 20).alias("__sd20"),
+    )
     rolled = with_rolling(
-        with_obv.select(
-            "*",
-            full_frame(F.stddev_samp("Close"), "Close", w, 20).alias("__sd20"),
-        ),
+        with_obv,
         [
             Rolling("SMA_10", "mean", "Close", 10),
             Rolling("SMA_50", "mean", "Close", 50),
             Rolling("SMA_200", "mean", "Close", 200),
             Rolling("__sma20", "mean", "Close", 20),
             Rolling("__gain14", "mean", "__gain", 14),
-            Rolling("__loss14", "mean", "__loss", 14),
-            Rolling("__high14", "max", "High", 14),
-            Rolling("__low14", "min", "Low", 14),
-            Rolling("ATR_14", "mean", "__range", 14),
-            Rolling("Volume_SMA_20", "mean", "Volume", 20),
-            Rolling("__high252", "max", "High", 252),
-            Rolling("__low252", "min", "Low", 252),
-            Rolling("__obv252", "max", "__obv", 252),
+            Rolling("__loss14", "mean", "__loss", 14, "__gain"),
+            Rolling("__high14", "max", "High", 14, "Close"),
+            Rolling("__low14", "min", "Low", 14, "Close"),
+            Rolling("ATR_14", "mean", "__range", 14, "Close"),
+            Rolling("Volume_SMA_20", "mean", "Volume", 20, "Close"),
+            Rolling("__high252", "max", "High", 252, "Close"),
+            Rolling("__low252", "min", "Low", 252, "Close"),
+            Rolling("__obv252", "max", "__obv", 252, "Close"),
         ],
         w,
     )

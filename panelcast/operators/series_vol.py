@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.config import DEFAULTS, ForecastConfig
-from panelcast.functions.windows import Decay, Rolling, series, with_decay, with_rolling
+from panelcast.functions.windows import Decay, Rolling, in_blocks, series, with_decay, with_rolling
 
 # The (alpha, beta) grid searched by garch_volatility.
 GARCH_GRID = tuple((a, b) for b in (0.80, 0.88, 0.94) for a in (0.03, 0.05, 0.10))
@@ -110,7 +110,7 @@ def garch_volatility(returns: DataFrame, horizon: int, order: str = "date") -> D
         (F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc(order))) == 1).alias("__last"),
     )
     betas = sorted({b for _, b in GARCH_GRID})
-    shocks = with_decay(squared, [Decay(f"__d{i}", "__x", b) for i, b in enumerate(betas)], order=order)
+    shocks = with_decay(in_blocks(squared, order=order), [Decay(f"__d{i}", "__x", b) for i, b in enumerate(betas)], order=order)
     lagged = shocks.select("*", *[F.coalesce(F.lag(f"__d{i}").over(w), F.lit(0.0)).alias(f"__l{i}") for i in range(len(betas))])
 
     def variance(alpha: float, beta: float, decayed: Column, steps: Column) -> Column:

@@ -37,13 +37,15 @@ def tickers(bars: DataFrame) -> DataFrame:
     return bars.select("ticker").distinct()
 
 
-def daily_bars(ticks: DataFrame, key: str, ts: str, price: str, quantity: str, order: list[str]) -> DataFrame:
+def daily_bars(ticks: DataFrame, key: str, ts: str, price: str, quantity: str, order: str | None = None) -> DataFrame:
     """Resample ticks to one bar per key and day.
 
     One aggregation with map-side partial results, so a key that holds a large part of the
-    ticks costs no more than one partial row per task and day.
+    ticks costs no more than one partial row per task and day. `order` is a single numeric or
+    time column (the timestamp by default): with fixed-width state Spark aggregates by hash,
+    where a struct would make it sort all ticks.
     """
-    at = F.struct(F.col(ts), *[F.col(c) for c in order])
+    at = order or ts
     return ticks.groupBy(F.col(key).alias("ticker"), F.to_date(ts).alias("date")).agg(
         F.min_by(price, at).alias("Open"),
         F.max(price).alias("High"),
@@ -60,14 +62,15 @@ def dense_days(days: DataFrame, values: list[str], first: Column, last: Column)
     calendar is filled without joining tickers to dates.
     """
     w = series()
+    # Days are generated as integers: date sequences step through calendar intervals.
     spans = days.select(
         "ticker", "date", *values,
         F.when(F.row_number().over(w) == 1, first).otherwise(F.col("date")).alias("lo"),
         F.date_sub(F.lead("date").over(w), 1).alias("hi"),
     ).select(
         "ticker", F.col("date").alias("seen"), *values,
-        F.explode(F.sequence("lo", F.coalesce("hi", last))).alias("date"),
-    )
+        F.explode(F.sequence(F.unix_date("lo"), F.unix_date(F.coalesce("hi", last)))).alias("date"),
+    ).withColumn("date", F.date_from_unix_date("date"))
     return spans.where(is_weekday("date")).select(
         "ticker", "date", *[F.when(F.col("date") == F.col("seen"), F.col(v)).alias(v) for v in values]
     )

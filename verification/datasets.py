@@ -12,7 +12,7 @@ from panelcast.functions.windows import full_frame
 from panelcast.operators.backtest import monthly_returns
 from panelcast.operators.cv import Fold, scored_anchors, walk_forward_folds
 from panelcast.operators.ensemble import apply_ensemble, fit_ensemble
-from panelcast.operators.features import compute_features
+from panelcast.operators.features import complete_rows, feature_columns
 from panelcast.operators.metrics import score_table
 from panelcast.operators.panel import latest_rows, month_end_anchors, panel_from_features
 from panelcast.operators.quality import clean
@@ -61,6 +61,11 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def line_order():
+    """Order lines within a day, as one number."""
+    return F.col("l_orderkey") * 16 + F.col("l_linenumber")
+
+
 @once
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(walk_bars(ticks(spark, sf)), "bars")
@@ -90,17 +95,20 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars straight from ticks, with missing and negative closes by a rule on volume."""
-    daily = daily_bars(
-        table(spark, sf, "lineitem").withColumn("ticker", supplier_ticker("l_suppkey")),
-        "ticker", "l_shipdate", "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber", "l_extendedprice"],
-    )
+    lines = table(spark, sf, "lineitem").withColumns({"ticker": supplier_ticker("l_suppkey"), "line": line_order()})
+    daily = daily_bars(lines, "ticker", "l_shipdate", "l_extendedprice", "l_quantity", "line")
     spoiled = F.when(F.col("Volume") % 23 == 0, F.lit(None)).when(F.col("Volume") % 29 == 0, -F.col("Close"))
     return daily.withColumn("Close", F.when(F.col("Volume") % 23 != 0, F.coalesce(spoiled, F.col("Close"))))
 
 
 @once
+def all_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All feature columns, warm-up rows included."""
+    return materialize(feature_columns(clean(bars(spark, sf), CFG), market(spark, sf)), "features")
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(compute_features(clean(bars(spark, sf), CFG), market(spark, sf)), "features")
+    return complete_rows(all_features(spark, sf))
 
 
 @once

@@ -306,8 +306,8 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
             first(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS "Open", max(l_extendedprice) AS "High",
             min(l_extendedprice) AS "Low", last(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS "Close",
             round(sum(l_quantity), 4) AS "Volume" FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
-        "bars_hourly_events": """SELECT event_type AS ticker, date_trunc('hour', ts) AS hour, first(value ORDER BY ts, event_id) AS "Open",
-            max(value) AS "High", min(value) AS "Low", last(value ORDER BY ts, event_id) AS "Close", count(*) AS n FROM events GROUP BY 1, 2""",
+        "bars_hourly_events": """SELECT event_type AS ticker, date_trunc('hour', ts) AS hour, first(value ORDER BY event_id) AS "Open",
+            max(value) AS "High", min(value) AS "Low", last(value ORDER BY event_id) AS "Close", count(*) AS n FROM events GROUP BY 1, 2""",
         "symbol_normalise": "SELECT upper(replace(lower(p_brand) || '.' || p_size, '.', '-')) AS symbol, count(*) AS n FROM part GROUP BY 1",
         "bars_walk": _q(["bars"], f"""SELECT ticker, date, {_r(['"Open"', '"High"', '"Low"', '"Close"'])}, "Volume" FROM bars"""),
         "bars_cache_scan": _q(["raw"], """SELECT ticker, count(*) AS n, max(date) AS last FROM raw WHERE "Close" IS NOT NULL GROUP BY ticker"""),

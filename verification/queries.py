@@ -16,14 +16,14 @@ from panelcast.operators import quality, views
 from panelcast.operators.baselines import HistoricalQuantile, RandomWalk, training_labels
 from panelcast.operators.cv import fold_blocks, fold_roles, scored_anchors, walk_forward_folds
 from panelcast.operators.ensemble import align_predictions
-from panelcast.operators.features import complete_rows, feature_columns, join_market
+from panelcast.operators.features import compute_features, join_market
 from panelcast.operators.metrics import drift_reference, score_table
 from panelcast.operators.panel import latest_rows, month_end_anchors, sliding_windows
 from panelcast.operators.series_vol import (
     SeriesVol, garch_volatility, log_prices, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
 )
 from panelcast.operators.trees import LeafQuantileForest, boosted_quantiles
-from panelcast.plans.materialize import materialize, shared_folder
+from panelcast.plans.materialize import shared_folder
 from panelcast.plans.training import anchor_rows, out_of_sample_signal
 from panelcast.schemas import FEATURES, MARKET_COLS
 from panelcast.sinks.documents import flat_metrics, metrics_document, model_card, write_one_document
@@ -59,8 +59,7 @@ def bars_daily(spark, sf):
     lines = ds.table(spark, sf, "lineitem").join(
         ds.table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
     )
-    daily = daily_bars(lines, "p_brand", "l_shipdate", "l_extendedprice", "l_quantity",
-                       ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    daily = daily_bars(lines.withColumn("line", ds.line_order()), "p_brand", "l_shipdate", "l_extendedprice", "l_quantity", "line")
     return rounded(daily, ["Volume"])
 
 
@@ -68,10 +67,9 @@ def bars_daily(spark, sf):
 def bars_hourly_events(spark, sf):
     """Tick resampling on a finer grid: one bar per event type and hour."""
     events = ds.table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    at = F.struct("ts", "event_id")
     return events.groupBy(F.col("event_type").alias("ticker"), "hour").agg(
-        F.min_by("value", at).alias("Open"), F.max("value").alias("High"), F.min("value").alias("Low"),
-        F.max_by("value", at).alias("Close"), F.count(F.lit(1)).alias("n"),
+        F.min_by("value", "event_id").alias("Open"), F.max("value").alias("High"), F.min("value").alias("Low"),
+        F.max_by("value", "event_id").alias("Close"), F.count(F.lit(1)).alias("n"),
     )
 
 
@@ -143,15 +141,9 @@ def history_gate(spark, sf):
 # --- features ------------------------------------------------------------------------------
 
 
-@ds.once
-def all_features(spark, sf):
-    """All feature columns with their warm-up rows."""
-    return materialize(feature_columns(ds.bars(spark, sf), ds.market(spark, sf)), "all_features")
-
-
 def _feature_query(name: str, cols: list[str], digits: int = 4) -> None:
     def run(spark, sf):
-        return rounded(all_features(spark, sf).select("ticker", "date", *cols), cols, digits)
+        return rounded(ds.all_features(spark, sf).select("ticker", "date", *cols), cols, digits)
 
     QUERIES[name] = run
 
@@ -178,7 +170,7 @@ def market_join_ffill(spark, sf):
 @query
 def features_complete(spark, sf):
     """Which rows survive the completeness filter, per ticker, computed from bars on."""
-    done = complete_rows(feature_columns(ds.bars(spark, sf), ds.market(spark, sf)))
+    done = compute_features(quality.clean(ds.bars(spark, sf), CFG), ds.market(spark, sf))
     return done.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"),
         *[F.round(F.avg(c), 4).alias(c) for c in FEATURES],
