@@ -34,11 +34,13 @@ def repair(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     limit = F.lit(cfg.spike)
     move = F.col("Close") / F.lag("Close").over(w) - 1
     moves = bars.withColumn("__move", move)
+    # greatest and least skip nulls, so the first row's missing move is set to zero explicitly.
+    clipped = F.when(F.col("__move").isNull(), F.lit(0.0)).otherwise(F.greatest(F.least("__move", limit), -limit))
     marked = moves.select(
         *bars.columns,
         F.coalesce(F.bool_or(F.abs("__move") > limit).over(whole), F.lit(False)).alias("__spiky"),
         F.first("Close").over(so_far(w)).alias("__start"),
-        F.product(F.lit(1) + F.coalesce(F.greatest(F.least("__move", limit), -limit), F.lit(0.0))).over(so_far(w)).alias("__growth"),
+        F.product(F.lit(1) + clipped).over(so_far(w)).alias("__growth"),
     )
     rebuilt = marked.withColumn("Close", F.when(F.col("__spiky"), F.col("__start") * F.col("__growth")).otherwise(F.col("Close")))
     envelope = ("Open", "High", "Low", "Close")

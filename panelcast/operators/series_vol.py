@@ -30,7 +30,9 @@ def trailing_volatility(bars: DataFrame, rows: int = 252) -> DataFrame:
     moves = log_prices(bars).select("*", r.alias("__r"), (r * r).alias("__rr"))
     sums = with_rolling(moves, [Rolling("__s", "sum", "__r", rows), Rolling("__ss", "sum", "__rr", rows)], w)
     spread = F.col("__ss") - F.col("__s") * F.col("__s") / rows
-    return sums.select("ticker", "date", "log_price", F.sqrt(F.greatest(spread, F.lit(0.0)) / (rows - 1)).alias("sigma"))
+    # Not greatest(spread, 0): it would skip the nulls of the warm-up rows.
+    not_negative = F.when(spread > 0, spread).when(spread <= 0, F.lit(0.0))
+    return sums.select("ticker", "date", "log_price", F.sqrt(not_negative / (rows - 1)).alias("sigma"))
 
 
 class SeriesVol:

@@ -22,7 +22,7 @@ def read_bars(spark: SparkSession, path: str, ticker_from_file: bool = False) ->
     folder of `<ticker>.parquet` files and the ticker comes from the file name.
     """
     if not ticker_from_file:
-        return spark.read.schema(BARS).parquet(path)
+        return spark.read.schema(BARS).parquet(path).select("ticker", "date", *OHLCV)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
     columns = T.StructType([f for f in BARS.fields if f.name != "ticker"])
     return spark.read.schema(columns).parquet(path).select(stem.alias("ticker"), "date", *OHLCV)

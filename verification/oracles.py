@@ -256,7 +256,7 @@ _cte("move", ["gated"], """SELECT *, "Close" / lag("Close") OVER (PARTITION BY t
     first_value("Close") OVER (PARTITION BY ticker ORDER BY date) AS c0 FROM gated""")
 _cte("fixed", ["move"], """SELECT *, CASE WHEN spiky THEN c0 * g ELSE "Close" END AS c FROM (SELECT *,
       coalesce(bool_or(abs(r) > 0.5) OVER (PARTITION BY ticker), false) AS spiky,
-      product(1 + coalesce(greatest(least(r, CAST(0.5 AS DOUBLE)), CAST(-0.5 AS DOUBLE)), 0)) OVER (PARTITION BY ticker ORDER BY date) AS g FROM move)""")
+      product(CASE WHEN r IS NULL THEN 1 WHEN r > 0.5 THEN 1.5 WHEN r < -0.5 THEN 0.5 ELSE 1 + r END) OVER (PARTITION BY ticker ORDER BY date) AS g FROM move)""")
 _cte("meta", [], """SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS ticker, s_name AS name, n_name AS sector
     FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 3""")
 _cte("latest", ["done"], "SELECT *, date AS end_date FROM done WHERE nk >= 378 AND k = nk")
