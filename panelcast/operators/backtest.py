@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelcast.config import COST_GRID_BPS, DEFAULTS, ForecastConfig
 from panelcast.functions.numbers import share
 from panelcast.functions.windows import so_far
+from panelcast.plans.materialize import materialize
 from panelcast.plans.ranking import with_position
 
 BOOKS = ("long_short", "long_only", "benchmark")
@@ -59,7 +60,8 @@ def turnover(chosen: DataFrame) -> DataFrame:
 
 def monthly_returns(signal: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """(end_date, long_short, long_only, benchmark, turnover), one row per rebalance."""
-    chosen = selections(signal, cfg)
+    # Read by both the returns and the turnover: ranked once, written, read twice.
+    chosen = materialize(selections(signal, cfg), "selections")
     longs = F.avg(F.when(F.col("is_long"), F.col("realized")))
     shorts = F.avg(F.when(F.col("is_short"), F.col("realized")))
     returns = chosen.groupBy("end_date").agg(

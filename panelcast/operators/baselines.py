@@ -87,7 +87,3 @@ def attach(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     The fitted side has one row per fold and horizon, a configured number.
     """
     return rows.join(F.broadcast(fitted), ["fold", "horizon"], "left")
-
-
-def fit_all_folds(model: Forecaster, panel: DataFrame, folds: list[Fold], cfg: ForecastConfig = DEFAULTS) -> Forecaster:
-    return model.fit(training_labels(panel, folds, cfg))

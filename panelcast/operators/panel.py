@@ -60,12 +60,23 @@ def build_panel(bars: DataFrame, market: DataFrame | None, cfg: ForecastConfig =
 
 
 def panel_from_features(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """Labelled rows of every usable series.
+
+    `month_end` marks a ticker's last row in a calendar month. It is found here, while rows
+    are already ordered by ticker, so that picking anchors later is a filter.
+    """
     labelled = with_labels(enough_history(features, cfg), cfg).na.drop(subset=cfg.label_cols)
-    return labelled.select("ticker", "end_date", *FEATURES, *cfg.label_cols, "base_close", "label_end")
+    following = F.lead("end_date").over(series(order="end_date"))
+    last_of_month = following.isNull() | (month_of(following) != month_of("end_date"))
+    return labelled.select(
+        "ticker", "end_date", *FEATURES, *cfg.label_cols, "base_close", "label_end", last_of_month.alias("month_end")
+    )
 
 
 def month_end_anchors(panel: DataFrame) -> DataFrame:
     """The last panel row of each ticker in each calendar month."""
+    if "month_end" in panel.columns:
+        return panel.where("month_end")
     by_month = Window.partitionBy("ticker", month_of("end_date")).orderBy(F.desc("end_date"))
     return panel.withColumn("__rn", F.row_number().over(by_month)).where(F.col("__rn") == 1).drop("__rn")
 

@@ -54,7 +54,9 @@ class SeriesVol:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         known = self.history.select("ticker", F.col("date").alias("end_date"), F.col("sigma").alias("__sigma"))
-        joined = rows.join(known, ["ticker", "end_date"], "left")
+        # Only anchor dates are needed; there is at most one per calendar day.
+        dates = F.broadcast(rows.select("end_date").distinct())
+        joined = rows.join(known.join(dates, "end_date", "left_semi"), ["ticker", "end_date"], "left")
         steps = F.element_at(F.create_map(*[x for h, n in self.cfg.horizons.items() for x in (F.lit(h), F.lit(float(n)))]), F.col("horizon"))
         return joined.withColumn(self.name, band(F.col("__sigma") * F.sqrt(steps), self.cfg)).drop("__sigma")
 

@@ -46,10 +46,12 @@ def anchor_rows(panel: DataFrame, folds: list[Fold], cfg: ForecastConfig = DEFAU
     return long_labels(anchors, cfg, keep=["fold", "split", "ticker", "end_date", *(keep or [])])
 
 
-def predict_anchors(panel: DataFrame, bars: DataFrame | None, folds: list[Fold], cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+def predict_anchors(
+    panel: DataFrame, bars: DataFrame | None, folds: list[Fold], cfg: ForecastConfig = DEFAULTS, rows: DataFrame | None = None
+) -> DataFrame:
     """Out-of-sample predictions of the models that need no features, side by side."""
     train = training_labels(panel, folds, cfg)
-    rows = anchor_rows(panel, folds, cfg)
+    rows = anchor_rows(panel, folds, cfg) if rows is None else rows
     rows = RandomWalk(cfg).fit(train).predict(rows)
     rows = HistoricalQuantile(cfg).fit(train).predict(rows)
     return rows if bars is None else SeriesVol(cfg).fit(bars).predict(rows)
@@ -66,10 +68,9 @@ def run_training(
     """
     folds = require_folds(walk_forward_folds(panel, cfg))
     forest = (forest or LeafQuantileForest(cfg)).fit_folds(panel, folds)
-    simple = predict_anchors(panel, bars, folds, cfg)
-    feature_rows = anchor_rows(panel, folds, cfg, keep=FEATURES)
-    key = ["fold", "horizon", "ticker", "end_date"]
-    preds = simple.join(forest.predict(feature_rows).select(*key, forest.name), key, "left")
+    # One row per anchor and horizon, about 1/7 of the panel; every forest scans its part.
+    rows = materialize(anchor_rows(panel, folds, cfg, keep=FEATURES), "anchors")
+    preds = predict_anchors(panel, bars, folds, cfg, forest.predict(rows).drop(*FEATURES))
     preds = materialize(preds, "predictions")
     models, params = MODEL_ORDER[:3], None
     if bars is not None:
@@ -90,7 +91,7 @@ def out_of_sample_signal(panel: DataFrame, cfg: ForecastConfig = DEFAULTS, horiz
     """The tree model's predicted median against realized return on all test anchors."""
     folds = require_folds(walk_forward_folds(panel, cfg))
     forest = (forest or LeafQuantileForest(cfg)).fit_folds(panel, folds, [horizon])
-    rows = anchor_rows(panel, folds, cfg, keep=FEATURES).where(F.col("horizon") == horizon)
+    rows = materialize(anchor_rows(panel, folds, cfg, keep=FEATURES).where(F.col("horizon") == horizon), "anchors")
     return signal_from_predictions(forest.predict(rows), forest.name, horizon, cfg)
 
 

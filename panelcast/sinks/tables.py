@@ -8,9 +8,13 @@ from panelcast.operators.metrics import drift_reference
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Write-through of the bar cache, one folder per ticker, clustered so that a ticker is
-    written by one task."""
-    bars.repartition("ticker").write.mode("overwrite").partitionBy("ticker").parquet(path)
+    """Write-through of the bar cache: one table, clustered by ticker.
+
+    Files hold ranges of tickers in order, so reading a few tickers skips the rest by file
+    statistics, however many tickers there are.
+    """
+    clustered = bars.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date")
+    clustered.write.mode("overwrite").parquet(path)
 
 
 def write_market(market: DataFrame, path: str) -> None:

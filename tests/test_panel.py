@@ -34,7 +34,7 @@ def test_panel_skips_bad_tickers_and_round_trips(spark, to_bars, market, tmp_pat
     bars = to_bars(pd.concat([ohlcv, make_ohlcv(60, 4, "TINY")]))
     panel = build_panel(bars, market, SHORT)
     assert {r.ticker for r in panel.select("ticker").distinct().collect()} == {"T0"}
-    assert panel.columns == ["ticker", "end_date", *FEATURES, "y_1w", "y_1m", "base_close", "label_end"]
+    assert panel.columns == ["ticker", "end_date", *FEATURES, "y_1w", "y_1m", "base_close", "label_end", "month_end"]
     write_panel(panel, str(tmp_path / "panel"))
     back = spark.read.parquet(str(tmp_path / "panel"))
     assert back.count() == panel.count() and back.exceptAll(panel).count() == 0
@@ -50,6 +50,8 @@ def test_anchors_and_latest_row(features):
     days = panel.toPandas()
     want = days.groupby(pd.to_datetime(days.end_date).dt.to_period("M")).end_date.max()
     assert sorted(r.end_date for r in month_end_anchors(panel).collect()) == sorted(want)
+    by_window = month_end_anchors(panel.drop("month_end"))
+    assert sorted(r.end_date for r in by_window.collect()) == sorted(want)
     last = latest_rows(features, SHORT).collect()
     assert len(last) == 1 and last[0].end_date == features.agg({"date": "max"}).first()[0]
     assert last[0].end_date > days.end_date.max()

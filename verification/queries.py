@@ -14,7 +14,7 @@ from panelcast.functions.windows import series
 from panelcast.operators import backtest as bt
 from panelcast.operators import quality, views
 from panelcast.operators.baselines import HistoricalQuantile, RandomWalk, training_labels
-from panelcast.operators.cv import fold_blocks, fold_roles, scored_anchors, walk_forward_folds
+from panelcast.operators.cv import fold_blocks, fold_roles, in_test, in_train, scored_anchors, walk_forward_folds
 from panelcast.operators.ensemble import align_predictions
 from panelcast.operators.features import compute_features, join_market
 from panelcast.operators.metrics import drift_reference, score_table
@@ -321,8 +321,6 @@ def m_leaf_forest(spark, sf):
 @query
 def m_boosted(spark, sf):
     first = ds.folds(spark, sf)[0]
-    from panelcast.operators.cv import in_test, in_train
-
     data = ds.panel(spark, sf)
     test = month_end_anchors(data.where(in_test(first)))
     return with_quantiles(boosted_quantiles(data.where(in_train(first)), test, "y_1m", CFG, rounds=4), "q", "ticker", "end_date")
