@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelcast.config import DEFAULTS, ForecastConfig
@@ -11,6 +13,8 @@ from panelcast.operators.features import compute_features
 from panelcast.operators.quality import clean, enough_history
 from panelcast.schemas import FEATURES
 
+Featuriser = Callable[[DataFrame, "DataFrame | None"], DataFrame]
+
 
 def with_labels(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """Forward returns per horizon, counted in surviving feature rows.
@@ -50,13 +54,15 @@ def sliding_windows(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> Data
     )
 
 
-def build_panel(bars: DataFrame, market: DataFrame | None, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+def build_panel(
+    bars: DataFrame, market: DataFrame | None, cfg: ForecastConfig = DEFAULTS, featurise: Featuriser = compute_features
+) -> DataFrame:
     """Clean, featurise and label all tickers in one plan.
 
     Series that fail the gates simply have no rows; an empty result keeps the schema.
+    `featurise` may be replaced by any function of (bars, market) with the same columns.
     """
-    features = compute_features(clean(bars, cfg), market)
-    return panel_from_features(features, cfg)
+    return panel_from_features(featurise(clean(bars, cfg), market), cfg)
 
 
 def panel_from_features(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
@@ -82,11 +88,17 @@ def month_end_anchors(panel: DataFrame) -> DataFrame:
 
 
 def latest_rows(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
-    """Each ticker's most recent feature row, the anchor of a live forecast."""
-    newest = Window.partitionBy("ticker").orderBy(F.desc("date"))
-    return (
-        enough_history(features, cfg)
-        .withColumn("__rn", F.row_number().over(newest))
-        .where(F.col("__rn") == 1)
-        .select("ticker", F.col("date").alias("end_date"), *FEATURES, F.col("Close").alias("base_close"))
+    """Each ticker's most recent feature row, the anchor of a live forecast.
+
+    `features` should be a written table. Only keys and dates are aggregated over the whole
+    of it; the wide rows are read from the earliest last date on, usually a few days.
+    """
+    last = (
+        features.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("date"))
+        .where(F.col("n") >= cfg.min_feature_rows)
+        .select("ticker", "date")
+    )
+    recent = features.where(F.col("date") >= last.select(F.min("date")).scalar())
+    return recent.join(last, ["ticker", "date"], "left_semi").select(
+        "ticker", F.col("date").alias("end_date"), *FEATURES, F.col("Close").alias("base_close")
     )
