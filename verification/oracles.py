@@ -121,12 +121,12 @@ _cte("feats", ["rolled"], """SELECT *, s20 + 2 * d20 AS "BB_upper", s20 - 2 * d2
     full_ / ("Close" + 1e-9) AS price_range_pct,
     lag("SMA_50") OVER (PARTITION BY ticker ORDER BY date) AS ps50 FROM rolled""")
 _cte("allf", ["feats"], """SELECT *,
-    CASE WHEN body_size < CAST(0.1 AS DOUBLE) * full_ THEN 1.0 ELSE 0.0 END AS doji,
+    CASE WHEN body_size < CAST(0.1 AS DOUBLE) * full_ THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS doji,
     CASE WHEN pc < ps50 AND body_size < CAST(0.3 AS DOUBLE) * full_ AND lower_shadow > 2 * body_size
-      AND upper_shadow < CAST(0.1 AS DOUBLE) * full_ THEN 1.0 ELSE 0.0 END AS hammer,
+      AND upper_shadow < CAST(0.1 AS DOUBLE) * full_ THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hammer,
     CASE WHEN pc > ps50 AND body_size < CAST(0.3 AS DOUBLE) * full_ AND upper_shadow > 2 * body_size
-      AND lower_shadow < CAST(0.1 AS DOUBLE) * full_ THEN 1.0 ELSE 0.0 END AS shooting_star,
-    CASE WHEN body > 0 AND pc - po < 0 AND "Close" > po AND "Open" < pc THEN 1.0 ELSE 0.0 END AS engulfing
+      AND lower_shadow < CAST(0.1 AS DOUBLE) * full_ THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS shooting_star,
+    CASE WHEN body > 0 AND pc - po < 0 AND "Close" > po AND "Open" < pc THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS engulfing
     FROM feats""")
 _cte("srow", ["bars"], """SELECT ticker, date, "Close" AS c, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM bars""")
 _cte("ewm", ["srow"], """SELECT ticker, date, rn, c AS e12, c AS e26, CAST(0 AS DOUBLE) AS sig FROM srow WHERE rn = 1
@@ -156,7 +156,7 @@ def _busday(d: str, n: int) -> str:
 
 _cte("blocks", ["panel"], f"""SELECT fold, block_start, {_busday('block_start', 126)} AS test_lo, block_end FROM (
     SELECT fold, min(end_date) AS block_start, max(end_date) AS block_end FROM (
-      SELECT end_date, ntile(4) OVER (ORDER BY end_date) AS fold FROM (
+      SELECT end_date, CAST(ntile(4) OVER (ORDER BY end_date) AS INTEGER) AS fold FROM (
         SELECT end_date, row_number() OVER (ORDER BY end_date) AS rn FROM (SELECT DISTINCT end_date FROM panel)) WHERE rn > 252)
     GROUP BY fold)""")
 _cte("folds", ["blocks", "panel"], f"""SELECT * FROM blocks b WHERE

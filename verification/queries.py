@@ -66,7 +66,7 @@ def bars_daily(spark, sf):
 @query
 def bars_hourly_events(spark, sf):
     """Tick resampling on a finer grid: one bar per event type and hour."""
-    events = ds.table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    events = ds.table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return events.groupBy(F.col("event_type").alias("ticker"), "hour").agg(
         F.min_by("value", "event_id").alias("Open"), F.max("value").alias("High"), F.min("value").alias("Low"),
         F.max_by("value", "event_id").alias("Close"), F.count(F.lit(1)).alias("n"),
