@@ -12,7 +12,7 @@ from panelcast.config import MODELS
 from panelcast.functions.numbers import finite_or_null
 
 METRICS = ("pinball", "coverage", "hit_rate", "ic")
-TITLE = "# Model Card — Multi-Horizon Probabilistic Forecaster"
+TITLE = "# Model Card — Panel Quantile Forecasts"
 SUBTITLE = "Out-of-sample metrics (purged/embargoed walk-forward CV):"
 
 

@@ -362,7 +362,7 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "metrics_scoreboard": _q(["board"], f"SELECT model, horizon, {_r(['pinball', 'coverage', 'hit_rate', 'ic'], 6)} FROM board"),
         "metrics_flat": _q(["board"], """SELECT model || '/y_' || horizon || '/' || metric AS key, round(value, 6) AS value FROM (
             SELECT model, horizon, unnest(['pinball', 'coverage', 'hit_rate', 'ic']) AS metric, unnest([pinball, coverage, hit_rate, ic]) AS value FROM board)"""),
-        "metrics_card": _q(["board", "params"], """SELECT unnest(['# Model Card — Multi-Horizon Probabilistic Forecaster', '', 'Out-of-sample metrics (purged/embargoed walk-forward CV):', '',
+        "metrics_card": _q(["board", "params"], """SELECT unnest(['# Model Card — Panel Quantile Forecasts', '', 'Out-of-sample metrics (purged/embargoed walk-forward CV):', '',
             '## random_walk', '## baseline', '## series_vol', '## ensemble', '## blend_weight', '## conformal_delta']) AS value
             UNION ALL SELECT '- y_' || horizon || ': pinball=' || coalesce(printf('%.4f', pinball), 'n/a') || ', coverage=' || coalesce(printf('%.4f', coverage), 'n/a')
               || ', hit_rate=' || coalesce(printf('%.4f', hit_rate), 'n/a') || ', ic=' || coalesce(printf('%.4f', ic), 'n/a') FROM board
