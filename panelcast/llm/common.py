@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from typing import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,3 +29,38 @@ def settled(df: DataFrame, keep: list[str], computed: dict[str, Column]) -> Data
     """
     row = F.struct(*[c.alias(n) for n, c in computed.items()])
     return df.select(*[F.col(f"`{k}`") for k in keep], F.inline_outer(F.array(row)))
+
+
+def map_texts(
+    df: DataFrame, text: str, keep: list[str], fields: str,
+    work: Callable[[list[bytes]], list[list]], chunk_bytes: int = 4_000_000,
+) -> DataFrame:
+    """Apply work to whole texts inside the tasks and append its columns to `keep`.
+
+    work takes UTF-8 texts (null becomes empty) and returns one list of values per field of the
+    DDL string `fields`. Arrow batches are cut by bytes, so that memory does not follow the number
+    of long texts in a batch; a single text is never cut. The map has no state across rows: a lost
+    task is simply run again.
+    """
+    extra = T.StructType.fromDDL(fields)
+    source = df.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keep)], whole(text).cast("binary").alias("__text"))
+    kept = [T.StructField(k, df.schema[k].dataType, True) for k in keep]
+    schema = T.StructType(kept + extra.fields)
+
+    def run(batches):
+        types = [to_arrow_type(f.dataType) for f in extra.fields]
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column("__text")).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                before = sizes[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(sizes, before + chunk_bytes, side="right")))
+                part = batch.slice(start, end - start)
+                made = work(part.column("__text").to_pylist())
+                arrays = [part.column(i) for i in range(len(kept))] + [
+                    m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, types)
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+                start = end
+
+    return source.mapInArrow(run, schema)

@@ -6,7 +6,9 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import quality_rules
+from public_tokenizers import path as tokenizer_path
+
+from panelcast.llm import bpe, quality_rules
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +29,14 @@ def op6_quality_rules(spark, sf):
         quality_rules.accepted().alias("kept"),
         "fail_bits",
     )
+
+
+@query
+def op5_bpe(spark, sf):
+    coded = bpe.encode(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
