@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, licenses, quality_rules
+from panelcast.llm import bpe, licenses, quality_rules, secrets
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,14 @@ def op5_bpe(spark, sf):
 @query
 def op1_licenses(spark, sf):
     return licenses.license_summary(licenses.scan_licenses(table(spark, sf, "documents")))
+
+
+@query
+def op3_secrets(spark, sf):
+    found = secrets.scan_secrets(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"),
+    )
