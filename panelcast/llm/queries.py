@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, licenses, quality_rules, secrets
+from panelcast.llm import bpe, fingerprints, licenses, quality_rules, secrets
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,14 @@ def op3_secrets(spark, sf):
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op4_fingerprints(spark, sf):
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return fingerprints.compare_with_edit(table(spark, sf, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprints.encoded(own).alias("fingerprint"), fingerprints.encoded(edited).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, edited).alias("near_edited"), fingerprints.resemblance(own, following).alias("near_next"),
+        fingerprints.distinct_shingles(own).alias("n_shingles_estimate"),
+    )
