@@ -37,3 +37,55 @@ SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines:
        fail_bits::BIGINT AS fail_bits
 FROM b
 """
+
+ORACLES["op8_mixing"] = r"""
+WITH RECURSIVE masses AS (
+  SELECT source, count(*) AS n_docs, sum(length(coalesce(text, '')) + 1)::BIGINT AS mass FROM documents GROUP BY source),
+whole AS (SELECT sum(mass)::BIGINT AS total, count(*) AS n_sources FROM masses),
+rates AS (SELECT source, (1.0::DOUBLE * (1.0::DOUBLE / n_sources)) * total / mass AS rate FROM masses, whole),
+means AS (SELECT source, rate, greatest(1, ceil(rate / 32.0))::INT AS draws, rate / greatest(1, ceil(rate / 32.0))::INT AS mean FROM rates),
+cdf AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM means
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < 119),
+uniform AS (
+  SELECT doc_id, d.source, unnest(range(1, draws + 1)) AS j FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source),
+drawn AS (
+  SELECT u.doc_id, sum((SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source
+    AND cdf.c <= ('0x' || substr(sha256('17:' || u.doc_id || ':' || u.j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))::INT AS copies
+  FROM uniform u GROUP BY u.doc_id),
+spread AS (
+  SELECT d.*, copies, rate, unnest(range(1, copies + 1))::INT AS copy
+  FROM documents d JOIN drawn USING (doc_id) JOIN means m ON d.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, text, lang, source, n_chars, copy, copies, rate,
+       ('0x' || substr(sha256('17:place:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key
+FROM spread
+"""
+
+ORACLES["op10_tool_calls"] = r"""
+WITH RECURSIVE calls AS (
+  SELECT c.conv_id, c.turn, 'call-' || c.conv_id || '-' || c.turn AS call_id, c.text AS prompt,
+         CASE WHEN c.turn >= 2 THEN 'call-' || c.conv_id || '-' || (c.turn - 2) END AS after,
+         p.turn IS NOT NULL AS has_parent
+  FROM conversations c LEFT JOIN (SELECT conv_id, turn FROM conversations WHERE role = 'user') p
+    ON p.conv_id = c.conv_id AND p.turn = c.turn - 2
+  WHERE c.role = 'user'),
+lev AS (
+  SELECT conv_id, turn, 0 AS level FROM calls WHERE NOT has_parent
+  UNION ALL
+  SELECT c.conv_id, c.turn, level + 1 FROM calls c JOIN lev l ON l.conv_id = c.conv_id AND l.turn = c.turn - 2),
+answers AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.turn) AS turn, coalesce(c.call_id, a.call_id) AS call_id,
+       CASE WHEN c.call_id IS NOT NULL THEN 'reply' END AS tool, l.level, a.turn AS result_turn,
+       (a.call_id IS NOT NULL)::BIGINT AS n_results,
+       CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN a.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+       concat_ws(',', CASE WHEN c.call_id IS NOT NULL AND prompt IS NULL THEN 'missing:prompt' WHEN prompt = '' THEN 'range:prompt' END,
+         CASE WHEN after IS NOT NULL AND NOT has_parent THEN 'unknown_after' END) AS errors,
+       '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE
+           '{' || CASE WHEN after IS NOT NULL THEN '"after":"' || after || '",' ELSE '' END
+           || CASE WHEN prompt IS NOT NULL THEN '"prompt":' || to_json(prompt) || ',' ELSE '' END || '"turn":' || c.turn || '}' END
+         || ',"id":"' || coalesce(c.call_id, a.call_id) || '","name":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '"reply"' END
+         || ',"result":' || coalesce(to_json(a.text), 'null') || '}' AS json
+FROM calls c LEFT JOIN lev l USING (conv_id, turn) FULL JOIN answers a ON a.call_id = c.call_id
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, fingerprints, licenses, quality_rules, secrets
+from panelcast.llm import bpe, fingerprints, licenses, mixing, quality_rules, secrets, tool_calls
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,15 @@ def op4_fingerprints(spark, sf):
         fingerprints.resemblance(own, edited).alias("near_edited"), fingerprints.resemblance(own, following).alias("near_next"),
         fingerprints.distinct_shingles(own).alias("n_shingles_estimate"),
     )
+
+
+@query
+def op8_mixing(spark, sf):
+    return mixing.mix_sources(table(spark, sf, "documents"))
+
+
+@query
+def op10_tool_calls(spark, sf):
+    calls, results = tool_calls.turns_as_calls(table(spark, sf, "conversations"))
+    linked = tool_calls.link_tool_calls(calls, results, tool_calls.REPLY)
+    return linked.withColumn("errors", F.array_join("errors", ","))
