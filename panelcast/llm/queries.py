@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, fingerprints, licenses, mixing, quality_rules, secrets, tool_calls
+from panelcast.llm import bpe, fingerprints, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,8 @@ def op10_tool_calls(spark, sf):
     calls, results = tool_calls.turns_as_calls(table(spark, sf, "conversations"))
     linked = tool_calls.link_tool_calls(calls, results, tool_calls.REPLY)
     return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+@query
+def op9_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
