@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, fingerprints, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
+from panelcast.llm import bpe, fingerprints, gam, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,12 @@ def op10_tool_calls(spark, sf):
 @query
 def op9_near_dedup(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op2_quality_gam(spark, sf):
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = gam.fit_on(docs, labels.filter(~held_out))
+    return gam.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
