@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, fingerprints, gam, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
+from panelcast.llm import bpe, fingerprints, gam, html_extract, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,10 @@ def op2_quality_gam(spark, sf):
     model = gam.fit_on(docs, labels.filter(~held_out))
     return gam.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op7_html(spark, sf):
+    pages = table(spark, sf, "pages")
+    found = html_extract.extract(pages, html_extract.train_labeller(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
