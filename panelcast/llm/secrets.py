@@ -32,7 +32,7 @@ RUN = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = ["assign", "access", "hex", "random"]
 MIN_VALUE = 6
 
-FALSE_DISMISSALS = 0.05
+FALSE_DISMISSALS = 0.01
 BINS_PER_OCTAVE = 16
 LEAST_P = 1e-30
 
