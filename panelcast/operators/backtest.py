@@ -149,8 +149,7 @@ def report_header(monthly: DataFrame, horizon: str = "1m", cfg: ForecastConfig =
     """One row: horizon, signal, decile, months, period and average turnover."""
     return monthly.agg(
         F.count(F.lit(1)).alias("n_months"),
-        F.date_format(F.min("end_date"), "yyyy-MM-dd").alias("period_start"),
-        F.date_format(F.max("end_date"), "yyyy-MM-dd").alias("period_end"),
+        F.array(F.date_format(F.min("end_date"), "yyyy-MM-dd"), F.date_format(F.max("end_date"), "yyyy-MM-dd")).alias("period"),
         F.round(F.coalesce(F.avg("turnover"), F.lit(0.0)), 3).alias("avg_turnover"),
     ).select(
         F.lit(horizon.removeprefix("y_")).alias("horizon"),

@@ -100,14 +100,6 @@ def in_test(fold: Fold) -> Column:
     return F.col("end_date").between(F.lit(fold.test_lo), F.lit(fold.block_end))
 
 
-def first_train_fold(folds: list[Fold]) -> Column:
-    """The earliest fold a row trains in; training sets grow, so it trains in all later ones."""
-    out = F.lit(None).cast("int")
-    for f in sorted(folds, key=lambda f: -f.fold):
-        out = F.when(in_train(f), F.lit(f.fold)).otherwise(out)
-    return out
-
-
 def scored_fold(folds: list[Fold]) -> Column:
     """The fold a row is tested in, null for training-only and embargoed rows."""
     out = F.lit(None).cast("int")
@@ -134,15 +126,16 @@ def fold_roles(panel: DataFrame, folds: list[Fold]) -> DataFrame:
 def scored_anchors(anchors: DataFrame, folds: list[Fold]) -> DataFrame:
     """Anchors dated inside a fold's test span, with the fold and its split.
 
-    The first fold is kept for fitting weights and calibration ('val'); later folds are
-    reported ('test'). With one fold only, everything is 'test'.
+    The first fold that has anchors is kept for fitting weights and calibration ('val'); later
+    ones are reported ('test'). If only one fold has anchors, everything is 'test'.
 
     Anchors are panel rows, so "their date occurs among the fold's test dates" is the same
     as lying inside the span; no semi join is needed.
     """
-    first = min(f.fold for f in require_folds(folds))
-    split = F.when((F.col("fold") == first) & F.lit(len(folds) > 1), "val").otherwise("test")
-    return anchors.withColumn("fold", scored_fold(folds)).where(F.col("fold").isNotNull()).withColumn("split", split)
+    scored = anchors.withColumn("fold", scored_fold(require_folds(folds))).where(F.col("fold").isNotNull())
+    span = scored.select(F.struct(F.min("fold").alias("first"), F.max("fold").alias("last"))).scalar()
+    split = F.when((F.col("fold") == span["first"]) & (span["first"] < span["last"]), "val").otherwise("test")
+    return scored.withColumn("split", split)
 
 
 def anchors_on_dates(anchors: DataFrame, dates: DataFrame) -> DataFrame:

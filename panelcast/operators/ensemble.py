@@ -14,12 +14,14 @@ from panelcast.operators.metrics import pinball_loss
 from panelcast.plans.quantiles import exact_quantiles
 
 
-def blend(a: str | Column, b: str | Column, w: Column, size: int = len(DEFAULTS.quantiles)) -> Column:
-    """w a + (1 - w) b per quantile, re-sorted so quantiles never cross.
+def blend(a: str | Column, b: str | Column, w: Column, size: int | None = None) -> Column:
+    """w a + (1 - w) b per quantile, re-sorted so quantiles never cross, for arrays of any length.
 
-    Element by element rather than with a lambda, which would leave generated code.
+    With a known size it is written element by element, which stays in generated code.
     """
     a, b = col(a), col(b)
+    if size is None:
+        return F.sort_array(F.zip_with(a, b, lambda x, y: w * x + (F.lit(1.0) - w) * y))
     return F.sort_array(F.array(*[w * a[i] + (F.lit(1.0) - w) * b[i] for i in range(size)]))
 
 
@@ -43,8 +45,8 @@ def fit_blend_weights(preds: DataFrame, a: str, b: str, cfg: ForecastConfig = DE
 def fit_conformal(preds: DataFrame, band: str, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """(horizon, delta): how far to move both band edges for 1 - alpha coverage.
 
-    delta is the finite-sample (1 - alpha) quantile of how far each outcome fell outside its
-    band (negative when inside).
+    An outcome's miss is its signed distance beyond the nearer edge; delta is the (1 - alpha)
+    quantile of the misses, at the level corrected for their number.
     """
     last = len(cfg.quantiles) - 1
     score = F.greatest(F.col(band)[0] - F.col("y"), F.col("y") - F.col(band)[last])
@@ -75,7 +77,7 @@ def fit_ensemble(preds: DataFrame, a: str, b: str, cfg: ForecastConfig = DEFAULT
 
 
 def apply_ensemble(preds: DataFrame, params: DataFrame, a: str, b: str, out: str = "ensemble") -> DataFrame:
-    """Append the blended, calibrated quantiles. params has one row per horizon."""
+    """Append the blended, calibrated quantiles at all levels present. params has one row per horizon."""
     joined = preds.join(F.broadcast(params.select("horizon", "w", "delta")), "horizon", "left")
     mixed = blend(a, b, F.coalesce("w", F.lit(1.0)))
     return joined.withColumn(out, apply_conformal(mixed, F.coalesce("delta", F.lit(0.0)))).drop("w", "delta")

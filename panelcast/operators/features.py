@@ -69,7 +69,7 @@ def trend_inputs(bars: DataFrame) -> DataFrame:
         F.lag("Close").over(w).alias("__prev_close"),
         F.lag("Open").over(w).alias("__prev_open"),
         (F.col("Close") - F.lag("Close", 5).over(w)).alias("MOM_5"),
-        (F.col("Close") / F.lag("Close", 21).over(w) - 1).alias("ROC_21"),
+        (safe_div(F.col("Close"), F.lag("Close", 21).over(w)) - 1).alias("ROC_21"),
     )
     change = F.col("Close") - F.col("__prev_close")
     # A null first change must stay null here: greatest() would skip it and count a zero.

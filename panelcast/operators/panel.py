@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelcast.config import DEFAULTS, ForecastConfig
 from panelcast.functions.dates import month_of
+from panelcast.functions.numbers import safe_div
 from panelcast.functions.windows import last_rows, series
 from panelcast.operators.features import compute_features
 from panelcast.operators.quality import clean, enough_history
@@ -23,7 +24,7 @@ def with_labels(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFram
     horizon exists. `label_end` is the date on which the longest label is known.
     """
     w = series()
-    ahead = [(F.lead("Close", h).over(w) / F.col("Close") - 1).alias(f"y_{name}") for name, h in cfg.horizons.items()]
+    ahead = [(safe_div(F.lead("Close", h).over(w), F.col("Close")) - 1).alias(f"y_{name}") for name, h in cfg.horizons.items()]
     labelled = features.select(
         "*", *ahead,
         F.col("Close").alias("base_close"),

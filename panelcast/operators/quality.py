@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelcast.config import DEFAULTS, ForecastConfig
-from panelcast.functions.numbers import share
+from panelcast.functions.numbers import nan_to_null, safe_div, share
 from panelcast.functions.windows import series, so_far
 from panelcast.schemas import OHLCV
 
-TOO_MANY_NULLS = ">5% of Close is NaN"
-EMPTY = "empty frame"
+TOO_MANY_NULLS = "too many missing closes"
+EMPTY = "no bars"
+UNSTABLE = "closes vanish when spikes are clipped"
+LEAST_SHARE = 1e-6  # of the first close: below it a rebuilt series is rounding noise
 
 
 def gate(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
@@ -32,7 +34,7 @@ def repair(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """
     w, whole = series(), Window.partitionBy("ticker")
     limit = F.lit(cfg.spike)
-    move = F.col("Close") / F.lag("Close").over(w) - 1
+    move = safe_div(F.col("Close"), F.lag("Close").over(w)) - 1
     moves = bars.withColumn("__move", move)
     # greatest and least skip nulls, so the first row's missing move is set to zero explicitly.
     clipped = F.when(F.col("__move").isNull(), F.lit(0.0)).otherwise(F.greatest(F.least("__move", limit), -limit))
@@ -54,8 +56,22 @@ def repair(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     )
 
 
+def stable(bars: DataFrame) -> DataFrame:
+    """Drop series whose rebuilt close falls below a tiny share of its start."""
+    whole = Window.partitionBy("ticker")
+    start = F.first("Close").over(so_far(series()))
+    return bars.withColumn("__share", safe_div(F.col("Close"), start)).withColumn("__least", F.min("__share").over(whole)).where(
+        F.col("__least") >= LEAST_SHARE).drop("__share", "__least")
+
+
+def without_nan(bars: DataFrame) -> DataFrame:
+    return bars.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in OHLCV})
+
+
 def clean(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
-    return repair(gate(bars, cfg), cfg)
+    """Gate, drop incomplete rows, repair. NaN counts as missing; a bad series has no rows and
+    touches no other series."""
+    return stable(repair(gate(without_nan(bars), cfg).na.drop(subset=OHLCV), cfg))
 
 
 def rejects(bars: DataFrame, universe: DataFrame | None = None, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
@@ -67,7 +83,7 @@ def rejects(bars: DataFrame, universe: DataFrame | None = None, cfg: ForecastCon
         share(F.col("Close").isNull()).alias("null_share"), F.count_if(F.col("Close") > 0).alias("usable")
     )
     reason = F.when(F.col("null_share") > cfg.max_null_share, F.lit(TOO_MANY_NULLS)).when(
-        F.col("usable") < cfg.min_rows, F.format_string(f"only %d rows (need >= {cfg.min_rows})", F.col("usable"))
+        F.col("usable") < cfg.min_rows, F.format_string(f"%d usable rows of {cfg.min_rows}", F.col("usable"))
     )
     turned_away = stats.select("ticker", reason.alias("reason"))
     if universe is not None:
@@ -87,4 +103,18 @@ def enough_history(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataF
 def short_history(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """(ticker, reason) for series whose feature history is too short to use."""
     n = features.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < cfg.min_feature_rows)
-    return n.select("ticker", F.format_string(f"only %d feature rows (need >= {cfg.min_feature_rows})", F.col("n")).alias("reason"))
+    return n.select("ticker", F.format_string(f"%d feature rows of {cfg.min_feature_rows}", F.col("n")).alias("reason"))
+
+
+def unstable(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """(ticker, reason) for series that pass the gate but not the repair."""
+    repaired = repair(gate(without_nan(bars), cfg).na.drop(subset=OHLCV), cfg)
+    kept = stable(repaired).select("ticker").distinct()
+    return repaired.select("ticker").distinct().join(kept, "ticker", "left_anti").withColumn("reason", F.lit(UNSTABLE))
+
+
+def skip_report(bars: DataFrame, features: DataFrame, universe: DataFrame | None = None, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """(ticker, reason), one row for every series that has no panel rows: turned away by the gate,
+    by the repair, or for want of history. features: those computed from the cleaned bars."""
+    first = rejects(without_nan(bars), universe, cfg).unionByName(unstable(bars, cfg))
+    return first.unionByName(short_history(features, cfg).join(first.select("ticker"), "ticker", "left_anti"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,21 +10,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where none is configured."""
+    """The session's checkpoint folder, which all executors share.
+
+    Where none is configured a temporary folder is made in local mode; on a cluster that would
+    scatter files over the machines, so it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="panelcast-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables."""
+    return f"{shared_folder(spark)}/panelcast/{spark.sparkContext.applicationId}"
+
+
+def remove_run_folder(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once its results are stored elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: lost executors re-read files instead of recomputing the chain,
     and later readers get column pruning and filter pushdown.
     """
-    path = f"{shared_folder(df.sparkSession)}/panelcast/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

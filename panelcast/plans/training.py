@@ -74,10 +74,10 @@ def run_training(
     preds = materialize(preds, "predictions")
     models, params = MODEL_ORDER[:3], None
     if bars is not None:
-        params = materialize(fit_ensemble(preds, "series_vol", "gbm", cfg).coalesce(1), "params")
+        params = materialize(fit_ensemble(preds, "series_vol", "gbm", cfg).repartition(1), "params")
         preds = apply_ensemble(preds, params, "series_vol", "gbm")
         models = MODEL_ORDER + ["ensemble"]
-    scores = materialize(score_table(preds, models, cfg).coalesce(1), "scores")
+    scores = materialize(score_table(preds, models, cfg).repartition(1), "scores")
     if out_dir:
         forest.save(f"{out_dir}/forest")
         write_drift_reference(panel, f"{out_dir}/feature_reference")
@@ -99,7 +99,7 @@ def run_backtest(panel: DataFrame, cfg: ForecastConfig = DEFAULTS, out_dir: str
                  forest: LeafQuantileForest | None = None) -> DataFrame:
     """The backtest report (one nested row) on the tree model's signal."""
     signal = materialize(require_signal(out_of_sample_signal(panel, cfg, horizon, forest)), "signal")
-    monthly = materialize(monthly_returns(signal, cfg).coalesce(1), "monthly")
+    monthly = materialize(monthly_returns(signal, cfg).repartition(1), "monthly")
     report = backtest_report(monthly, horizon, cfg)
     if out_dir:
         write_one_document(report, f"{out_dir}/backtest")
@@ -131,5 +131,5 @@ def run_export(
     forecasts = forecast_rows(scored, band, meta, cfg)
     write_records(forecast_records(forecasts, cfg), f"{out_dir}/forecasts")
     write_records(price_arrays(price_history(raw_bars, latest, cfg.price_history_days)), f"{out_dir}/prices")
-    spark.read.text(f"{artifacts}/metrics", wholetext=True).coalesce(1).write.mode("overwrite").text(f"{out_dir}/metrics")
+    spark.read.text(f"{artifacts}/metrics", wholetext=True).repartition(1).write.mode("overwrite").text(f"{out_dir}/metrics")
     return forecasts

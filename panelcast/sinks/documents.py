@@ -86,14 +86,14 @@ def model_card(scores: DataFrame, params: DataFrame | None = None) -> DataFrame:
 
 
 def write_model_card(scores: DataFrame, path: str, params: DataFrame | None = None) -> None:
-    card = model_card(scores, params).orderBy("ord").coalesce(1).select("value")
+    card = model_card(scores, params).repartition(1).sortWithinPartitions("ord").select("value")
     card.write.mode("overwrite").text(path)
 
 
 def write_one_document(doc: DataFrame, path: str) -> None:
     """Write a bounded one-row document: its text column, or the row itself as JSON."""
     text = doc.select("value") if doc.columns == ["value"] else doc.select(_json(F.struct("*")).alias("value"))
-    text.coalesce(1).write.mode("overwrite").text(path)
+    text.repartition(1).write.mode("overwrite").text(path)
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -21,11 +21,12 @@ def read_bars(spark: SparkSession, path: str, ticker_from_file: bool = False) ->
     The cache is one Parquet table with a ticker column; with `ticker_from_file` it is a
     folder of `<ticker>.parquet` files and the ticker comes from the file name.
     """
+    values = [nan_to_null(c).alias(c) for c in OHLCV]
     if not ticker_from_file:
-        return spark.read.schema(BARS).parquet(path).select("ticker", "date", *OHLCV)
+        return spark.read.schema(BARS).parquet(path).select("ticker", "date", *values)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
     columns = T.StructType([f for f in BARS.fields if f.name != "ticker"])
-    return spark.read.schema(columns).parquet(path).select(stem.alias("ticker"), "date", *OHLCV)
+    return spark.read.schema(columns).parquet(path).select(stem.alias("ticker"), "date", *values)
 
 
 def tidy_bars(raw: DataFrame) -> DataFrame:
@@ -80,13 +81,14 @@ def walk_bars(ticks: DataFrame) -> DataFrame:
     """Dense bars per ticker from (ticker, date, price, quantity) ticks.
 
     Day averages are turned into small return shocks around the ticker's mean, cumulated to
-    a price walk that starts near 100. Prices are rounded so that quiet days are exactly
-    flat, which the RSI zero-loss rule depends on.
+    a price walk that starts near 100. Weekend ticks count for the Friday before. Prices are
+    rounded so that quiet days are exactly flat, which the RSI zero-loss rule depends on.
     """
-    ticks = ticks.where(is_weekday("date"))
-    day = ticks.groupBy("ticker", "date").agg(F.avg("price").alias("c"), F.sum("quantity").alias("v"))
-    first = ticks.select(F.min("date")).scalar()
-    last = ticks.select(F.max("date")).scalar()
+    friday_or_day = F.date_sub("date", F.greatest(F.weekday("date") - 4, F.lit(0)))
+    day = ticks.withColumn("date", friday_or_day).groupBy("ticker", "date").agg(F.avg("price").alias("c"), F.sum("quantity").alias("v"))
+    # One more scan, of the dates only.
+    span = ticks.select(F.struct(F.min(friday_or_day).alias("first"), F.max(friday_or_day).alias("last"))).scalar()
+    first, last = span["first"], span["last"]
     w, whole = series(), Window.partitionBy("ticker")
     shock = F.coalesce((F.col("c") / F.avg("c").over(whole) - 1) * 0.02, F.lit(0.0))
     walk = (

@@ -89,8 +89,8 @@ def volatility_close(index: DataFrame) -> DataFrame:
 
 @once
 def market(spark: SparkSession, sf: str) -> DataFrame:
-    index = materialize(index_close(spark, sf).coalesce(1), "index")
-    return materialize(derive_market(index, volatility_close(index)).coalesce(1), "market")
+    index = materialize(index_close(spark, sf).repartition(1), "index")
+    return materialize(derive_market(index, volatility_close(index)).repartition(1), "market")
 
 
 def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +128,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 @once
 def params(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(fit_ensemble(predictions(spark, sf), "series_vol", "baseline", CFG).coalesce(1), "params")
+    return materialize(fit_ensemble(predictions(spark, sf), "series_vol", "baseline", CFG).repartition(1), "params")
 
 
 def ensembled(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +140,7 @@ MODELS = ["random_walk", "baseline", "series_vol", "ensemble"]
 
 @once
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(score_table(ensembled(spark, sf), MODELS, CFG).coalesce(1), "scores")
+    return materialize(score_table(ensembled(spark, sf), MODELS, CFG).repartition(1), "scores")
 
 
 @once
@@ -152,7 +152,7 @@ def signal(spark: SparkSession, sf: str) -> DataFrame:
 
 @once
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(monthly_returns(signal(spark, sf), BOOK).coalesce(1), "monthly")
+    return materialize(monthly_returns(signal(spark, sf), BOOK).repartition(1), "monthly")
 
 
 def constituent_table(spark: SparkSession, sf: str) -> DataFrame:

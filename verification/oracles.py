@@ -58,16 +58,16 @@ WALK = """SELECT ticker, date, coalesce(lag(c) OVER w, c) AS "Open", c AS "Close
         FROM {grid} g LEFT JOIN {day} d ON g.ticker = d.ticker AND g.date = d.date))
     WINDOW w AS (PARTITION BY ticker ORDER BY date)"""
 
-_cte("day", [], f"""SELECT {TICKER} AS ticker, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS c, sum(l_quantity) AS v
-    FROM lineitem WHERE isodow(l_shipdate) < 6 GROUP BY 1, 2""")
+_cte("day", [], f"""SELECT {TICKER} AS ticker, CAST(l_shipdate AS DATE) - CAST(greatest(isodow(l_shipdate) - 5, 0) AS INTEGER) AS date, avg(l_extendedprice) AS c, sum(l_quantity) AS v
+    FROM lineitem GROUP BY 1, 2""")
 _cte("grid", ["day"], DENSE.format(day="day"))
 _cte("walk", ["day", "grid"], WALK.format(grid="grid", day="day"))
 _cte("bars", ["walk"], """SELECT ticker, date, "Open",
       greatest("Open", "Close") * (CAST(1 AS DOUBLE) + (1 + v % 7) * CAST(0.001 AS DOUBLE)) AS "High",
       least("Open", "Close") * (CAST(1 AS DOUBLE) - (1 + v % 5) * CAST(0.001 AS DOUBLE)) AS "Low",
       "Close", v AS "Volume" FROM walk""")
-_cte("iday", [], """SELECT 'INDEX' AS ticker, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS c, sum(l_quantity) AS v
-    FROM lineitem WHERE isodow(l_shipdate) < 6 GROUP BY 1, 2""")
+_cte("iday", [], """SELECT 'INDEX' AS ticker, CAST(l_shipdate AS DATE) - CAST(greatest(isodow(l_shipdate) - 5, 0) AS INTEGER) AS date, avg(l_extendedprice) AS c, sum(l_quantity) AS v
+    FROM lineitem GROUP BY 1, 2""")
 _cte("igrid", ["iday"], DENSE.format(day="iday"))
 _cte("iwalk", ["iday", "igrid"], WALK.format(grid="igrid", day="iday"))
 _cte("vix", ["iwalk"], """SELECT date, vix FROM (
@@ -315,14 +315,14 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "constituents_meta": _q(["meta"], "SELECT * FROM meta"),
         "metrics_params": _q(["params"], f"SELECT horizon, {_r(['w', 'delta'], 6)} FROM params"),
         "quality_gate": _q(["gated"], 'SELECT ticker, date, "Close" FROM gated'),
-        "quality_rejects": _q(["rawstat"], """SELECT ticker, CASE WHEN nulls > CAST(0.05 AS DOUBLE) THEN '>5% of Close is NaN'
-            ELSE 'only ' || usable || ' rows (need >= 480)' END AS reason FROM rawstat WHERE nulls > CAST(0.05 AS DOUBLE) OR usable < 480
-            UNION ALL SELECT ticker, 'empty frame' FROM (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS ticker FROM supplier
+        "quality_rejects": _q(["rawstat"], """SELECT ticker, CASE WHEN nulls > CAST(0.05 AS DOUBLE) THEN 'too many missing closes'
+            ELSE usable || ' usable rows of 480' END AS reason FROM rawstat WHERE nulls > CAST(0.05 AS DOUBLE) OR usable < 480
+            UNION ALL SELECT ticker, 'no bars' FROM (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS ticker FROM supplier
             UNION ALL SELECT n_name FROM nation) WHERE ticker NOT IN (SELECT ticker FROM rawstat)"""),
         "quality_repair": _q(["fixed"], """SELECT ticker, date, "Open", round(ln(c), 4) AS ln_close,
             round(ln(CASE WHEN spiky THEN greatest("Open", "High", "Low", c) ELSE "High" END), 4) AS ln_high,
             round(ln(CASE WHEN spiky THEN least("Open", "High", "Low", c) ELSE "Low" END), 4) AS ln_low, "Volume" FROM fixed"""),
-        "history_gate": _q(["done"], """SELECT ticker, 'only ' || count(*) || ' feature rows (need >= 1226)' AS reason FROM done GROUP BY ticker HAVING count(*) < 1226"""),
+        "history_gate": _q(["done"], """SELECT ticker, count(*) || ' feature rows of 1226' AS reason FROM done GROUP BY ticker HAVING count(*) < 1226"""),
         "market_join_ffill": _q(["joined"], f"SELECT ticker, date, {_r(['vix_close', 'sp500_ret_21d', 'sp500_ret_63d'], 6)} FROM joined"),
         "features_complete": _q(["done", "macd"], f"""SELECT ticker, count(*) AS n, min(date) AS first, max(date) AS last,
             {', '.join(f'round(avg({c}), 4) AS {c}' for c in FEATURE_COLS)} FROM done JOIN macd USING (ticker, date) GROUP BY ticker"""),

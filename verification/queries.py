@@ -5,6 +5,7 @@ Computed columns are rounded where two engines may sum in a different order.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -23,7 +24,7 @@ from panelcast.operators.series_vol import (
     SeriesVol, garch_volatility, log_prices, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
 )
 from panelcast.operators.trees import LeafQuantileForest, boosted_quantiles
-from panelcast.plans.materialize import shared_folder
+from panelcast.plans.materialize import run_folder
 from panelcast.plans.training import anchor_rows, out_of_sample_signal
 from panelcast.schemas import FEATURES, MARKET_COLS
 from panelcast.sinks.documents import flat_metrics, metrics_document, model_card, write_one_document
@@ -87,7 +88,7 @@ def bars_walk(spark, sf):
 @query
 def bars_cache_scan(spark, sf):
     """Write the per-ticker bar cache, read it back tidy, and list its tickers."""
-    path = f"{shared_folder(spark)}/panelcast/cache-{spark.sparkContext.applicationId}"
+    path = f"{run_folder(spark)}/cache-{uuid.uuid4().hex}"
     write_bars(ds.raw_bars(spark, sf), path)
     cached = tidy_bars(read_bars(spark, path))
     return tickers(cached).join(cached.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last")), "ticker")
@@ -105,7 +106,7 @@ def constituents_meta(spark, sf):
 
 @query
 def metrics_params(spark, sf):
-    path = f"{shared_folder(spark)}/panelcast/metrics-{spark.sparkContext.applicationId}"
+    path = f"{run_folder(spark)}/metrics-{uuid.uuid4().hex}"
     write_one_document(metrics_document(ds.scores(spark, sf), ds.params(spark, sf)), path)
     return rounded(read_metrics_params(spark, path, CFG), ["w", "delta"], 6)
 
@@ -208,7 +209,7 @@ def panel(spark, sf):
 @query
 def panel_written(spark, sf):
     """The panel sink, read back."""
-    path = f"{shared_folder(spark)}/panelcast/panel-{spark.sparkContext.applicationId}"
+    path = f"{run_folder(spark)}/panel-{uuid.uuid4().hex}"
     write_panel(ds.panel(spark, sf), path)
     return spark.read.parquet(path).groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("base_close"), 3).alias("base_close"), F.max("end_date").alias("last")
@@ -418,7 +419,8 @@ def bt_cost_lookup(spark, sf):
 
 @query
 def bt_header(spark, sf):
-    return bt.report_header(ds.monthly(spark, sf), "1m", BOOK, "momentum")
+    header = bt.report_header(ds.monthly(spark, sf), "1m", BOOK, "momentum")
+    return header.withColumns({"period_start": F.col("period")[0], "period_end": F.col("period")[1]}).drop("period")
 
 
 @query
