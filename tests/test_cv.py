@@ -10,8 +10,9 @@ from panelcast.operators.cv import anchors_on_dates, fold_roles, require_folds,
 
 @pytest.fixture(scope="module")
 def dates(spark):
-    days = pd.bdate_range("2015-01-01", periods=1500).date
-    rows = [(f"T{k}", d, days[min(i + 126, 1499)]) for i, d in enumerate(days) for k in range(5)]
+    """Seven tickers that list one after another, so early dates have fewer rows than late ones."""
+    days = pd.bdate_range("2011-08-01", periods=1310).date
+    rows = [(f"T{k}", d, days[min(i + 126, 1309)]) for k in range(7) for i, d in enumerate(days) if i >= 90 * k]
     return spark.createDataFrame(rows, "ticker string, end_date date, label_end date").cache()
 
 
@@ -23,21 +24,33 @@ def test_busday_add_matches_pandas(spark):
         assert got == [(d + pd.tseries.offsets.BDay(n)).date() for d in days], n
 
 
+@pytest.mark.parametrize("n_folds", [2, 4, 5])
 @pytest.mark.parametrize("purge", ["busdays", "rows"])
-def test_fold_invariants(dates, purge):
-    folds = walk_forward_folds(dates, ForecastConfig(purge=purge))
-    assert len(folds) == 4
-    sizes = [f.n_train for f in folds]
-    assert sizes == sorted(sizes) and sizes[0] > 0
-    roles = fold_roles(dates, folds).toPandas()
+def test_no_label_of_a_training_row_reaches_the_tests(dates, purge, n_folds):
+    folds = walk_forward_folds(dates, ForecastConfig(purge=purge, n_folds=n_folds))
+    rows = dates.toPandas()
+    roles = {(r.fold, r.ticker, r.end_date): r.role for r in fold_roles(dates, folds).collect()}
+    tested = [key[1:] for key, role in roles.items() if role == "test"]
+    assert folds and len(tested) == len(set(tested))  # no row is tested twice
     for f in folds:
-        mine = roles[roles.fold == f.fold]
-        train, test = mine[mine.role == "train"], mine[mine.role == "test"]
-        assert len(train) == f.n_train and len(test) == f.n_test
-        assert set(train.end_date).isdisjoint(test.end_date)
-        assert np.busday_count(train.end_date.max(), test.end_date.min()) >= 126
-        label_end = pd.to_datetime(train.end_date) + pd.tseries.offsets.BDay(126)
-        assert (label_end < pd.Timestamp(test.end_date.min())).all()
+        for r in rows.itertuples():
+            role = roles.get((f.fold, r.ticker, r.end_date))
+            if role == "train":
+                assert np.busday_offset(r.end_date, 126, roll="backward") < np.datetime64(f.test_lo) and r.label_end < f.test_lo
+            elif role == "test":
+                assert f.test_lo <= r.end_date <= f.block_end
+        counted = [sum(role == want for (fold, _, _), role in roles.items() if fold == f.fold) for want in ("train", "test")]
+        assert counted == [f.n_train, f.n_test]
+    assert all(a.n_train < b.n_train for a, b in zip(folds, folds[1:]))
+
+
+def test_first_fold_with_anchors_validates(dates):
+    folds = walk_forward_folds(dates, ForecastConfig())
+    late = dates.where(F.col("end_date") > F.lit(folds[0].block_end))
+    splits = {(r.fold, r.split) for r in scored_anchors(late, folds).collect()}
+    assert splits == {(folds[1].fold, "val")} | {(f.fold, "test") for f in folds[2:]}
+    one = dates.where(F.col("end_date").between(folds[2].test_lo, folds[2].block_end))
+    assert {r.split for r in scored_anchors(one, folds).collect()} == {"test"}
 
 
 def test_block_sizes_follow_array_split(spark):

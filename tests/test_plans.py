@@ -59,3 +59,27 @@ def test_average_ranks_match_pandas_on_both_paths(skewed, bound):
     got = with_average_rank(skewed, ["k"], "v", "r", bound).toPandas()
     assert len(got) == 40_000
     np.testing.assert_allclose(got.r, got.groupby("k").v.rank(method="average"))
+
+
+def test_clusters_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from panelcast.plans.materialize import shared_folder
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None),
+                               sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert shared_folder(session("local[3]")).startswith("/tmp/")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+
+
+def test_ensembles_keep_every_level(spark):
+    from panelcast.operators.ensemble import apply_ensemble, blend
+
+    levels = spark.createDataFrame([("1m", [1.0, 2.0, 3.0, 4.0, 5.0], [3.0, 4.0, 5.0, 6.0, 7.0])], "horizon string, a array<double>, b array<double>")
+    params = spark.createDataFrame([("1m", 0.5, 0.25)], "horizon string, w double, delta double")
+    assert levels.select(blend("a", "b", F.lit(0.5))).first()[0] == [2.0, 3.0, 4.0, 5.0, 6.0]
+    assert apply_ensemble(levels, params, "a", "b").first().ensemble == [1.75, 3.0, 4.0, 5.0, 6.25]

@@ -1,86 +1,126 @@
+"""The gate, the repair and what becomes of bad series."""
+
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from panelcast.config import ForecastConfig
-from panelcast.operators.quality import clean, enough_history, rejects, short_history
-from panelcast.sources.bars import normalise_symbol, read_bars, tidy_bars
+from panelcast.operators.features import compute_features
+from panelcast.operators.panel import build_panel
+from panelcast.operators.quality import (
+    TOO_MANY_NULLS, UNSTABLE, clean, enough_history, rejects, short_history, skip_report,
+)
 from panelcast.sinks.tables import write_bars
-from pyspark.sql import functions as F
-
+from panelcast.sources.bars import normalise_symbol, read_bars, tidy_bars
 from tests.conftest import make_ohlcv
 
+VALUES = ["Open", "High", "Low", "Close", "Volume"]
 
-def pdf(df, *order):
-    return df.orderBy(*(order or ["date"])).toPandas()
-
-
-def test_rejects_short_empty_and_gappy_series(spark, to_bars):
-    short = make_ohlcv(50, ticker="SHORT")
-    gappy = make_ohlcv(400, ticker="GAPPY")
-    gappy.loc[::10, "Close"] = np.nan
-    good = make_ohlcv(400, ticker="GOOD")
-    bars = to_bars(pd.concat([short, gappy, good]))
-    universe = spark.createDataFrame([("SHORT",), ("GAPPY",), ("GOOD",), ("GHOST",)], "ticker string")
-    reasons = {r.ticker: r.reason for r in rejects(bars, universe).collect()}
-    assert reasons == {
-        "SHORT": "only 50 rows (need >= 200)", "GAPPY": ">5% of Close is NaN", "GHOST": "empty frame",
-    }
-    assert {r.ticker for r in clean(bars).select("ticker").distinct().collect()} == {"GOOD"}
 
+def in_order(df):
+    return df.orderBy("ticker", "date").toPandas()
 
-def test_null_share_limit_is_strict(to_bars):
-    edge = make_ohlcv(400)
-    edge.loc[:19, "Close"] = np.nan  # exactly 5 %
-    assert clean(to_bars(edge)).count() == 380
 
+@pytest.mark.parametrize("share, passes", [(0.0, True), (0.02, True), (0.05, True), (0.06, False), (0.4, False)])
+@pytest.mark.parametrize("missing", [None, float("nan")])
+def test_share_of_missing_closes(to_bars, share, passes, missing):
+    series = make_ohlcv(300, seed=int(100 * share))
+    gaps = np.random.default_rng(1).choice(300, int(300 * share), replace=False)
+    at = F.col("date").isin([series.date[i] for i in gaps]) if len(gaps) else F.lit(False)
+    bars = to_bars(series).withColumn("Close", F.when(at, F.lit(missing).cast("double")).otherwise(F.col("Close")))
+    assert clean(bars).count() == (300 - len(gaps) if passes else 0)
 
-def test_drops_non_positive_close(to_bars, ohlcv):
-    bad = ohlcv.copy()
-    bad.loc[10, "Close"] = -1.0
-    out = clean(to_bars(bad))
-    assert out.count() == len(bad) - 1 and out.where("Close <= 0").count() == 0
 
-
-def test_spike_repair_matches_clipped_walk(to_bars, ohlcv):
-    bad = ohlcv.copy()
-    bad.loc[100, "Close"] = bad.loc[99, "Close"] * 3
-    out = pdf(clean(to_bars(bad)))
-    r = bad.Close.pct_change().clip(-0.5, 0.5).fillna(0)
-    rebuilt = bad.Close[0] * (1 + r).cumprod()
-    np.testing.assert_allclose(out.Close, rebuilt, rtol=1e-10)
-    assert out.Close.pct_change().abs().max() <= 0.5 + 1e-9
-    np.testing.assert_allclose(out.High, np.max([bad.Open, bad.High, bad.Low, rebuilt], axis=0))
-    np.testing.assert_allclose(out.Low, np.min([bad.Open, bad.High, bad.Low, rebuilt], axis=0))
-    np.testing.assert_array_equal(out.Open, bad.Open)
-    np.testing.assert_array_equal(out.Volume, bad.Volume)
-
-
-def test_calm_series_is_untouched(to_bars, ohlcv):
-    out = pdf(clean(to_bars(ohlcv)))
-    pd.testing.assert_frame_equal(out[["Open", "High", "Low", "Close", "Volume"]], ohlcv[["Open", "High", "Low", "Close", "Volume"]])
+def test_every_reason_is_reported_once(spark, to_bars, market):
+    wild = make_ohlcv(430, 3, "WILD")
+    wild["Close"] = np.resize([50.0, 300.0, 80.0, 20.0], 430)
+    holes = make_ohlcv(430, 4, "HOLES")
+    holes.loc[np.arange(0, 430, 7), "Close"] = np.nan
+    bars = to_bars(pd.concat([wild, holes, make_ohlcv(90, 5, "BRIEF"), make_ohlcv(230, 6, "YOUNG"), make_ohlcv(430, 7, "FINE")]))
+    cfg = ForecastConfig(window=60, horizons={"1m": 21})
+    universe = spark.createDataFrame([(t,) for t in ("WILD", "HOLES", "BRIEF", "YOUNG", "FINE", "NOWHERE")], "ticker string")
+    features = compute_features(clean(bars, cfg), market)
+    found = skip_report(bars, features, universe, cfg).collect()
+    reasons = {r.ticker: r.reason for r in found}
+    assert len(found) == len(reasons)
+    young = features.where("ticker = 'YOUNG'").count()
+    assert reasons["HOLES"] == TOO_MANY_NULLS and reasons["BRIEF"] == f"90 usable rows of {cfg.min_rows}" and reasons["NOWHERE"] == "no bars"
+    assert reasons["WILD"] == UNSTABLE and "FINE" not in reasons and ("YOUNG" not in reasons or young < cfg.min_feature_rows)
+
+
+def test_negative_and_zero_closes_go(to_bars):
+    series = make_ohlcv(260, 9)
+    series.loc[[31, 77, 200], "Close"] = [0.0, -3.5, -1e-9]
+    out = in_order(clean(to_bars(series)))
+    assert out.date.tolist() == series.drop([31, 77, 200]).date.tolist()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repair_against_a_running_product(to_bars, seed):
+    rng = np.random.default_rng(seed)
+    series = make_ohlcv(250, seed)
+    places = np.sort(rng.choice(np.arange(1, 250), 3, replace=False))
+    for p in places:  # a lasting jump, up or down
+        series.loc[p:, "Close"] *= rng.choice([0.2, 0.4, 1.8, 4.0])
+    want, previous = [series.Close[0]], series.Close[0]
+    for c in series.Close[1:]:
+        want.append(want[-1] * (1 + min(0.5, max(-0.5, c / previous - 1))))
+        previous = c
+    out = in_order(clean(to_bars(series)))
+    np.testing.assert_allclose(out.Close, want, rtol=1e-9)
+    for row, old in zip(out.itertuples(), series.itertuples()):
+        assert row.High == pytest.approx(max(old.Open, old.High, old.Low, row.Close)) and row.Low == pytest.approx(min(old.Open, old.High, old.Low, row.Close))
+        assert (row.Open, row.Volume) == (old.Open, old.Volume)
+
+
+def test_calm_series_pass_bit_by_bit(to_bars):
+    series = make_ohlcv(280, 12)
+    assert clean(to_bars(series)).exceptAll(to_bars(series)).count() == 0 and clean(to_bars(series)).count() == 280
+
+
+def test_bad_neighbours_leave_a_good_series_alone(to_bars, market):
+    good, cfg = make_ohlcv(430, 13, "GOOD"), ForecastConfig(window=60, horizons={"1m": 21})
+    vanishing = make_ohlcv(430, 14, "VANISH")
+    vanishing["Close"] = np.resize([100.0, 400.0, 150.0, 60.0, 25.0], 430)
+    patchy = make_ohlcv(430, 15, "PATCHY")
+    patchy.loc[215, "High"] = np.nan
+    alone = build_panel(to_bars(good), market, cfg)
+    together = build_panel(to_bars(pd.concat([vanishing, good, patchy])), market, cfg)
+    assert together.where("ticker = 'VANISH'").count() == 0
+    ours = together.where("ticker = 'GOOD'")
+    assert ours.count() == alone.count() > 0 and ours.exceptAll(alone).count() == 0
+    patched = in_order(clean(to_bars(patchy)))
+    assert len(patched) == 429 and not patched[VALUES].isna().any().any()
 
 
 def test_history_gate(features):
-    cfg = ForecastConfig(window=60, horizons={"1m": 21})
+    short = ForecastConfig(window=60, horizons={"1m": 21})
     n = features.count()
-    assert enough_history(features, cfg).count() == n
-    assert enough_history(features).count() == 0
-    assert short_history(features).first().reason == f"only {n} feature rows (need >= 378)"
+    assert enough_history(features, short).count() == n and enough_history(features).count() == 0
+    assert short_history(features).first().reason == f"{n} feature rows of {ForecastConfig().min_feature_rows}"
 
 
-def test_tidy_bars_turns_nan_into_null_and_drops(spark, to_bars, ohlcv):
-    raw = to_bars(ohlcv).withColumn("Open", F.when(F.col("date") == F.lit(ohlcv.date[3]), float("nan")).otherwise(F.col("Open")))
-    assert tidy_bars(raw).count() == len(ohlcv) - 1
+def test_incomplete_rows_are_untidy(to_bars, ohlcv):
+    at = F.col("date") == F.lit(ohlcv.date[17])
+    for column in VALUES:
+        raw = to_bars(ohlcv).withColumn(column, F.when(at, float("nan")).otherwise(F.col(column)))
+        assert tidy_bars(raw).count() == len(ohlcv) - 1
 
 
-def test_symbols_and_bar_cache(spark, to_bars, tmp_path, ohlcv):
-    assert spark.range(1).select(normalise_symbol(F.lit("brk.b"))).first()[0] == "BRK-B"
-    bars = to_bars(pd.concat([ohlcv, make_ohlcv(30, 2, "T1")]))
+def test_symbols_and_bar_cache(spark, to_bars, tmp_path):
+    assert [spark.range(1).select(normalise_symbol(F.lit(s))).first()[0] for s in ("rds.a", "x", "A.b.C")] == ["RDS-A", "X", "A-B-C"]
+    one, two = make_ohlcv(50, 1, "AB"), make_ohlcv(70, 2, "CD")
+    bars = to_bars(pd.concat([one, two]))
     write_bars(bars, str(tmp_path / "cache"))
-    assert read_bars(spark, str(tmp_path / "cache")).exceptAll(bars).count() == 0
+    back = read_bars(spark, str(tmp_path / "cache"))
+    assert back.exceptAll(bars).count() == 0 and back.count() == 120
     (tmp_path / "files").mkdir()
-    for t in ("T0", "T1"):
-        part = ohlcv.drop(columns="ticker")
-        part.to_parquet(tmp_path / "files" / f"{t}.parquet", index=False)
+    for name, part in (("AB", one), ("CD", two)):
+        part.drop(columns="ticker").to_parquet(tmp_path / "files" / f"{name}.parquet", index=False)
     named = read_bars(spark, str(tmp_path / "files"), ticker_from_file=True)
-    assert {r.ticker for r in named.select("ticker").distinct().collect()} == {"T0", "T1"} and named.count() == 800
+    assert {r.ticker: r["count"] for r in named.groupBy("ticker").count().collect()} == {"AB": 50, "CD": 70}
+
+
+def test_rejects_need_no_universe(to_bars):
+    assert [r.ticker for r in rejects(to_bars(make_ohlcv(40, ticker="TINY"))).collect()] == ["TINY"]
