@@ -89,3 +89,25 @@ SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.turn) AS tu
          || ',"result":' || coalesce(to_json(a.text), 'null') || '}' AS json
 FROM calls c LEFT JOIN lev l USING (conv_id, turn) FULL JOIN answers a ON a.call_id = c.call_id
 """
+
+ORACLES["op9_near_dedup"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3])) END)) AS g
+  FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM t
+  UNION
+  SELECT reach.doc_id, sym.b FROM reach JOIN sym ON reach.r = sym.a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r) AS component_id, t.doc_id = min(r) AS kept
+FROM t JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY t.doc_id, n.n
+"""
