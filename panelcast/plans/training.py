@@ -20,7 +20,7 @@ from panelcast.operators.ensemble import apply_ensemble, fit_ensemble
 from panelcast.operators.metrics import score_table
 from panelcast.operators.panel import latest_rows, month_end_anchors
 from panelcast.operators.series_vol import SeriesVol
-from panelcast.operators.trees import LeafQuantileForest
+from panelcast.operators.trees import LeafQuantileForest, TreeForecaster
 from panelcast.operators.views import forecast_records, forecast_rows, price_arrays, price_history
 from panelcast.plans.materialize import materialize
 from panelcast.schemas import FEATURES
@@ -28,7 +28,7 @@ from panelcast.sinks.documents import metrics_document, write_model_card, write_
 from panelcast.sinks.tables import write_drift_reference
 from panelcast.sources.reference_data import read_metrics_params
 
-MODEL_ORDER = ["random_walk", "baseline", "gbm", "series_vol"]
+BASELINES = ["random_walk", "baseline"]  # then the tree model, the series model and the ensemble
 
 
 @dataclass
@@ -37,7 +37,7 @@ class Training:
     preds: DataFrame  # wide: key columns, y and one quantile array per model
     params: DataFrame | None  # (horizon, w, delta)
     scores: DataFrame  # (model, horizon, metrics...)
-    forest: LeafQuantileForest
+    forest: TreeForecaster
 
 
 def anchor_rows(panel: DataFrame, folds: list[Fold], cfg: ForecastConfig = DEFAULTS, keep: list[str] | None = None) -> DataFrame:
@@ -59,10 +59,12 @@ def predict_anchors(
 
 def run_training(
     panel: DataFrame, bars: DataFrame | None, cfg: ForecastConfig = DEFAULTS, out_dir: str | None = None,
-    forest: LeafQuantileForest | None = None,
+    forest: TreeForecaster | None = None,
 ) -> Training:
     """Fit every model per fold, predict the test anchors, blend, calibrate and score.
 
+    `forest` is any TreeForecaster; it is reported under its own name.
+
     `panel` should be a written table: every fit scans it. Without bars the price-history
     model and the ensemble are left out.
     """
@@ -72,11 +74,11 @@ def run_training(
     rows = materialize(anchor_rows(panel, folds, cfg, keep=FEATURES), "anchors")
     preds = predict_anchors(panel, bars, folds, cfg, forest.predict(rows).drop(*FEATURES))
     preds = materialize(preds, "predictions")
-    models, params = MODEL_ORDER[:3], None
+    models, params = [*BASELINES, forest.name], None
     if bars is not None:
-        params = materialize(fit_ensemble(preds, "series_vol", "gbm", cfg).repartition(1), "params")
-        preds = apply_ensemble(preds, params, "series_vol", "gbm")
-        models = MODEL_ORDER + ["ensemble"]
+        params = materialize(fit_ensemble(preds, "series_vol", forest.name, cfg).repartition(1), "params")
+        preds = apply_ensemble(preds, params, "series_vol", forest.name)
+        models = [*models, "series_vol", "ensemble"]
     scores = materialize(score_table(preds, models, cfg).repartition(1), "scores")
     if out_dir:
         forest.save(f"{out_dir}/forest")
@@ -87,7 +89,7 @@ def run_training(
 
 
 def out_of_sample_signal(panel: DataFrame, cfg: ForecastConfig = DEFAULTS, horizon: str = "1m",
-                         forest: LeafQuantileForest | None = None) -> DataFrame:
+                         forest: TreeForecaster | None = None) -> DataFrame:
     """The tree model's predicted median against realized return on all test anchors."""
     folds = require_folds(walk_forward_folds(panel, cfg))
     forest = (forest or LeafQuantileForest(cfg)).fit_folds(panel, folds, [horizon])
@@ -96,11 +98,12 @@ def out_of_sample_signal(panel: DataFrame, cfg: ForecastConfig = DEFAULTS, horiz
 
 
 def run_backtest(panel: DataFrame, cfg: ForecastConfig = DEFAULTS, out_dir: str | None = None, horizon: str = "1m",
-                 forest: LeafQuantileForest | None = None) -> DataFrame:
+                 forest: TreeForecaster | None = None) -> DataFrame:
     """The backtest report (one nested row) on the tree model's signal."""
+    forest = forest or LeafQuantileForest(cfg)
     signal = materialize(require_signal(out_of_sample_signal(panel, cfg, horizon, forest)), "signal")
     monthly = materialize(monthly_returns(signal, cfg).repartition(1), "monthly")
-    report = backtest_report(monthly, horizon, cfg)
+    report = backtest_report(monthly, horizon, cfg, forest.name)
     if out_dir:
         write_one_document(report, f"{out_dir}/backtest")
         write_records(track_record(signal, cfg), f"{out_dir}/stock_track")
@@ -110,6 +113,7 @@ def run_backtest(panel: DataFrame, cfg: ForecastConfig = DEFAULTS, out_dir: str
 def run_export(
     spark: SparkSession, features: DataFrame, raw_bars: DataFrame, artifacts: str, out_dir: str,
     meta: DataFrame | None = None, cfg: ForecastConfig = DEFAULTS, use_series_model: bool = True,
+    kind: type[TreeForecaster] = LeafQuantileForest,
 ) -> DataFrame:
     """Live forecasts for every ticker's latest row, price histories and the metrics copy.
 
@@ -119,7 +123,7 @@ def run_export(
     latest = materialize(latest_rows(features, cfg), "latest")
     if latest.isEmpty():
         raise ValueError("no usable tickers to forecast")
-    forest = LeafQuantileForest.load(spark, f"{artifacts}/forest", cfg)
+    forest = kind.load(spark, f"{artifacts}/forest", cfg)
     horizons = F.explode(F.array(*[F.lit(h) for h in cfg.horizons])).alias("horizon")
     rows = latest.select("*", F.lit(0).alias("fold"), horizons)
     scored = forest.predict(rows)

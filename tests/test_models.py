@@ -197,3 +197,20 @@ def test_boosting_beats_the_constant_quantile(planted_panel):
         return np.maximum(a * (got.y_1m - p), (a - 1) * (got.y_1m - p)).mean()
 
     assert loss(q[:, 1], 0.5) < 0.95 * loss(np.median(got.y_1m), 0.5)
+
+
+def test_boosted_forecaster_runs_in_a_job_and_reloads(spark, planted_panel, tmp_path):
+    from panelcast.operators.cv import walk_forward_folds
+    from panelcast.operators.trees import BoostedForecaster
+    from panelcast.plans.training import out_of_sample_signal
+
+    cfg = ForecastConfig(horizons={"1m": 21}, n_folds=2, quantiles=(0.1, 0.3, 0.5, 0.7, 0.9))
+    model = BoostedForecaster(cfg, rounds=2, depth=2)
+    signal = out_of_sample_signal(planted_panel, cfg, "1m", model)
+    assert signal.count() > 0 and len(model.fitted) == len(walk_forward_folds(planted_panel, cfg))
+    model.save(str(tmp_path / "boosted"))
+    again, rows = BoostedForecaster.load(spark, str(tmp_path / "boosted"), cfg), planted_panel.limit(6)
+    last = max(f for f, _ in model.fitted)
+    ours = model.predict_one(rows, "1m", last).orderBy("ticker", "end_date").collect()
+    assert ours == again.predict_one(rows, "1m").orderBy("ticker", "end_date").collect()
+    assert all(len(r.boosted) == 5 and sorted(r.boosted) == r.boosted for r in ours)
