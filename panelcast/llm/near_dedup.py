@@ -27,6 +27,7 @@ extra columns are ignored by `near_duplicates` and untouched by `deduplicated`;
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -39,6 +40,7 @@ REGISTERS, BAND = 128, 4
 MANTISSA, VALUE_BITS = 10, 57
 MARGIN = 0.2  # more than five standard deviations of the estimate
 SMALL = 16
+MOST_BITS = 1 << 27
 BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_COLUMNS = 2048, 1_000_000, 4096
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -161,15 +163,42 @@ def _likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     return _paired(pairs, sketched, ["n_shingles", "registers"]).filter(fits).mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _among(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+    """The rows whose column is a value of nodes.__node, wide columns and all.
+
+    A Bloom filter of the nodes drops nearly all other rows before the join shuffles them. It has 16 bits a
+    node, MOST_BITS at most (16 MB); beyond eight million nodes it lets more through, and the join still decides.
+    """
+    nodes = materialize(nodes.distinct(), "nodes")
+    size = 1 << 16
+    wanted = min(MOST_BITS, 16 * nodes.count())
+    while size < wanted:
+        size *= 2
+    hashed = lambda c: [F.xxhash64(c).bitwiseAND(F.lit(size - 1).cast("long")), F.shiftrightunsigned(F.xxhash64(c), 32).bitwiseAND(F.lit(size - 1).cast("long"))]
+    places = nodes.select(F.explode(F.array(*hashed("__node"))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b")).toPandas()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def maybe(first: pd.Series, second: pd.Series) -> pd.Series:
+        held = lambda p: (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
+        return pd.Series((held(first.to_numpy()) & held(second.to_numpy())).astype(bool))
+
+    likely = rows.filter(F.col(column).isNotNull()).withColumns({"__first": hashed(column)[0], "__second": hashed(column)[1]})
+    likely = likely.filter(maybe("__first", "__second")).drop("__first", "__second")
+    return likely.join(nodes, F.col(column) == F.col("__node"), "left_semi")
+
+
 def _sets(nodes: DataFrame, docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
     """node and its full set, for the nodes in the column __node."""
 
     def sets(texts: list[bytes]) -> list[list]:
         return [[shingle_set(t, width).tobytes() for t in texts]]
 
-    concerned = docs.select(F.col(f"`{id}`").alias("node"), F.col(f"`{text}`").alias("text")).join(
-        nodes.distinct(), F.col("node") == F.col("__node"), "left_semi")
-    return map_texts(concerned, "text", ["node"], "set binary", sets)
+    rows = docs.select(F.col(f"`{id}`").alias("node"), F.col(f"`{text}`").alias("text"))
+    return map_texts(_among(rows, "node", nodes), "text", ["node"], "set binary", sets)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
@@ -266,10 +295,13 @@ def near_duplicates(
     # Equal sets: the smallest id stands for the class, here called node.
     classes = sketched.filter("id IS NOT NULL").groupBy("signature").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).filter("signature IS NOT NULL")
     classes = materialize(classes, "classes")
-    heads = sketched.join(classes.select("node"), F.col("id") == F.col("node"), "left_semi").filter("signature IS NOT NULL").withColumnRenamed("id", "node")
-    places = heads.select("node", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = materialize(places.join(shared.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key")).select("key", "node", "low"), "members")
+    # Buckets first, heads of classes after: so only narrow rows of shared buckets are joined with the classes.
+    places = sketched.filter("id IS NOT NULL").select("id", F.explode("bands").alias("key"))
+    shared = places.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    met = places.join(shared.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key")).select("key", F.col("id").alias("node"), "low")
+    members = materialize(met.join(classes.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_semi"), "members")
+    heads = sketched.filter("signature IS NOT NULL").select(F.col("id").alias("node"), "n_shingles", "registers")
+    heads = materialize(_among(heads, "node", members.filter("node <> low").select(F.explode(F.array("node", "low")).alias("__node"))), "heads")
 
     pairs = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     tested = materialize(pairs, "tested")
