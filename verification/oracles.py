@@ -345,6 +345,8 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
             FROM panel p JOIN folds f ON p.end_date BETWEEN f.test_lo AND f.block_end GROUP BY fold"""),
         "cv_roles_rows_purge": _q(["blocks", "panel"], """SELECT fold, 'train' AS role, count(*) AS n, max(end_date) AS last FROM panel p JOIN blocks f ON p.label_end < f.test_lo
             GROUP BY fold UNION ALL SELECT fold, 'test', count(*), max(end_date) FROM panel p JOIN blocks f ON p.end_date BETWEEN f.test_lo AND f.block_end GROUP BY fold"""),
+        "m_boosted_invariants": _q(["scoredl"], """SELECT fold, horizon, count(*) AS n, 0 AS nulls, 0 AS crossings, 0 AS outside
+            FROM scoredl GROUP BY fold, horizon"""),
         "cv_scored_anchors": _q(["scored"], "SELECT ticker, end_date, fold, split FROM scored"),
         "m_random_walk": _q(["rw"], f"SELECT fold, horizon, {_r(QS, 6)} FROM rw"),
         "m_hist_quantile": _q(["hq"], f"SELECT fold, horizon, {_r(QS, 6)} FROM hq"),

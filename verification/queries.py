@@ -15,7 +15,7 @@ from panelcast.functions.windows import series
 from panelcast.operators import backtest as bt
 from panelcast.operators import quality, views
 from panelcast.operators.baselines import HistoricalQuantile, RandomWalk, training_labels
-from panelcast.operators.cv import fold_blocks, fold_roles, in_test, in_train, scored_anchors, walk_forward_folds
+from panelcast.operators.cv import fold_blocks, fold_roles, scored_anchors, walk_forward_folds
 from panelcast.operators.ensemble import align_predictions
 from panelcast.operators.features import compute_features, join_market
 from panelcast.operators.metrics import drift_reference, score_table
@@ -23,8 +23,8 @@ from panelcast.operators.panel import latest_rows, month_end_anchors, sliding_wi
 from panelcast.operators.series_vol import (
     SeriesVol, garch_volatility, log_prices, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
 )
-from panelcast.operators.trees import LeafQuantileForest, boosted_quantiles
-from panelcast.plans.materialize import run_folder
+from panelcast.operators.trees import BoostedForecaster, LeafQuantileForest
+from panelcast.plans.materialize import materialize, run_folder
 from panelcast.plans.training import anchor_rows, out_of_sample_signal
 from panelcast.schemas import FEATURES, MARKET_COLS
 from panelcast.sinks.documents import flat_metrics, metrics_document, model_card, write_one_document
@@ -319,12 +319,31 @@ def m_leaf_forest(spark, sf):
     return rounded(out_of_sample_signal(ds.panel(spark, sf), CFG, "1m", LeafQuantileForest(CFG, trees=10, depth=5)), ["pred", "realized"], 6)
 
 
+@ds.once
+def _boosted(spark, sf):
+    """Boosted quantiles of every test anchor: all folds and horizons."""
+    folds, data = ds.folds(spark, sf), ds.panel(spark, sf)
+    model = BoostedForecaster(CFG, rounds=2, depth=3).fit_folds(data, folds)
+    return materialize(model.predict(anchor_rows(data, folds, CFG, keep=FEATURES)).drop(*FEATURES), "boosted")
+
+
 @query
 def m_boosted(spark, sf):
-    first = ds.folds(spark, sf)[0]
-    data = ds.panel(spark, sf)
-    test = month_end_anchors(data.where(in_test(first)))
-    return with_quantiles(boosted_quantiles(data.where(in_train(first)), test, "y_1m", CFG, rounds=4), "q", "ticker", "end_date")
+    return with_quantiles(_boosted(spark, sf), "boosted", "fold", "ticker", "end_date", "horizon")
+
+
+@query
+def m_boosted_invariants(spark, sf):
+    """What must hold of any quantile forecast: one per anchor, no nulls, no crossings, within the labels trained on."""
+    q = F.col("boosted")
+    labels = training_labels(ds.panel(spark, sf), ds.folds(spark, sf), CFG).groupBy("fold", "horizon").agg(
+        F.min("y").alias("least"), F.max("y").alias("most"))
+    rows = _boosted(spark, sf).join(F.broadcast(labels), ["fold", "horizon"])  # one row for each fold and horizon
+    span = F.col("most") - F.col("least")
+    return rows.groupBy("fold", "horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.size(q) != 3) | F.exists(q, lambda v: v.isNull())).alias("nulls"),
+        F.count_if((q[0] > q[1]) | (q[1] > q[2])).alias("crossings"),
+        F.count_if((q[0] < F.col("least") - span) | (q[2] > F.col("most") + span)).alias("outside"))
 
 
 # --- ensemble and scores -------------------------------------------------------------------
