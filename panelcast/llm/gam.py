@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelcast.llm.common import smallest_hashes
 from panelcast.llm.quality_rules import rule_ledger
 
 FEATURES = ["log_words", "word_length", "symbols", "exclaims", "capitals", "marks", "repeats", "dup_lines", "line_words"]
@@ -148,7 +149,7 @@ def features(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFra
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """labels: id and label 0 or 1. The sample is taken before any text is read."""
     marked = labels.select(F.col(id).alias("__id"), F.col(label).cast("double").alias("__y")).filter("__y IS NOT NULL AND __id IS NOT NULL")
-    sample = marked.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
+    sample = F.broadcast(smallest_hashes(marked, "__id", max_rows).drop("__hash"))  # ids and labels, at most max_rows
     rows = docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("__t")).join(sample, "__id")
     learnt = features(rows.select(F.struct("__id", "__y").alias("k"), "__t"), "__t", "k").select("k.*", *FEATURES).toPandas()
     learnt = learnt.sort_values(["__id", "__y", *FEATURES])  # the fit does not depend on the order of tasks
