@@ -28,7 +28,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from panelcast.llm.common import map_texts
+from panelcast.llm.common import map_texts, smallest_hashes
 
 MAX_PAGES = 300
 PATH_SLOTS, WORD_SLOTS, NUMBERS = 512, 64, 5
@@ -150,7 +150,7 @@ def inputs(blocks: list[Block]) -> np.ndarray:
         for w in words:
             row[PATH_SLOTS + zlib.crc32(w.encode()) % WORD_SLOTS] += 1
         row[PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] /= len(words)
-        row[-NUMBERS:] = (np.log1p(len(words)) / 5, min(1.0, b.linked / len(b.text)), i / n, (n - i) / n, b.text[-1] in ".!?")
+        row[-NUMBERS:] = (np.log1p(len(words)) / 5, min(1.0, b.linked / len(b.text)), 1 / (1 + i), 1 / (n - i), b.text[-1] in ".!?")
     return x
 
 
@@ -290,6 +290,8 @@ def layouts(texts: list[list[str]], rng: np.random.Generator, count: int) -> lis
     for n in range(count):
         page = texts[n % len(texts)] if texts else [" ".join(rng.permutation(FIXED_WORDS)) for _ in range(3)]
         page = [pick(page) for _ in page] if rng.random() < 0.3 else page
+        if n % 25 == 0:  # some pages are long: what is learnt must hold however far the ends of the page are
+            page = [" ".join(pick(page).split()[: int(rng.integers(2, 30))]) for _ in range(int(rng.integers(60, 400)))]
         marked = lambda t: f"{t}\u0001"  # noqa: E731  a mark that the labels are read from and that is taken off again
 
         def side(kind: str) -> str:
@@ -318,8 +320,9 @@ def layouts(texts: list[list[str]], rng: np.random.Generator, count: int) -> lis
 
 
 def train_labeller(pages: DataFrame, html: str = "html", id: str = "page_id", max_pages: int = MAX_PAGES) -> Labeller:
-    sample = pages.select(F.col(f"`{html}`").alias("h"), F.xxhash64(F.col(f"`{id}`")).alias("k")).filter("length(h) > 0").orderBy("k", "h").limit(max_pages)
-    read = [read_blocks(r.h) for r in sample.collect()]
+    filled = pages.select(F.col(f"`{html}`").alias("h"), F.col(f"`{id}`").alias("k")).filter("length(h) > 0")
+    sample = sorted(smallest_hashes(filled, "k", max_pages).collect(), key=lambda r: (r["__hash"], r.h))
+    read = [read_blocks(r.h) for r in sample]
     main = lambda b: ("<article" in b.path or "<main" in b.path)
     real = [(blocks, np.array([main(b) for b in blocks], np.float32)) for blocks in read if any(map(main, blocks))]
     texts = [[b.text for b in blocks if main(b)] for blocks, _ in real]
