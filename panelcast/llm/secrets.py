@@ -3,8 +3,9 @@ r"""Secret scans: known shapes, and a randomness test battery for strings of no
 Known shapes (base kinds) are matched leftmost and without overlap, each kind by itself:
 `assign` (a secret-like name, a sign, a value of 6 or more), `access` (access key ids) and `hex`.
 
-The battery takes every run of 16 or more characters of [A-Za-z0-9+/_-] that holds letters and
-digits and meets no base span. The encoding is inferred from its characters (hexadecimal, base 32,
+The battery takes every run of 16 or more characters of [A-Za-z0-9+/_-]. Base spans are cut out of
+it, and every remaining piece of 16 or more characters is tested by itself, without the mark that
+joined it to a base span. The encoding is inferred from its characters (hexadecimal, base 32,
 base 64) and gives the alphabet. Under the hypothesis "drawn uniformly from this alphabet" three
 tests are made: chi-squared uniformity, runs of character classes, and serial correlation; Fisher's
 method combines them. Identifiers and prose are far from uniform and are dismissed; what cannot be
@@ -28,7 +29,9 @@ from panelcast.llm.common import settled, whole
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 or more characters in all
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_-]{16,}"
+LEAST_RUN = 16
+RUN = rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}"
+MARKS = "[+/_-]"
 KINDS = ["assign", "access", "hex", "random"]
 MIN_VALUE = 6
 
@@ -119,6 +122,28 @@ def randomness(s: Column, encoding: Column) -> Column:
     return _bounded(F.aggregate(F.array(logs), F.lit(0.0), lambda acc, x: F.exp(-x) * (1 + x + x * x / 2)))  # chi-squared of 6 degrees
 
 
+def _pieces(run: Column, base: Column) -> Column:
+    """What the base spans (by start) leave of a run, as (start, end, value); the value lacks a mark at a cut."""
+    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    place = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    empty = F.filter(F.array(place(run["start"], run["end"])), lambda x: F.lit(False))
+
+    def upto(acc, end):
+        return F.when(end - acc["at"] >= LEAST_RUN, F.array_append(acc["out"], place(acc["at"], end))).otherwise(acc["out"])
+
+    left = F.aggregate(met, state(run["start"], empty), lambda acc, b: state(F.greatest(acc["at"], b["end"]), upto(acc, b["start"])),
+                       lambda acc: upto(acc, run["end"]))
+
+    def piece(x):
+        value = F.substring(run["value"], (x["start"] - run["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+        value = F.when(x["start"] > run["start"], F.regexp_replace(value, f"^{MARKS}", "")).otherwise(value)
+        value = F.when(x["end"] < run["end"], F.regexp_replace(value, f"{MARKS}$", "")).otherwise(value)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"))
+
+    return F.transform(left, piece)
+
+
 def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """`keep`, __base spans and __candidates (start, kind, end, p)."""
     df = docs.select(*[F.col(f"`{k}`") for k in keep], whole(text).alias("__text"))
@@ -127,14 +152,15 @@ def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         "__assign": F.filter(_spans(t, ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= MIN_VALUE),
         "__access": F.when(F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, 1)).otherwise(F.filter(_spans(F.lit(""), ACCESS, 1), lambda x: F.lit(False))),
         "__hex": _spans(t, HEX, 2),
-        "__runs": F.filter(_spans(t, RUN, 3), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")),
+        "__runs": _spans(t, RUN, 3),
     })
     plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     df = df.select(*keep, "__runs", F.sort_array(F.concat(plain("__assign"), plain("__access"), plain("__hex"))).alias("__base"))
-    apart = F.filter("__runs", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    coded = F.transform(apart, lambda x: F.struct(x["start"], x["kind"], x["end"], x["value"], _encoding(x["value"]).alias("code")))
+    pieces = F.flatten(F.transform("__runs", lambda x: _pieces(x, F.col("__base"))))
+    df = settled(df, keep + ["__base"], {"__pieces": pieces})
+    coded = F.transform("__pieces", lambda x: F.struct(x["start"], x["end"], x["value"], _encoding(x["value"]).alias("code")))
     return settled(df, keep + ["__base"], {"__candidates": F.transform(coded, lambda x: F.struct(
-        x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), randomness(x["value"], x["code"]).alias("p")))})
+        x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"), randomness(x["value"], x["code"]).alias("p")))})
 
 
 def _bin(c: Column) -> Column:
