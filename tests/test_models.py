@@ -214,3 +214,31 @@ def test_boosted_forecaster_runs_in_a_job_and_reloads(spark, planted_panel, tmp_
     ours = model.predict_one(rows, "1m", last).orderBy("ticker", "end_date").collect()
     assert ours == again.predict_one(rows, "1m").orderBy("ticker", "end_date").collect()
     assert all(len(r.boosted) == 5 and sorted(r.boosted) == r.boosted for r in ours)
+
+
+def test_boosted_queries_run_the_defaults_and_count_every_overshoot(spark, planted_panel, monkeypatch):
+    from panelcast.operators.baselines import training_labels
+    from panelcast.operators.cv import walk_forward_folds
+    from verification import queries
+
+    folds, made = walk_forward_folds(planted_panel, queries.CFG), []
+
+    class Stop(Exception):
+        pass
+
+    def fit_folds(self, panel, folds, horizons=None):
+        made.append((self.options, horizons, folds))
+        raise Stop
+
+    monkeypatch.setattr(queries.ds, "panel", lambda spark, sf: planted_panel)
+    monkeypatch.setattr(queries.ds, "folds", lambda spark, sf: folds)
+    monkeypatch.setattr(queries.BoostedForecaster, "fit_folds", fit_folds)
+    with pytest.raises(Stop):
+        queries._boosted.__wrapped__(spark, "")
+    assert made == [({}, None, folds)]
+
+    ends = training_labels(planted_panel, folds, queries.CFG).groupBy("fold", "horizon").agg(F.min("y").alias("a"), F.max("y").alias("b"))
+    over = F.col("b") + (F.col("b") - F.col("a")) * 0.5
+    rows = ends.select("fold", "horizon", F.explode(F.array(F.array("a", "a", "b"), F.array("a", "b", over))).alias("boosted"))
+    monkeypatch.setattr(queries, "_boosted", lambda spark, sf: rows)
+    assert {(r.n, r.nulls, r.crossings, r.outside) for r in queries.m_boosted_invariants(spark, "").collect()} == {(2, 0, 0, 1)}

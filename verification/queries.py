@@ -323,7 +323,7 @@ def m_leaf_forest(spark, sf):
 def _boosted(spark, sf):
     """Boosted quantiles of every test anchor: all folds and horizons."""
     folds, data = ds.folds(spark, sf), ds.panel(spark, sf)
-    model = BoostedForecaster(CFG, rounds=2, depth=3).fit_folds(data, folds)
+    model = BoostedForecaster(CFG).fit_folds(data, folds)
     return materialize(model.predict(anchor_rows(data, folds, CFG, keep=FEATURES)).drop(*FEATURES), "boosted")
 
 
@@ -339,11 +339,10 @@ def m_boosted_invariants(spark, sf):
     labels = training_labels(ds.panel(spark, sf), ds.folds(spark, sf), CFG).groupBy("fold", "horizon").agg(
         F.min("y").alias("least"), F.max("y").alias("most"))
     rows = _boosted(spark, sf).join(F.broadcast(labels), ["fold", "horizon"])  # one row for each fold and horizon
-    span = F.col("most") - F.col("least")
     return rows.groupBy("fold", "horizon").agg(
         F.count(F.lit(1)).alias("n"), F.count_if((F.size(q) != 3) | F.exists(q, lambda v: v.isNull())).alias("nulls"),
         F.count_if((q[0] > q[1]) | (q[1] > q[2])).alias("crossings"),
-        F.count_if((q[0] < F.col("least") - span) | (q[2] > F.col("most") + span)).alias("outside"))
+        F.count_if((q[0] < F.col("least")) | (q[2] > F.col("most"))).alias("outside"))
 
 
 # --- ensemble and scores -------------------------------------------------------------------
