@@ -242,3 +242,26 @@ def test_boosted_queries_run_the_defaults_and_count_every_overshoot(spark, plant
     rows = ends.select("fold", "horizon", F.explode(F.array(F.array("a", "a", "b"), F.array("a", "b", over))).alias("boosted"))
     monkeypatch.setattr(queries, "_boosted", lambda spark, sf: rows)
     assert {(r.n, r.nulls, r.crossings, r.outside) for r in queries.m_boosted_invariants(spark, "").collect()} == {(2, 0, 0, 1)}
+
+
+def test_forest_query_runs_the_defaults_over_all_folds_and_horizons(spark, planted_panel, monkeypatch):
+    from panelcast.operators.cv import walk_forward_folds
+    from panelcast.plans.training import anchor_rows
+    from verification import queries
+
+    folds, made, fit_one = walk_forward_folds(planted_panel, queries.CFG), [], LeafQuantileForest.fit_one
+
+    def quick(self, train, horizon, fold=0):
+        made.append((self.trees, self.depth, self.min_leaf, fold, horizon))
+        self.trees, self.depth = 2, 2
+        fit_one(self, train, horizon, fold)
+        self.trees, self.depth = made[-1][:2]
+
+    monkeypatch.setattr(queries.ds, "panel", lambda spark, sf: planted_panel)
+    monkeypatch.setattr(queries.ds, "folds", lambda spark, sf: folds)
+    monkeypatch.setattr(LeafQuantileForest, "fit_one", quick)
+    got = queries.m_leaf_forest(spark, "").collect()
+    assert made == [(20, 6, 50, f.fold, h) for f in folds for h in ("1m", "3m", "6m")]
+    anchors = {(r.fold, r.ticker, r.end_date, r.horizon): round(r.y, 6) for r in anchor_rows(planted_panel, folds, queries.CFG).collect()}
+    assert len(got) == len(anchors) and {(r.fold, r.ticker, r.end_date, r.horizon): r.realized for r in got} == pytest.approx(anchors)
+    assert all(r.q10 <= r.q50 <= r.q90 and r.pred == r.q50 for r in got)

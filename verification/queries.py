@@ -25,7 +25,7 @@ from panelcast.operators.series_vol import (
 )
 from panelcast.operators.trees import BoostedForecaster, LeafQuantileForest
 from panelcast.plans.materialize import materialize, run_folder
-from panelcast.plans.training import anchor_rows, out_of_sample_signal
+from panelcast.plans.training import anchor_rows
 from panelcast.schemas import FEATURES, MARKET_COLS
 from panelcast.sinks.documents import flat_metrics, metrics_document, model_card, write_one_document
 from panelcast.sinks.tables import write_bars, write_panel
@@ -316,7 +316,12 @@ def m_garch_vol(spark, sf):
 
 @query
 def m_leaf_forest(spark, sf):
-    return rounded(out_of_sample_signal(ds.panel(spark, sf), CFG, "1m", LeafQuantileForest(CFG, trees=10, depth=5)), ["pred", "realized"], 6)
+    """Forest quantiles of every test anchor, all folds and horizons; pred (the median) and realized are the signal."""
+    folds, data = ds.folds(spark, sf), ds.panel(spark, sf)
+    model = LeafQuantileForest(CFG).fit_folds(data, folds)
+    rows = materialize(anchor_rows(data, folds, CFG, keep=FEATURES), "anchors")
+    scored = model.predict(rows).withColumns({"pred": F.round(F.col("gbm")[1], 6), "realized": F.round("y", 6)})
+    return with_quantiles(scored, "gbm", "fold", "ticker", "end_date", "horizon", "pred", "realized")
 
 
 @ds.once
