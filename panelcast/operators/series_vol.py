@@ -67,11 +67,12 @@ def band(spread: Column, cfg: ForecastConfig = DEFAULTS) -> Column:
     return F.sort_array(F.array(*[F.exp(spread * v) - 1 for v in z]))
 
 
-def quantile_paths(anchors: DataFrame, steps: int, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+def quantile_paths(anchors: DataFrame, steps: int | list[int], cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """Step-by-step log-price quantiles (ticker, end_date, step, path) from anchors that carry
-    log_price and sigma."""
+    log_price and sigma. `steps` is the last step, or a list of the steps wanted."""
     z = [0.0 if q == 0.5 else NormalDist().inv_cdf(q) for q in cfg.quantiles]
-    each = anchors.select("ticker", "end_date", "log_price", "sigma", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    wanted = F.sequence(F.lit(1), F.lit(steps)) if isinstance(steps, int) else F.array(*[F.lit(s) for s in steps])
+    each = anchors.select("ticker", "end_date", "log_price", "sigma", F.explode(wanted).alias("step"))
     path = F.array(*[F.col("log_price") + F.col("sigma") * F.sqrt("step") * v for v in z])
     return each.select("ticker", "end_date", "log_price", "step", path.alias("path"))
 

@@ -87,6 +87,15 @@ def test_query_matches_its_sql(spark, duck, name):
     assert compare(ours, duck.execute(oracle_sql()[name]).df()) == "ok"
 
 
+@pytest.mark.parametrize("name", ["m_series_paths_anchors", "windows_tensor_full"])
+def test_full_path_and_window_queries_match_their_sql(spark, duck, name):
+    from __spark_entry__ import oracle_sql, queries
+
+    ours = queries()[name](spark, SMALL).toPandas()
+    assert ours.groupby("ticker").end_date.nunique().min() > 12  # many anchors or windows for each ticker
+    assert compare(ours, duck.execute(oracle_sql()[name]).df()) == "ok"
+
+
 def test_every_query_but_the_tree_models_has_sql():
     from __spark_entry__ import oracle_sql, queries
 

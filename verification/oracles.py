@@ -330,6 +330,12 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
             round(CAST(CAST("Close" AS FLOAT) AS DOUBLE), 2) AS last_close, round(CAST(CAST(a AS FLOAT) AS DOUBLE), 4) AS y_1w, round(CAST(CAST(b AS FLOAT) AS DOUBLE), 4) AS y_1m
             FROM (SELECT ticker, date, k, "Close", lag("Close", 59) OVER w AS c0, lead("Close", 5) OVER w / "Close" - 1 AS a, lead("Close", 21) OVER w / "Close" - 1 AS b
             FROM done WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE k >= 60 AND b IS NOT NULL"""),
+        "windows_tensor_full": _q(["done"], """SELECT ticker, date AS end_date, 252 AS rows, 35 AS cols, round(CAST(CAST(c0 AS FLOAT) AS DOUBLE), 2) AS first_close,
+            round(CAST(CAST("Close" AS FLOAT) AS DOUBLE), 2) AS last_close, round(total, 2) AS sum_close, round(CAST(CAST(a AS FLOAT) AS DOUBLE), 4) AS y_1m,
+            round(CAST(CAST(b AS FLOAT) AS DOUBLE), 4) AS y_3m, round(CAST(CAST(c AS FLOAT) AS DOUBLE), 4) AS y_6m
+            FROM (SELECT ticker, date, k, "Close", lag("Close", 251) OVER w AS c0, lead("Close", 21) OVER w / "Close" - 1 AS a, lead("Close", 63) OVER w / "Close" - 1 AS b,
+            lead("Close", 126) OVER w / "Close" - 1 AS c, sum(CAST(CAST("Close" AS FLOAT) AS DOUBLE)) OVER (w ROWS 251 PRECEDING) AS total
+            FROM done WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE k >= 252 AND c IS NOT NULL"""),
         "labels_forward": _q(["panel"], f"SELECT ticker, end_date, base_close, {_r(LABELS, 6)}, label_end FROM panel"),
         "panel": _q(["panel", "macd"], f"""SELECT p.ticker, end_date, {_r([*FEATURE_COLS, *LABELS, 'base_close'])}
             FROM panel p JOIN macd m ON p.ticker = m.ticker AND p.end_date = m.date"""),
@@ -354,6 +360,8 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "m_series_paths": _q(["vol"], f"""SELECT ticker, end_date, horizon, round(exp((lp - {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q10, CAST(0 AS DOUBLE) AS q50,
             round(exp((lp + {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q90 FROM (SELECT ticker, date AS end_date, lp, sigma FROM vol
             QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), (VALUES ('1m', CAST(21 AS DOUBLE)), ('3m', 63), ('6m', 126)) t(horizon, h)"""),
+        "m_series_paths_anchors": _q(["scoredl", "vol"], f"""SELECT ticker, end_date, horizon, round(exp((lp - {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q10, CAST(0 AS DOUBLE) AS q50,
+            round(exp((lp + {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q90 FROM scoredl s JOIN (SELECT ticker, date AS end_date, lp, sigma FROM vol) v USING (ticker, end_date)"""),
         "m_log_prices": _q(["bars"], 'SELECT ticker, date, round(ln("Close"), 6) AS log_price FROM bars'),
         "m_realised_vol": _q(["ret"], "SELECT ticker, round(stddev_samp(r) * sqrt(CAST(21 AS DOUBLE)), 6) AS volatility FROM ret GROUP BY ticker"),
         "m_garch_vol": _q(["fitg"], """SELECT ticker, a AS alpha, b AS beta, round(sqrt(v * 21 + (nxt - v) * (1 - pow(a + b, 21)) / (1 - (a + b))), 6) AS volatility

@@ -195,6 +195,20 @@ def windows_tensor(spark, sf):
     )
 
 
+@query
+def windows_tensor_full(spark, sf):
+    """Windows of the library's own length with all of its horizons; the closes of a window are summed as well."""
+    w = sliding_windows(ds.features(spark, sf), CFG)
+    close_at = FEATURES.index("Close")
+    close = lambda x: x[close_at].cast("double")
+    return w.select(
+        "ticker", "end_date", F.size("X").alias("rows"), F.array_min(F.transform("X", F.size)).alias("cols"),
+        F.round(close(F.col("X")[0]), 2).alias("first_close"), F.round(close(F.element_at("X", -1)), 2).alias("last_close"),
+        F.round(F.aggregate("X", F.lit(0.0), lambda acc, x: acc + close(x)), 2).alias("sum_close"),
+        *[F.round(F.col("y_ret")[i].cast("double"), 4).alias(c) for i, c in enumerate(CFG.label_cols)],
+    )
+
+
 @query
 def labels_forward(spark, sf):
     return rounded(ds.panel(spark, sf).select("ticker", "end_date", "base_close", *CFG.label_cols, "label_end"), CFG.label_cols, 6)
@@ -295,6 +309,15 @@ def m_series_paths(spark, sf):
     return with_quantiles(paths_to_returns(paths, CFG), "q", "ticker", "end_date", "horizon")
 
 
+@query
+def m_series_paths_anchors(spark, sf):
+    """The paths of every test anchor of all folds, at the steps of the horizons."""
+    anchors = scored_anchors(month_end_anchors(ds.panel(spark, sf)), ds.folds(spark, sf)).select("ticker", "end_date")
+    known = trailing_volatility(ds.bars(spark, sf)).withColumnRenamed("date", "end_date")
+    paths = quantile_paths(anchors.join(known, ["ticker", "end_date"]), list(CFG.horizons.values()), CFG)
+    return with_quantiles(paths_to_returns(paths, CFG), "q", "ticker", "end_date", "horizon")
+
+
 @query
 def m_log_prices(spark, sf):
     return rounded(log_prices(ds.bars(spark, sf)), ["log_price"], 6)
