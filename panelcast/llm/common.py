@@ -46,19 +46,21 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 def map_texts(
     df: DataFrame, text: str, keep: list[str], fields: str,
-    work: Callable[[list[bytes]], list[list]], chunk_bytes: int = 4_000_000,
+    work: Callable[..., list[list]], chunk_bytes: int = 4_000_000, given: list[Column] | None = None,
 ) -> DataFrame:
     """Apply work to whole texts inside the tasks and append its columns to `keep`.
 
-    work takes UTF-8 texts (null becomes empty) and returns one list of values per field of the
-    DDL string `fields`. Arrow batches are cut by bytes, so that memory does not follow the number
+    work takes UTF-8 texts (null becomes empty), then one list of values per column of `given`, and
+    returns one list of values per field of the DDL string `fields`. Arrow batches are cut by bytes, so that memory does not follow the number
     of long texts in a batch; a single text is never cut. The map has no state across rows: a lost
     task is simply run again.
     """
     extra = T.StructType.fromDDL(fields)
-    source = df.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keep)], whole(text).cast("binary").alias("__text"))
+    source = df.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keep)], whole(text).cast("binary").alias("__text"),
+                       *[c.alias(f"__g{i}") for i, c in enumerate(given or [])])
     kept = [T.StructField(k, df.schema[k].dataType, True) for k in keep]
     schema = T.StructType(kept + extra.fields)
+    width = len(given or [])
 
     def run(batches):
         types = [to_arrow_type(f.dataType) for f in extra.fields]
@@ -69,7 +71,7 @@ def map_texts(
                 before = sizes[start - 1] if start else 0
                 end = max(start + 1, int(np.searchsorted(sizes, before + chunk_bytes, side="right")))
                 part = batch.slice(start, end - start)
-                made = work(part.column("__text").to_pylist())
+                made = work(part.column("__text").to_pylist(), *[part.column(f"__g{i}").to_pylist() for i in range(width)])
                 arrays = [part.column(i) for i in range(len(kept))] + [
                     m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, types)
                 ]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, fingerprints, gam, html_extract, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
+from panelcast.llm import bpe, fill_in_middle, fingerprints, gam, html_extract, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
 from panelcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,12 @@ def op7_html(spark, sf):
     pages = table(spark, sf, "pages")
     found = html_extract.extract(pages, html_extract.train_labeller(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_fill_in_middle(spark, sf):
+    made = fill_in_middle.fill_in_middle(table(spark, sf, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
