@@ -133,3 +133,35 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)
        sha256(t) AS restored_sha256
 FROM p
 """
+
+
+def _code_rounds(rounds: int, parts: int = 16, entries: int = 64) -> str:
+    """Plain k-means over vector parts: every part against every entry, in integers."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v,
+         row_number() OVER (ORDER BY vec_id) AS rn, len(embedding) // {parts} AS w
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT vec_id, label, rn, p, v[p * w + 1:(p + 1) * w] AS x FROM v, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, rn - 1 AS e, x FROM s WHERE rn <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT s.rn, s.p, min({{'d': list_sum(list_transform(list_zip(s.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.e}}) AS m
+  FROM s JOIN b{i} b ON s.p = b.p GROUP BY s.rn, s.p)""")
+        if i < rounds:
+            steps.append(f"""
+b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(floor(t / c)::BIGINT ORDER BY j) AS x FROM (
+      SELECT a.p, a.m.e AS e, j, sum(s.x[j])::DOUBLE AS t, count(*)::DOUBLE AS c
+      FROM a{i} a JOIN s ON s.rn = a.rn AND s.p = a.p, range(1, 1 + (SELECT max(w) FROM v)) u(j) GROUP BY 1, 2, 3) GROUP BY p, e) n
+  ON n.p = b.p AND n.e = b.e)""")
+    return f"""WITH {','.join(steps)},
+c AS (SELECT rn, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY rn),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM v JOIN c USING (rn), h"""
+
+
+ORACLES["op11_vector_codes"] = _code_rounds(2)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, fill_in_middle, fingerprints, gam, html_extract, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls
+from panelcast.llm import bpe, fill_in_middle, fingerprints, gam, html_extract, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls, vector_codes
 from panelcast.llm.common import table
+from panelcast.plans.materialize import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +110,14 @@ def op12_fill_in_middle(spark, sf):
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
     )
+
+
+@query
+def op11_vector_codes(spark, sf):
+    coded, books = vector_codes.compress(table(spark, sf, "embeddings"), keep=["label"])
+    coded = vector_codes.with_group_sum(materialize(coded, "vector-codes"), "label", "error", "label_error")
+    hexed = F.transform("code", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0")))
+    return coded.select(
+        "vec_id", F.array_join(hexed, "").alias("code"), "error", "label_error",
+        F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"),
+    )
