@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from panelcast.llm import bpe, fill_in_middle, fingerprints, gam, html_extract, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls, vector_codes
+from panelcast.llm import bpe, fill_in_middle, fingerprints, gam, html_extract, licenses, mixing, near_dedup, quality_rules, secrets, tool_calls, toxicity, vector_codes
 from panelcast.llm.common import table
 from panelcast.plans.materialize import materialize
 
@@ -121,3 +121,12 @@ def op11_vector_codes(spark, sf):
         "vec_id", F.array_join(hexed, "").alias("code"), "error", "label_error",
         F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"),
     )
+
+
+@query
+def op13_toxicity(spark, sf):
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit_on(docs, labels.filter(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
