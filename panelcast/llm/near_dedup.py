@@ -11,17 +11,21 @@ components of the links.
 2. Documents with equal sets are one class from the start and appear once from here on.
 3. Bands of four registers are hashed to buckets. In every bucket the members are compared with a leader,
    never with each other: first by the collision-corrected estimate from the registers, then, if that is
-   not far below the threshold, on the full sets.
+   not far below the threshold, on the full sets. A member meets its smallest leader first, and a further one
+   only if they are still in different components.
 4. Buckets whose members lie in different components after that are compared in full, but for pairs already
    connected: up to SMALL members pair by pair as in 3; larger ones in blocks of bounded size, where a
-   matrix product counts the shared shingles and a task returns only links that join components.
-   So no pair in a bucket is left out, and none is sent on that does not link.
+   matrix product in strips counts the shared shingles and a task returns a forest: links that join components that
+   no other link of the task has joined. So no pair in a bucket is left out, and none is sent on that does not link.
+   (Small buckets pass the estimate first, which loses a pair at 0.8 with probability below 1e-6; blocks do not.)
+5. A key that very many rows share (a leader, a hub of links, a class of copies) is broadcast or lent to
+   several tasks, so that it is no single task's work.
 
 A pair at 0.8 misses all 32 bands with probability 5e-8.
 
 Defined results: null texts are empty; rows with a null id take no part (component null, kept); rows with
 equal ids are one document: their links add up, and they stay or go together; ties cannot arise, the smallest id stands for its component;
-extra columns are ignored by `near_duplicates` and untouched by `deduplicated`; empty tables stay empty.
+extra columns are ignored by `near_duplicates` and untouched by `deduplicated`, whatever their names; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.llm.common import map_texts
-from panelcast.plans.materialize import materialize
+from panelcast.plans.materialize import broadcast_if_small, materialize
 
 WIDTH, PERCENT = 4, 80
 REGISTERS, BAND = 128, 4
@@ -41,7 +45,9 @@ MANTISSA, VALUE_BITS = 10, 57
 MARGIN = 0.2  # more than five standard deviations of the estimate
 SMALL = 16
 MOST_BITS = 1 << 27
-BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_COLUMNS = 2048, 1_000_000, 4096
+BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_COLUMNS, STRIP = 1024, 500_000, 1024, 256
+HEAVY = 50_000  # rows that share a key, from which on the key is broadcast: rows / HEAVY such keys at most
+PAIRS_A_TASK = 5_000  # pairs of one node, beyond which it is lent to several tasks
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -140,13 +146,37 @@ def sketch_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
 
 
 def _paired(pairs: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs (a, b) with the named columns of known (keyed by node) for both sides."""
-    for side in ("a", "b"):
+    """pairs (a, b) with the named columns of known (keyed by node) for both sides.
+
+    A node of very many pairs is lent to several tasks, its pairs being dealt by their other node. There are at
+    most pairs / PAIRS_A_TASK such nodes.
+    """
+    counted = materialize(pairs, "pairs")
+    for side, across in (("a", "b"), ("b", "a")):
+        heavy = counted.groupBy(F.col(side).alias("__h")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("__parts")).filter("__parts > 1")
+        heavy = broadcast_if_small(materialize(heavy, "heavy"))
         other = known.select(F.col("node").alias(f"__{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        pairs = pairs.join(other, F.col(side) == F.col(f"__{side}")).drop(f"__{side}")
+        other = other.join(heavy, F.col(f"__{side}") == F.col("__h"), "left").withColumn(
+            "__s", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__h", "__parts")
+        dealt = pairs.join(heavy, F.col(side) == F.col("__h"), "left").withColumn(
+            "__salt", F.pmod(F.xxhash64(across), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__h", "__parts")
+        pairs = dealt.join(other, (F.col(side) == F.col(f"__{side}")) & (F.col("__salt") == F.col("__s"))).drop(f"__{side}", "__s", "__salt")
     return pairs
 
 
+def _looked_up(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """Inner join of rows with known, unique in __k, whose column n counts the rows of a key; n is dropped.
+
+    Keys of more than HEAVY rows are joined by broadcast, so that none of them is one task's work.
+    """
+    known = materialize(known, "known")
+    heavy, light = known.filter(F.col("n") > HEAVY).drop("n"), known.filter(F.col("n") <= HEAVY).drop("n")
+    joined = rows.join(light, F.col(key) == F.col("__k"))
+    if heavy.isEmpty():
+        return joined.drop("__k")
+    return joined.unionByName(rows.join(broadcast_if_small(heavy), F.col(key) == F.col("__k"))).drop("__k")
+
+
 def _likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimate is not far below the threshold."""
 
@@ -194,75 +224,113 @@ def _among(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
 def _sets(nodes: DataFrame, docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
     """node and its full set, for the nodes in the column __node."""
 
-    def sets(texts: list[bytes]) -> list[list]:
-        return [[shingle_set(t, width).tobytes() for t in texts]]
+    def sets(texts: list[bytes]) -> list:
+        made = [shingle_set(t, width).view(np.int64) for t in texts]
+        ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))]
 
     rows = docs.select(F.col(f"`{id}`").alias("node"), F.col(f"`{text}`").alias("text"))
-    return map_texts(_among(rows, "node", nodes), "text", ["node"], "set binary", sets)
+    return map_texts(_among(rows, "node", nodes), "text", ["node"], "set array<bigint>", sets)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs that link, on their full sets."""
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, on their full sets: 100 * both >= percent * (a + b - both), solved for both.
 
-    def run(batches):
-        for batch in batches:
-            linked = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    Sets meet row by row in the JVM, so memory holds one pair at a time and not a batch.
+    """
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    linked = (100 + percent) * both >= percent * (F.size("set_a").cast("long") + F.size("set_b"))
+    return _paired(pairs, known, ["set"]).filter(linked).select("a", "b")
 
-    known = _sets(pairs.select(F.explode(F.array("a", "b")).alias("__node")), docs, id, text, width)
-    return _paired(pairs, known, ["set"]).mapInArrow(run, pairs.select("a", "b").schema)
 
+def _leader_links(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links among pairs (a, b) of leaders and members that join what all linking pairs join: every member meets its
+    smallest leader first, and further ones only where that leaves them in different components."""
+    pairs = materialize(pairs, "likely")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(_confirmed(first, known, percent), "confirmed")
+    labels = materialize(components(links), "labels")
+    named = pairs.join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        at = labels.select(F.col("node").alias("__n"), F.col("component").alias(f"__{side}"))
+        named = named.join(at, F.col(side) == F.col("__n"), "left").drop("__n")
+    rest = named.filter(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
+    return links.unionByName(_confirmed(rest, known, percent))
 
-def block_links(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Positions of linking sets of different labels, one pair for each pair of labels."""
-    sizes = np.array([len(s) for s in sets])
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of left and of right that join labels; positions count through left, then right.
+
+    labels has an entry per position. The links are a forest over the labels: at most one fewer than there are
+    labels. Counts of shared shingles are float32 (exact below 2^24), one column block at a time; comparisons go
+    in strips of rows in int64.
+    """
+    sets = left + right
+    sizes = np.array([len(s) for s in sets], np.int64)
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     column = np.cumsum(count > 1) - 1  # only shingles of two or more sets count
     owner, code = owner[count[code] > 1], column[code[count[code] > 1]]
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
+    n = len(left)
+    shared = np.zeros((n, len(right)), np.float32)
+    held = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
     for low in range(0, int(code[-1]) + 1 if len(code) else 0, BLOCK_COLUMNS):
         part = slice(*np.searchsorted(code, [low, low + BLOCK_COLUMNS]))
-        held = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
+        held[:] = 0
         held[owner[part], code[part] - low] = 1
-        shared += held @ held.T
-    union = sizes[:, None] + sizes[None, :] - shared
-    a, b = np.nonzero((100 * shared >= percent * union) & (labels[:, None] < labels[None, :]))
-    _, first = np.unique(np.stack([labels[a], labels[b]]), axis=1, return_index=True)
-    return list(zip(a[first].tolist(), b[first].tolist()))
-
-
-def _block_links(large: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
+        for top in range(0, n, STRIP):
+            shared[top : top + STRIP] += held[top : min(top + STRIP, n)] @ held[n:].T
+    _, roots = np.unique(labels, return_inverse=True)
+    parent, found = list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for top in range(0, n, STRIP):
+        both = shared[top : top + STRIP].astype(np.int64)
+        rows = np.arange(top, min(top + STRIP, n))
+        linked = (100 + percent) * both >= percent * (sizes[rows][:, None] + sizes[n:][None, :])
+        a, b = np.nonzero(linked & (roots[rows][:, None] != roots[n:][None, :]))
+        if not len(a):
+            continue
+        a, b = rows[a], b + n
+        _, first = np.unique(roots[a] * len(sets) + roots[b], return_index=True)  # one link for each pair of labels
+        for i, j in zip(a[first].tolist(), b[first].tolist()):
+            x, y = root(int(roots[i])), root(int(roots[j]))
+            if x != y:
+                parent[x] = y
+                found.append((i, j))
+        roots = np.array([root(x) for x in range(len(sets))])[roots]  # later strips skip what is joined now
+    return found
+
+
+def _block_links(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components within the buckets of large: key, node, component, n_shingles, n, total."""
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = large.select("key", "node", "component", blocks.alias("__blocks"), F.pmod(F.xxhash64("key", "node"), blocks).cast("int").alias("__block"))
-    met = placed.select("key", "node", "component", F.col("__block").alias("block"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("other"))
-    met = met.select("key", "node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    known = _sets(large.select(F.col("node").alias("__node")), docs, id, text, width)
-
-    def run(rows):
-        sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
-        _, labels = np.unique(rows["component"].to_numpy(), return_inverse=True)
-        found = block_links(sets, labels, percent) if len(sets) > 1 else []
-        nodes = rows["node"].to_numpy()
-        return type(rows)({"a": nodes[[a for a, _ in found]], "b": nodes[[b for _, b in found]]})
+    placed = large.select("key", "node", "component", blocks.alias("__blocks"), F.pmod(F.xxhash64("key", "node"), blocks).cast("int").alias("block"))
+    met = placed.select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("other"))
+    met = met.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["block"] == rows["i"].iloc[0]], rows[rows["block"] == rows["j"].iloc[0]]]
+        sets = [list(side["set"]) for side in sides]
+        nodes = np.concatenate([side["node"].to_numpy() for side in sides])
+        found = block_links(*sets, np.concatenate([side["component"].to_numpy() for side in sides]), percent) if all(sets) else []
+        return pd.DataFrame({"a": nodes[[a for a, _ in found]], "b": nodes[[b for _, b in found]]})
 
     kind = large.schema["node"].dataType.simpleString()
-    return met.join(known.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).groupBy("key", "i", "j").applyInPandas(
-        run, f"a {kind}, b {kind}")
+    sets = known.withColumnRenamed("node", "__n")
+    return met.join(sets, F.col("node") == F.col("__n")).drop("__n").groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of links (a, b), by alternating star operations.
 
-    All steps aggregate before they shuffle and join a unique key, so a node with very many links is
-    no single task's work.
+    All steps aggregate before they shuffle and join a unique key; hubs of very many links are joined by broadcast.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     links, mark = materialize(links, "links"), None
@@ -274,12 +342,13 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
         # large star: larger neighbours of u move to the smallest neighbour of u
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("__u")).agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("__u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy(F.col("a").alias("__k")).agg(F.min(F.least("a", "b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _looked_up(both, "a", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: u and its smaller neighbours move to the smallest of them
-        least = large.groupBy(F.col("a").alias("__u")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("__u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        links = materialize(small.unionByName(least.select(F.col("__u").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+        large = materialize(large, "large-star")
+        least = large.groupBy(F.col("a").alias("__k")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _looked_up(large, "a", least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        links = materialize(small.unionByName(least.select(F.col("__k").alias("a"), F.col("m").alias("b"))).distinct(), "links")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -305,8 +374,9 @@ def near_duplicates(
 
     pairs = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     tested = materialize(pairs, "tested")
-    links = materialize(_confirmed(materialize(_likely(tested, heads, percent), "likely"), docs, id, text, width, percent), "confirmed")
-    labels = materialize(components(links), "labels")
+    likely = materialize(_likely(tested, heads, percent), "likely")
+    known = materialize(_sets(likely.select(F.explode(F.array("a", "b")).alias("__node")), docs, id, text, width), "sets")
+    labels = materialize(components(_leader_links(likely, known, percent)), "labels")
     named = members.join(labels.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
     split = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
@@ -316,19 +386,22 @@ def near_duplicates(
     other = few.select(F.col("key").alias("__key"), F.col("node").alias("__node"), F.col("component").alias("__component"))
     pairs = few.join(other, (F.col("key") == F.col("__key")) & (F.col("node") < F.col("__node")) & (F.col("component") != F.col("__component"))).select(
         F.col("node").alias("a"), F.col("__node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = _confirmed(materialize(_likely(pairs, heads, percent), "likely"), docs, id, text, width, percent)
+    likely = materialize(_likely(pairs, heads, percent), "likely")
     many = members.filter(F.col("n") > SMALL)
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("__node")).unionByName(many.select(F.col("node").alias("__node")))
+    known = materialize(_sets(wanted, docs, id, text, width), "sets")
+    links = _confirmed(likely, known, percent)
     size = heads.select(F.col("node").alias("__n"), "n_shingles")
     many = materialize(many.join(size, F.col("node") == F.col("__n")).drop("__n"), "large-buckets")
     total = many.groupBy(F.col("key").alias("__k")).agg(F.sum("n_shingles").alias("total"))
-    blocks = _block_links(many.join(total, F.col("key") == F.col("__k")).drop("__k"), docs, id, text, width, percent)
+    blocks = _block_links(many.join(total, F.col("key") == F.col("__k")).drop("__k"), known, percent)
     labels = materialize(_joined(labels, links.unionByName(blocks)), "labels")
 
     named = classes.join(labels.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
-        F.col("signature").alias("__s"), F.coalesce("component", "node").alias("component"))
+        F.col("signature").alias("__k"), F.coalesce("component", "node").alias("component"), "n")
     ids = sketched.select("id", "n_shingles", "signature")
     alone = ids.filter("id IS NULL OR signature IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
-    grouped = ids.filter("id IS NOT NULL AND signature IS NOT NULL").join(named, F.col("signature") == F.col("__s")).select(
+    grouped = _looked_up(ids.filter("id IS NOT NULL AND signature IS NOT NULL"), "signature", named).select(
         "id", "n_shingles", F.col("component").alias("component_id"))
     return grouped.unionByName(alone).select(
         F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -336,5 +409,5 @@ def near_duplicates(
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stand for their component, all columns unchanged."""
-    gone = near_duplicates(docs, id, text, width, percent).filter("NOT kept").select(F.col(id).alias("__gone")).distinct()
-    return docs.join(gone, docs[f"`{id}`"] == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id, text, width, percent).filter("NOT kept").select(id).distinct()
+    return docs.join(gone, [id], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,7 @@
 """Near duplicates, mixing, tool calls: against brute force, and on odd rows."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -53,10 +54,13 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_components_agree_with_brute_force(make_docs, copies, monkeypatch, small):
+@pytest.mark.parametrize("small, heavy", [(16, False), (1, False), (1, True)])
+def test_components_agree_with_brute_force(make_docs, copies, monkeypatch, small, heavy):
     monkeypatch.setattr(near_dedup, "SMALL", small)  # pair by pair, and in blocks
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
+    if heavy:  # every key counts as a hot one
+        monkeypatch.setattr(near_dedup, "HEAVY", 1)
+        monkeypatch.setattr(near_dedup, "PAIRS_A_TASK", 2)
     want = brute_components(copies)
     assert len(set(want.values())) > 20 and Counter(want.values()).most_common(1)[0][1] > 3
     found = {r.doc_id: r for r in near_dedup.near_duplicates(make_docs(copies)).collect()}
@@ -66,6 +70,39 @@ def test_components_agree_with_brute_force(make_docs, copies, monkeypatch, small
     assert all(r.n_shingles == len(shingles(texts[i], 4)) for i, r in found.items())
 
 
+def test_blocks_return_a_forest_in_little_memory():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 400).astype(np.uint64)
+    sets = []
+    for i in range(2048):
+        s = base.copy()
+        s[rng.choice(400, 12, replace=False)] = rng.integers(0, 2**62, 12)
+        sets.append(np.unique(s))
+    labels = np.arange(2048)
+    tracemalloc.start()
+    found = near_dedup.block_links(sets[:1024], sets[1024:], labels, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 1024 <= len(found) <= 2047 and peak < 120e6
+    assert all(a < 1024 <= b for a, b in found)
+    assert len({x for link in found for x in link}) == 2048  # all of them are joined
+
+    far = [np.unique(rng.integers(0, 2**62, 50).astype(np.uint64)) for _ in range(40)]
+    assert near_dedup.block_links(far[:20], far[20:], np.arange(40), 80) == []
+    same = [far[0]] * 10
+    assert near_dedup.block_links(same, same, np.zeros(20, int), 80) == []
+    assert len(near_dedup.block_links(same, same, np.r_[np.zeros(10, int), np.ones(10, int)], 80)) == 1
+    for n, k in ((100, 88), (100, 89), (50, 44), (50, 45)):  # on either side of the threshold
+        a = np.arange(n).astype(np.uint64)
+        b = np.r_[a[:k], np.arange(1000, 1000 + n - k).astype(np.uint64)]
+        assert len(near_dedup.block_links([a], [b], np.arange(2), 80)) == (100 * k >= 80 * (2 * n - k))
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 1), (2, "a b c d e f", 6, 2)], "doc_id long, text string, __gone long, component_id long")
+    assert near_dedup.deduplicated(docs).columns == docs.columns and near_dedup.deduplicated(docs).count() == 1
+
+
 def test_odd_rows_and_deduplication(make_docs, odd_rows):
     found = near_dedup.near_duplicates(make_docs(odd_rows)).collect()
     assert len(found) == len(odd_rows)
