@@ -12,7 +12,9 @@ from panelcast.operators.metrics import covered, drift_reference, pinball_loss,
 from panelcast.operators.series_vol import (
     GARCH_GRID, SeriesVol, garch_volatility, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
 )
-from panelcast.operators.trees import LeafQuantileForest, boosted_quantiles
+from panelcast.operators.boosting import BoostedForecaster, best_split, boosted_quantiles, histogram_quantile
+from panelcast.operators.cv import walk_forward_folds
+from panelcast.operators.trees import LeafQuantileForest
 from panelcast.schemas import FEATURES
 
 Q = "array<double>"
@@ -200,8 +202,6 @@ def test_boosting_beats_the_constant_quantile(planted_panel):
 
 
 def test_boosted_forecaster_runs_in_a_job_and_reloads(spark, planted_panel, tmp_path):
-    from panelcast.operators.cv import walk_forward_folds
-    from panelcast.operators.trees import BoostedForecaster
     from panelcast.plans.training import out_of_sample_signal
 
     cfg = ForecastConfig(horizons={"1m": 21}, n_folds=2, quantiles=(0.1, 0.3, 0.5, 0.7, 0.9))
@@ -216,9 +216,55 @@ def test_boosted_forecaster_runs_in_a_job_and_reloads(spark, planted_panel, tmp_
     assert all(len(r.boosted) == 5 and sorted(r.boosted) == r.boosted for r in ours)
 
 
+def test_best_split_is_the_best_of_all():
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        x, v = rng.integers(0, 6, (200, 3)), rng.integers(0, 2, 200)
+        n, s = (np.stack([np.bincount(x[:, j], w, 6) for j in range(3)]).astype(np.int64) for w in (None, v))
+        spread = lambda part: ((part - part.mean()) ** 2).sum()
+        every = {(j, c): spread(v) - spread(v[x[:, j] <= c]) - spread(v[x[:, j] > c])
+                 for j in range(3) for c in range(5) if min((x[:, j] <= c).sum(), (x[:, j] > c).sum()) >= 20}
+        got = best_split(n, s, 20)
+        assert got is not None and every[got] == pytest.approx(max(every.values()))
+    assert best_split(n, s, 150) is None and best_split(n, n, 5) is None  # too few rows; nothing to explain
+
+
+def test_histogram_quantile():
+    assert histogram_quantile(np.array([0, 1, 0]), 0.3) == pytest.approx(1.5)
+    values = np.random.default_rng(5).integers(0, 1000, 4000)
+    for level in (0.0, 0.1, 0.5, 0.9, 1.0):
+        assert histogram_quantile(np.bincount(values, minlength=1000), level) == pytest.approx(np.quantile(values, level) + 0.5, abs=1.0)
+
+
+def test_boosted_models_of_one_fit_are_those_of_separate_fits(planted_panel):
+    """All folds at once, in other partitions, and with the future spoiled: an earlier fold does not change."""
+    cfg = ForecastConfig(horizons={"1m": 21, "3m": 63}, n_folds=2)
+    folds = walk_forward_folds(planted_panel, cfg)
+    options = {"rounds": 3, "depth": 2, "write_every": 2}
+    first = folds[0]
+    rows = planted_panel.limit(20).withColumns({"fold": F.lit(first.fold), "horizon": F.lit("3m")})
+    joint = BoostedForecaster(cfg, **options).fit_folds(planted_panel, folds)
+    spoiled = planted_panel.withColumns({c: F.when(F.col("end_date") > F.lit(first.train_hi), 1e6).otherwise(F.col(c)) for c in ("y_3m", FEATURES[0])})
+    later = BoostedForecaster(cfg, **options).fit_folds(spoiled.repartition(7), folds)
+    assert joint.predict(rows).collect() == later.predict(rows).collect()
+    model = joint.fitted[(first.fold, "1m")]
+    assert len(model.trees) == 4 and len(model.keys) == 12 and all((t.feature >= 0).any() for t in model.trees[1:])
+
+
+def test_more_rounds_fit_better_and_stay_in_range(planted_panel):
+    losses, y = [], np.array([r.y_1m for r in planted_panel.select("y_1m").collect()])
+    for rounds in (1, 4, 8):
+        q = np.array([r.q for r in boosted_quantiles(planted_panel, planted_panel, "y_1m", rounds=rounds, depth=2).select("q").collect()])
+        assert q.min() >= y.min() and q.max() <= y.max()
+        got = boosted_quantiles(planted_panel, planted_panel, "y_1m", rounds=rounds, depth=2).select("q", "y_1m").toPandas()
+        q, t = np.array(got.q.tolist()), got.y_1m.to_numpy()
+        losses.append(sum(np.maximum(a * (t - q[:, i]), (a - 1) * (t - q[:, i])).mean() for i, a in enumerate((0.1, 0.5, 0.9))))
+        assert abs((t <= q[:, 0]).mean() - 0.1) < 0.06 and abs((t <= q[:, 2]).mean() - 0.9) < 0.06
+    assert losses[0] > losses[1] > losses[2]
+
+
 def test_boosted_queries_run_the_defaults_and_count_every_overshoot(spark, planted_panel, monkeypatch):
     from panelcast.operators.baselines import training_labels
-    from panelcast.operators.cv import walk_forward_folds
     from verification import queries
 
     folds, made = walk_forward_folds(planted_panel, queries.CFG), []
@@ -245,7 +291,6 @@ def test_boosted_queries_run_the_defaults_and_count_every_overshoot(spark, plant
 
 
 def test_forest_query_runs_the_defaults_over_all_folds_and_horizons(spark, planted_panel, monkeypatch):
-    from panelcast.operators.cv import walk_forward_folds
     from panelcast.plans.training import anchor_rows
     from verification import queries
 
@@ -265,3 +310,10 @@ def test_forest_query_runs_the_defaults_over_all_folds_and_horizons(spark, plant
     anchors = {(r.fold, r.ticker, r.end_date, r.horizon): round(r.y, 6) for r in anchor_rows(planted_panel, folds, queries.CFG).collect()}
     assert len(got) == len(anchors) and {(r.fold, r.ticker, r.end_date, r.horizon): r.realized for r in got} == pytest.approx(anchors)
     assert all(r.q10 <= r.q50 <= r.q90 and r.pred == r.q50 for r in got)
+
+
+def test_a_horizon_without_bands_keeps_its_weight(spark):
+    rows = [(h, "val", 0.1 * i, [0.0, 0.1, 0.2] if h == "1m" else None, [0.0, 0.1, 0.3]) for h in ("1m", "3m") for i in range(20)]
+    preds = spark.createDataFrame(rows, f"horizon string, split string, y double, a {Q}, b {Q}")
+    got = {r.horizon: r for r in fit_ensemble(preds, "a", "b").collect()}
+    assert set(got) == {"1m", "3m"} and got["1m"].delta is not None and got["3m"].w is not None and got["3m"].delta is None

@@ -32,7 +32,7 @@ def _q(needs: list[str], sql: str) -> str:
 
 
 # Short decimals by construction: rounded late enough that no value sits on a tie.
-SHORT_DECIMALS = {"Open", "High", "Low", "Close", "Volume", "SMA_10", "SMA_50", "SMA_200", "Volume_SMA_20", "MOM_5",
+SHORT_DECIMALS = {"Open", "High", "Low", "Close", "Volume", "SMA_10", "SMA_50", "SMA_200", "Volume_SMA_20", "OBV_norm", "MOM_5",
                   "body_size", "upper_shadow", "lower_shadow", "p10", "p50", "p90"}
 
 
@@ -43,6 +43,11 @@ def digits_of(column: str, default: int) -> int:
     return 8 if column in SHORT_DECIMALS else 6 if column in SIX_DIGITS else default
 
 
+def mean_digits(column: str) -> int:
+    """Means of whole volumes can be short decimals themselves, with a 5 as their last digit."""
+    return 8 if column == "Volume_SMA_20" else 4
+
+
 def _r(cols: list[str], digits: int = 4) -> str:
     return ", ".join(f"round({c}, {digits_of(c.strip(chr(34)), digits)}) AS {c}" for c in cols)
 
@@ -325,7 +330,7 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "history_gate": _q(["done"], """SELECT ticker, count(*) || ' feature rows of 1226' AS reason FROM done GROUP BY ticker HAVING count(*) < 1226"""),
         "market_join_ffill": _q(["joined"], f"SELECT ticker, date, {_r(['vix_close', 'sp500_ret_21d', 'sp500_ret_63d'], 6)} FROM joined"),
         "features_complete": _q(["done", "macd"], f"""SELECT ticker, count(*) AS n, min(date) AS first, max(date) AS last,
-            {', '.join(f'round(avg({c}), 4) AS {c}' for c in FEATURE_COLS)} FROM done JOIN macd USING (ticker, date) GROUP BY ticker"""),
+            {', '.join(f'round(avg({c}), {mean_digits(c.strip(chr(34)))}) AS {c}' for c in FEATURE_COLS)} FROM done JOIN macd USING (ticker, date) GROUP BY ticker"""),
         "windows_tensor": _q(["done"], """SELECT ticker, date AS end_date, 60 AS rows, 35 AS cols, round(CAST(CAST(c0 AS FLOAT) AS DOUBLE), 2) AS first_close,
             round(CAST(CAST("Close" AS FLOAT) AS DOUBLE), 2) AS last_close, round(CAST(CAST(a AS FLOAT) AS DOUBLE), 4) AS y_1w, round(CAST(CAST(b AS FLOAT) AS DOUBLE), 4) AS y_1m
             FROM (SELECT ticker, date, k, "Close", lag("Close", 59) OVER w AS c0, lead("Close", 5) OVER w / "Close" - 1 AS a, lead("Close", 21) OVER w / "Close" - 1 AS b

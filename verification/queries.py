@@ -15,6 +15,7 @@ from panelcast.functions.windows import series
 from panelcast.operators import backtest as bt
 from panelcast.operators import quality, views
 from panelcast.operators.baselines import HistoricalQuantile, RandomWalk, training_labels
+from panelcast.operators.boosting import BoostedForecaster
 from panelcast.operators.cv import fold_blocks, fold_roles, scored_anchors, walk_forward_folds
 from panelcast.operators.ensemble import align_predictions
 from panelcast.operators.features import compute_features, join_market
@@ -23,7 +24,7 @@ from panelcast.operators.panel import latest_rows, month_end_anchors, sliding_wi
 from panelcast.operators.series_vol import (
     SeriesVol, garch_volatility, log_prices, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
 )
-from panelcast.operators.trees import BoostedForecaster, LeafQuantileForest
+from panelcast.operators.trees import LeafQuantileForest
 from panelcast.plans.materialize import materialize, run_folder
 from panelcast.plans.training import anchor_rows
 from panelcast.schemas import FEATURES, MARKET_COLS
@@ -33,7 +34,7 @@ from panelcast.sources.bars import daily_bars, normalise_symbol, read_bars, tick
 from panelcast.sources.reference_data import constituents, read_metrics_params
 from verification import datasets as ds
 from verification.datasets import BOOK, CFG, SHORT_SERIES
-from verification.oracles import digits_of
+from verification.oracles import digits_of, mean_digits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,7 +175,7 @@ def features_complete(spark, sf):
     done = compute_features(quality.clean(ds.bars(spark, sf), CFG), ds.market(spark, sf))
     return done.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"),
-        *[F.round(F.avg(c), 4).alias(c) for c in FEATURES],
+        *[F.round(F.avg(c), mean_digits(c)).alias(c) for c in FEATURES],
     )
 
 
