@@ -66,14 +66,15 @@ def fit_ensemble(preds: DataFrame, a: str, b: str, cfg: ForecastConfig = DEFAULT
     """(horizon, w, delta) fitted on the validation split only.
 
     Without a validation split (a single fold) the weight is fitted on the test rows and no
-    calibration is made: delta is null.
+    calibration is made: delta is null. A horizon whose blended bands are all null keeps its weight, with a null
+    delta.
     """
     validation = preds.where(F.col("split") == "val")
     if validation.isEmpty():
         return fit_blend_weights(preds, a, b, cfg).withColumn("delta", F.lit(None).cast("double"))
     weights = fit_blend_weights(validation, a, b, cfg)
     blended = validation.join(F.broadcast(weights), "horizon").withColumn("__q", blend(a, b, F.col("w"), len(cfg.quantiles)))
-    return weights.join(fit_conformal(blended, "__q", cfg), "horizon")
+    return weights.join(fit_conformal(blended, "__q", cfg), "horizon", "left")
 
 
 def apply_ensemble(preds: DataFrame, params: DataFrame, a: str, b: str, out: str = "ensemble") -> DataFrame:

@@ -66,8 +66,10 @@ def run_training(
     `forest` is any TreeForecaster; it is reported under its own name.
 
     `panel` should be a written table: every fit scans it. Without bars the price-history
-    model and the ensemble are left out.
+    model and the ensemble are left out; bars that hold none of the panel's tickers are an error.
     """
+    if bars is not None and panel.join(bars.select("ticker"), "ticker", "left_semi").isEmpty():
+        raise ValueError("no ticker of the panel has bars")
     folds = require_folds(walk_forward_folds(panel, cfg))
     forest = (forest or LeafQuantileForest(cfg)).fit_folds(panel, folds)
     # One row per anchor and horizon, about 1/7 of the panel; every forest scans its part.
