@@ -12,9 +12,10 @@ from panelcast.operators.metrics import covered, drift_reference, pinball_loss,
 from panelcast.operators.series_vol import (
     GARCH_GRID, SeriesVol, garch_volatility, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
 )
-from panelcast.operators.boosting import BoostedForecaster, best_split, boosted_quantiles, histogram_quantile
+from panelcast.operators.boosting import BoostedForecaster, boosted_quantiles
 from panelcast.operators.cv import walk_forward_folds
-from panelcast.operators.trees import LeafQuantileForest
+from panelcast.operators.trees import LeafQuantileForest, bootstrap_weights
+from panelcast.plans.histograms import best_split, histogram_quantile
 from panelcast.schemas import FEATURES
 
 Q = "array<double>"
@@ -294,24 +295,64 @@ def test_forest_query_runs_the_defaults_over_all_folds_and_horizons(spark, plant
     from panelcast.plans.training import anchor_rows
     from verification import queries
 
-    folds, made, fit_one = walk_forward_folds(planted_panel, queries.CFG), [], LeafQuantileForest.fit_one
+    folds, made, fit_joint = walk_forward_folds(planted_panel, queries.CFG), [], LeafQuantileForest.fit_joint
 
-    def quick(self, train, horizon, fold=0):
-        made.append((self.trees, self.depth, self.min_leaf, fold, horizon))
-        self.trees, self.depth = 2, 2
-        fit_one(self, train, horizon, fold)
-        self.trees, self.depth = made[-1][:2]
+    def seen(self, panel, member, numbers, horizons):
+        made.append((self.trees, self.depth, self.min_leaf, numbers, horizons))
+        return fit_joint(self, panel, member, numbers, horizons)
 
     monkeypatch.setattr(queries.ds, "panel", lambda spark, sf: planted_panel)
     monkeypatch.setattr(queries.ds, "folds", lambda spark, sf: folds)
-    monkeypatch.setattr(LeafQuantileForest, "fit_one", quick)
+    monkeypatch.setattr(LeafQuantileForest, "fit_joint", seen)
     got = queries.m_leaf_forest(spark, "").collect()
-    assert made == [(20, 6, 50, f.fold, h) for f in folds for h in ("1m", "3m", "6m")]
+    assert made == [(20, 6, 50, [f.fold for f in folds], ["1m", "3m", "6m"])]
     anchors = {(r.fold, r.ticker, r.end_date, r.horizon): round(r.y, 6) for r in anchor_rows(planted_panel, folds, queries.CFG).collect()}
     assert len(got) == len(anchors) and {(r.fold, r.ticker, r.end_date, r.horizon): r.realized for r in got} == pytest.approx(anchors)
     assert all(r.q10 <= r.q50 <= r.q90 and r.pred == r.q50 for r in got)
 
 
+def test_forest_of_all_folds_is_causal_and_does_not_depend_on_partitions(planted_panel, monkeypatch):
+    from panelcast.operators import trees
+
+    cfg = ForecastConfig(horizons={"1m": 21, "3m": 63}, n_folds=2)
+    folds = walk_forward_folds(planted_panel, cfg)
+    rows = planted_panel.limit(20).withColumns({"fold": F.lit(folds[0].fold), "horizon": F.lit("3m")})
+    joint = LeafQuantileForest(cfg, trees=3, depth=3).fit_folds(planted_panel, folds)
+    monkeypatch.setattr(trees, "MOST_CELLS", 5000)  # several scans
+    spoiled = planted_panel.withColumns({c: F.when(F.col("end_date") > F.lit(folds[0].train_hi), 1e6).otherwise(F.col(c)) for c in ("y_3m", FEATURES[0])})
+    later = LeafQuantileForest(cfg, trees=3, depth=3).fit_folds(spoiled.repartition(7), folds)
+    assert joint.predict(rows).collect() == later.predict(rows).collect()
+
+
+def test_leaf_quantiles_are_those_of_the_rows_in_the_leaf(planted_panel):
+    forest = LeafQuantileForest(trees=1, depth=3).fit_one(planted_panel, "1m")
+    model = forest.fitted[(0, "1m")]
+    pdf = planted_panel.select(*FEATURES, "y_1m").toPandas()
+    from panelcast.plans.histograms import binned
+
+    at = model.trees.positions(0, binned(pdf[FEATURES].to_numpy(), model.edges), 3)
+    assert len(set(at)) > 4
+    for leaf in set(at):
+        y = pdf.y_1m.to_numpy()[at == leaf]
+        assert len(y) > 25
+        below = [(y <= q).mean() for q in model.leaves[0, leaf]]
+        assert below == pytest.approx([0.1, 0.5, 0.9], abs=0.03)
+
+
+def test_bootstrap_weights_are_poisson_and_differ_by_tree():
+    key = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 50_000)
+    a, b = bootstrap_weights(key, 0, 0), bootstrap_weights(key, 1, 0)
+    assert abs(a.mean() - 1) < 0.02 and abs(a.var() - 1) < 0.04 and abs(np.corrcoef(a, b)[0, 1]) < 0.02
+    assert abs((a == 0).mean() - math.exp(-1)) < 0.01
+
+
+def test_rows_without_a_fit_get_null(planted_panel):
+    forest = LeafQuantileForest(ForecastConfig(horizons={"1m": 21}), trees=1, depth=1).fit_one(planted_panel, "1m", 2)
+    rows = planted_panel.limit(1).crossJoin(planted_panel.sparkSession.createDataFrame([(2, "1m"), (0, "1m"), (1, "1m"), (2, "9m")], "fold int, horizon string"))
+    got = {(r.fold, r.horizon): r.gbm for r in forest.predict(rows).collect()}
+    assert got[(2, "1m")] == got[(0, "1m")] is not None and got[(1, "1m")] is got[(2, "9m")] is None
+
+
 def test_a_horizon_without_bands_keeps_its_weight(spark):
     rows = [(h, "val", 0.1 * i, [0.0, 0.1, 0.2] if h == "1m" else None, [0.0, 0.1, 0.3]) for h in ("1m", "3m") for i in range(20)]
     preds = spark.createDataFrame(rows, f"horizon string, split string, y double, a {Q}, b {Q}")
