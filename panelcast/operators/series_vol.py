@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.config import DEFAULTS, ForecastConfig
 from panelcast.functions.windows import Decay, Rolling, in_blocks, series, with_decay, with_rolling
+from panelcast.plans.asof import asof_rows
 
 # The (alpha, beta) grid searched by garch_volatility.
 GARCH_GRID = tuple((a, b) for b in (0.80, 0.88, 0.94) for a in (0.03, 0.05, 0.10))
@@ -53,10 +54,9 @@ class SeriesVol:
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        known = self.history.select("ticker", F.col("date").alias("end_date"), F.col("sigma").alias("__sigma"))
-        # Only anchor dates are needed; there is at most one per calendar day.
-        dates = F.broadcast(rows.select("end_date").distinct())
-        joined = rows.join(known.join(dates, "end_date", "left_semi"), ["ticker", "end_date"], "left")
+        """An anchor on a day without a bar takes the last bar before it; without one its band is null."""
+        known = asof_rows(rows, self.history, ["sigma"]).select("ticker", "end_date", F.col("sigma").alias("__sigma"))
+        joined = rows.join(known, ["ticker", "end_date"], "left")
         steps = F.element_at(F.create_map(*[x for h, n in self.cfg.horizons.items() for x in (F.lit(h), F.lit(float(n)))]), F.col("horizon"))
         return joined.withColumn(self.name, band(F.col("__sigma") * F.sqrt(steps), self.cfg)).drop("__sigma")
 

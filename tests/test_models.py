@@ -21,6 +21,20 @@ from panelcast.schemas import FEATURES
 Q = "array<double>"
 
 
+def test_asof_rows_take_the_last_row_up_to_the_date(spark):
+    from datetime import date
+
+    from panelcast.plans.asof import asof_rows
+
+    day = lambda n: date(2024, 1, n)
+    history = spark.createDataFrame([("A", day(2), 1.0), ("A", day(5), None), ("A", day(9), 3.0), ("B", day(4), 4.0), (None, day(4), 9.0), ("A", None, 9.0)], "ticker string, date date, v double")
+    anchors = spark.createDataFrame([("A", day(d)) for d in (1, 2, 4, 5, 8, 9, 30, 30)] + [("B", day(3)), ("B", day(4)), ("C", day(4)), (None, day(4))], "ticker string, end_date date")
+    got = {(r.ticker, r.end_date.day): (r.v, r.seen and r.seen.day) for r in asof_rows(anchors, history, ["v"]).collect()}
+    assert got == {("A", 1): (None, None), ("A", 2): (1.0, 2), ("A", 4): (1.0, 2), ("A", 5): (None, 5), ("A", 8): (None, 5), ("A", 9): (3.0, 9), ("A", 30): (3.0, 9),
+                   ("B", 3): (None, None), ("B", 4): (4.0, 4), ("C", 4): (None, None), (None, 4): (None, None)}
+    assert asof_rows(anchors.limit(0), history, ["v"]).count() == 0 and asof_rows(anchors, history.limit(0), ["v"]).count() == 11
+
+
 def test_baselines_match_numpy(spark):
     rng = np.random.default_rng(0)
     y = {h: rng.normal(0.01 * i, 0.05, 500) for i, h in enumerate(("1m", "3m", "6m"))}

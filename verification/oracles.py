@@ -362,6 +362,13 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "m_random_walk": _q(["rw"], f"SELECT fold, horizon, {_r(QS, 6)} FROM rw"),
         "m_hist_quantile": _q(["hq"], f"SELECT fold, horizon, {_r(QS, 6)} FROM hq"),
         "m_series_vol": _q(["sv"], f"SELECT fold, ticker, end_date, horizon, {_r(QS, 6)} FROM sv"),
+        "m_series_vol_asof": _q(["scoredl", "bars"], f"""SELECT fold, s.ticker, end_date, horizon, round(exp(-{Z} * sigma * sqrt(h)) - 1, 6) AS q10,
+            CASE WHEN sigma IS NOT NULL THEN CAST(0 AS DOUBLE) END AS q50, round(exp({Z} * sigma * sqrt(h)) - 1, 6) AS q90
+            FROM (SELECT * REPLACE (end_date + CAST(day(end_date) % 7 + 1 AS INTEGER) AS end_date) FROM scoredl) s
+            ASOF LEFT JOIN (SELECT ticker, date, CASE WHEN count(r) OVER f = 252 THEN stddev_samp(r) OVER f END AS sigma FROM (
+                SELECT ticker, date, ln("Close") - lag(ln("Close")) OVER (PARTITION BY ticker ORDER BY date) AS r FROM bars WHERE day(date) % 10 <> 3)
+              WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS 251 PRECEDING)) v
+            ON s.ticker = v.ticker AND s.end_date >= v.date"""),
         "m_series_paths": _q(["vol"], f"""SELECT ticker, end_date, horizon, round(exp((lp - {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q10, CAST(0 AS DOUBLE) AS q50,
             round(exp((lp + {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q90 FROM (SELECT ticker, date AS end_date, lp, sigma FROM vol
             QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), (VALUES ('1m', CAST(21 AS DOUBLE)), ('3m', 63), ('6m', 126)) t(horizon, h)"""),

@@ -301,6 +301,15 @@ def m_series_vol(spark, sf):
     return with_quantiles(scored, "series_vol", "fold", "ticker", "end_date", "horizon")
 
 
+@query
+def m_series_vol_asof(spark, sf):
+    """Every scored anchor moved on by one to seven days: weekends and days beyond a series' end among them."""
+    rows = anchor_rows(ds.panel(spark, sf), ds.folds(spark, sf), CFG)
+    rows = rows.withColumn("end_date", F.date_add("end_date", F.dayofmonth("end_date") % 7 + 1))
+    scored = SeriesVol(CFG).fit(ds.bars(spark, sf).where(F.dayofmonth("date") % 10 != 3)).predict(rows)
+    return with_quantiles(scored, "series_vol", "fold", "ticker", "end_date", "horizon")
+
+
 @query
 def m_series_paths(spark, sf):
     """Latest anchors only carry a full step-by-step path; returns are read off at horizons."""
