@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.functions.numbers import all_set, flag, safe_div
 from panelcast.functions.windows import (
@@ -42,9 +42,14 @@ def complete_rows(features: DataFrame) -> DataFrame:
 
 
 def _complete_inputs(prepared: DataFrame) -> DataFrame:
+    return prepared.where(_all_there(prepared))
+
+
+def _all_there(prepared: DataFrame) -> Column:
+    """Whether every feature will be present, told from the window results."""
     helpers = ("__sma20", "__sd20", "__gain14", "__high14", "__low14", "__high252", "__low252", "__obv", "__obv252")
     needed = [c for c in FEATURES if c in prepared.columns] + list(helpers)
-    return prepared.where((F.col("__loss14") != 0) & all_set([F.col(c) for c in needed]))
+    return F.coalesce((F.col("__loss14") != 0) & all_set([F.col(c) for c in needed]), F.lit(False))
 
 
 def feature_columns(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
@@ -52,6 +57,12 @@ def feature_columns(bars: DataFrame, market: DataFrame | None = None) -> DataFra
     return derived_columns(_prepared(bars, market))
 
 
+def flagged_columns(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """feature_columns with `complete`: whether the row would survive the completeness filter."""
+    prepared = _prepared(bars, market)
+    return derived_columns(prepared.withColumn("complete", _all_there(prepared)), ["complete"])
+
+
 def _prepared(bars: DataFrame, market: DataFrame | None) -> DataFrame:
     """Bars with every window result the features need."""
     # From here on all windows are ordered by (block, date), so they share one sort.
@@ -120,7 +131,7 @@ def rolling_inputs(df: DataFrame) -> DataFrame:
     return rolled.select("*", F.lag("SMA_50").over(w).alias("__prev_sma50"))
 
 
-def derived_columns(df: DataFrame) -> DataFrame:
+def derived_columns(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Row-wise features from the prepared inputs; no window is needed here."""
     close, open_, high, low = (F.col(c) for c in ("Close", "Open", "High", "Low"))
     strength = safe_div(F.col("__gain14"), F.col("__loss14"))
@@ -146,7 +157,7 @@ def derived_columns(df: DataFrame) -> DataFrame:
     prev_close, prev_open, prev_trend = F.col("__prev_close"), F.col("__prev_open"), F.col("__prev_sma50")
     small = size < full * 0.3
     return prepared.select(
-        "ticker", "date",
+        "ticker", "date", *(keep or []),
         *[c for c in FEATURES if c in prepared.columns],
         ((F.col("BB_upper") - F.col("BB_lower")) / (F.col("__sma20") + TINY)).alias("BB_width"),
         (body / full).alias("body_pct"),
@@ -155,4 +166,4 @@ def derived_columns(df: DataFrame) -> DataFrame:
         flag((prev_close > prev_trend) & small & (upper > size * 2) & (lower < full * 0.1)).alias("shooting_star"),
         flag((body > 0) & (prev_close - prev_open < 0) & (close > prev_open) & (open_ < prev_close)).alias("engulfing"),
         (full / (close + TINY)).alias("price_range_pct"),
-    ).select("ticker", "date", *FEATURES)
+    ).select("ticker", "date", *(keep or []), *FEATURES)

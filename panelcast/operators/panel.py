@@ -80,6 +80,42 @@ def panel_from_features(features: DataFrame, cfg: ForecastConfig = DEFAULTS) ->
     )
 
 
+def modelling_table(rows: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """Every feature row with nullable labels, in the plan that computes the features.
+
+    rows: (ticker, date, complete, features), warm-up rows included, with positive closes. Adds, among the complete
+    rows of a ticker: labels, base_close, label_end, `row` (from 1), `n_rows` and month_end. All windows partition by
+    ticker first, as the features' own do, so bars reach this table through one exchange; written once, it serves
+    features_of, panel_of and latest_of as filtered reads.
+    """
+    group = Window.partitionBy("ticker", "complete")
+    w = group.orderBy("date")
+    ahead = [(safe_div(F.lead("Close", h).over(w), F.col("Close")) - 1).alias(f"y_{name}") for name, h in cfg.horizons.items()]
+    placed = rows.select(
+        "ticker", "date", "complete", *FEATURES, *ahead, F.col("Close").alias("base_close"), F.lead("date", cfg.max_horizon).over(w).alias("label_end"),
+        F.row_number().over(w).alias("row"), F.count(F.lit(1)).over(group).alias("n_rows"), F.lead("date").over(w).alias("__next"))
+    ends = (F.col("row") == F.col("n_rows") - cfg.max_horizon) | F.col("__next").isNull() | (month_of("__next") != month_of("date"))
+    return placed.withColumn("month_end", ends).drop("__next")
+
+
+def features_of(table: DataFrame) -> DataFrame:
+    """The complete feature rows of a modelling table."""
+    return table.where("complete").select("ticker", "date", *FEATURES)
+
+
+def panel_of(table: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """The panel of a modelling table: what panel_from_features makes of its complete rows."""
+    usable = F.col("complete") & (F.col("n_rows") >= cfg.min_feature_rows) & (F.col("row") >= cfg.window) & F.col("label_end").isNotNull()
+    return table.where(usable).na.drop(subset=cfg.label_cols).select(
+        "ticker", F.col("date").alias("end_date"), *FEATURES, *cfg.label_cols, "base_close", "label_end", "month_end")
+
+
+def latest_of(table: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """The newest complete row of each ticker with enough history: what latest_rows finds."""
+    newest = F.col("complete") & (F.col("row") == F.col("n_rows")) & (F.col("n_rows") >= cfg.min_feature_rows)
+    return table.where(newest).select("ticker", F.col("date").alias("end_date"), *FEATURES, "base_close")
+
+
 def month_end_anchors(panel: DataFrame) -> DataFrame:
     """The last panel row of each ticker in each calendar month."""
     if "month_end" in panel.columns:

@@ -11,8 +11,7 @@ from panelcast.schemas import OHLCV
 
 TOO_MANY_NULLS = "too many missing closes"
 EMPTY = "no bars"
-UNSTABLE = "closes vanish when spikes are clipped"
-LEAST_SHARE = 1e-6  # of the first close: below it a rebuilt series is rounding noise
+MOST_LOG = 700.0  # rebuilt closes stay within exp(-700) and exp(700), where doubles neither vanish nor overflow
 
 
 def gate(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
@@ -30,7 +29,8 @@ def repair(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """Rebuild the close of any series with a one-day move beyond the spike limit.
 
     The whole series is rebuilt from clipped returns; High and Low are widened to hold the
-    new close. Series without such a move pass unchanged.
+    new close. Series without such a move pass unchanged. The running product is a sum of logarithms, so
+    that a long fall or rise cannot vanish or overflow; a close of zero or less, which the gate turns away, would have no move.
     """
     w, whole = series(), Window.partitionBy("ticker")
     limit = F.lit(cfg.spike)
@@ -41,10 +41,10 @@ def repair(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     marked = moves.select(
         *bars.columns,
         F.coalesce(F.bool_or(F.abs("__move") > limit).over(whole), F.lit(False)).alias("__spiky"),
-        F.first("Close").over(so_far(w)).alias("__start"),
-        F.product(F.lit(1) + clipped).over(so_far(w)).alias("__growth"),
+        (F.ln(F.first("Close").over(so_far(w))) + F.sum(F.ln(F.lit(1) + clipped)).over(so_far(w))).alias("__log"),
     )
-    rebuilt = marked.withColumn("Close", F.when(F.col("__spiky"), F.col("__start") * F.col("__growth")).otherwise(F.col("Close")))
+    bounded = F.greatest(F.least("__log", F.lit(MOST_LOG)), F.lit(-MOST_LOG))
+    rebuilt = marked.withColumn("Close", F.when(F.col("__spiky"), F.exp(bounded)).otherwise(F.col("Close")))
     envelope = ("Open", "High", "Low", "Close")
     return rebuilt.select(
         *[c for c in bars.columns if c not in OHLCV],
@@ -56,14 +56,6 @@ def repair(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     )
 
 
-def stable(bars: DataFrame) -> DataFrame:
-    """Drop series whose rebuilt close falls below a tiny share of its start."""
-    whole = Window.partitionBy("ticker")
-    start = F.first("Close").over(so_far(series()))
-    return bars.withColumn("__share", safe_div(F.col("Close"), start)).withColumn("__least", F.min("__share").over(whole)).where(
-        F.col("__least") >= LEAST_SHARE).drop("__share", "__least")
-
-
 def without_nan(bars: DataFrame) -> DataFrame:
     return bars.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in OHLCV})
 
@@ -71,7 +63,7 @@ def without_nan(bars: DataFrame) -> DataFrame:
 def clean(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
     """Gate, drop incomplete rows, repair. NaN counts as missing; a bad series has no rows and
     touches no other series."""
-    return stable(repair(gate(without_nan(bars), cfg).na.drop(subset=OHLCV), cfg))
+    return repair(gate(without_nan(bars), cfg).na.drop(subset=OHLCV), cfg)
 
 
 def rejects(bars: DataFrame, universe: DataFrame | None = None, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
@@ -106,15 +98,15 @@ def short_history(features: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFr
     return n.select("ticker", F.format_string(f"%d feature rows of {cfg.min_feature_rows}", F.col("n")).alias("reason"))
 
 
-def unstable(bars: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
-    """(ticker, reason) for series that pass the gate but not the repair."""
-    repaired = repair(gate(without_nan(bars), cfg).na.drop(subset=OHLCV), cfg)
-    kept = stable(repaired).select("ticker").distinct()
-    return repaired.select("ticker").distinct().join(kept, "ticker", "left_anti").withColumn("reason", F.lit(UNSTABLE))
+def skip_report(bars: DataFrame, features: DataFrame, universe: DataFrame | None = None, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """(ticker, reason), one row for every series that has no panel rows: turned away by the gate, or for want of
+    history, down to none at all. features: the complete rows computed from the cleaned bars."""
+    first = rejects(without_nan(bars), universe, cfg)
+    rest = tickers(bars).join(first.select("ticker"), "ticker", "left_anti")
+    n = rest.join(features.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")), "ticker", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    short = n.where(F.col("n") < cfg.min_feature_rows)
+    return first.unionByName(short.select("ticker", F.format_string(f"%d feature rows of {cfg.min_feature_rows}", F.col("n")).alias("reason")))
 
 
-def skip_report(bars: DataFrame, features: DataFrame, universe: DataFrame | None = None, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
-    """(ticker, reason), one row for every series that has no panel rows: turned away by the gate,
-    by the repair, or for want of history. features: those computed from the cleaned bars."""
-    first = rejects(without_nan(bars), universe, cfg).unionByName(unstable(bars, cfg))
-    return first.unionByName(short_history(features, cfg).join(first.select("ticker"), "ticker", "left_anti"))
+def tickers(bars: DataFrame) -> DataFrame:
+    return bars.select("ticker").distinct()

@@ -47,6 +47,13 @@ def forecast_records(rows: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFra
     )
 
 
+def forecast_header(rows: DataFrame, cfg: ForecastConfig = DEFAULTS) -> DataFrame:
+    """One row to go with the records: anchor_horizons and their lengths in rows, in the settings' order, and n_forecasts."""
+    names = F.array(*[F.lit(h) for h in cfg.horizons])
+    steps = F.array(*[F.lit(n) for n in cfg.horizons.values()])
+    return rows.agg(F.count_distinct("ticker").alias("n_forecasts")).select(names.alias("anchor_horizons"), steps.alias("horizon_rows"), "n_forecasts")
+
+
 def find_forecast(rows: DataFrame, requested: str, fallback: str | None = None) -> DataFrame:
     """The requested ticker's rows, else the fallback's, else those of the first ticker."""
     priority = F.when(F.col("ticker") == requested.upper(), 0).when(F.col("ticker") == F.lit(fallback), 1).otherwise(2)

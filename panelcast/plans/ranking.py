@@ -28,7 +28,7 @@ def with_position(
     """Append the 1-based position of each row in its group under a total order."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     if largest_group(df, keys) <= max_group_rows:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)).cast("long"))
     return _spread_position(df, keys, order, out)
 
 
@@ -44,7 +44,7 @@ def _spread_position(df: DataFrame, keys: list[str], order: list[Column], out: s
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*keys, "__part", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     joined = stable.join(broadcast_if_small(offsets), [*keys, "__part"])
-    position = (F.col("__before") + F.col("__index") - F.col("__first") + 1).cast("int")
+    position = (F.col("__before") + F.col("__index") - F.col("__first") + 1).cast("long")
     return joined.select(*df.columns, position.alias(out))
 
 

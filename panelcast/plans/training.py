@@ -18,14 +18,16 @@ from panelcast.operators.baselines import HistoricalQuantile, RandomWalk, long_l
 from panelcast.operators.cv import Fold, require_folds, scored_anchors, walk_forward_folds
 from panelcast.operators.ensemble import apply_ensemble, fit_ensemble
 from panelcast.operators.metrics import score_table
-from panelcast.operators.panel import latest_rows, month_end_anchors
+from panelcast.operators.features import flagged_columns
+from panelcast.operators.panel import features_of, latest_rows, modelling_table, month_end_anchors, panel_of
+from panelcast.operators.quality import clean, skip_report
 from panelcast.operators.series_vol import SeriesVol
 from panelcast.operators.trees import LeafQuantileForest, TreeForecaster
-from panelcast.operators.views import forecast_records, forecast_rows, price_arrays, price_history
+from panelcast.operators.views import forecast_header, forecast_records, forecast_rows, price_arrays, price_history
 from panelcast.plans.materialize import materialize
 from panelcast.schemas import FEATURES
 from panelcast.sinks.documents import metrics_document, write_model_card, write_one_document, write_records
-from panelcast.sinks.tables import write_drift_reference
+from panelcast.sinks.tables import write_drift_reference, write_panel
 from panelcast.sources.reference_data import read_metrics_params
 
 BASELINES = ["random_walk", "baseline"]  # then the tree model, the series model and the ensemble
@@ -40,6 +42,25 @@ class Training:
     forest: TreeForecaster
 
 
+@dataclass
+class Build:
+    table: DataFrame  # features with labels, see modelling_table
+    panel: DataFrame
+    skipped: DataFrame  # (ticker, reason)
+
+
+def run_build(
+    bars: DataFrame, market: DataFrame | None, universe: DataFrame | None = None, cfg: ForecastConfig = DEFAULTS, out_dir: str | None = None,
+) -> Build:
+    """From bars to the panel in one plan and one write, and a reason for every ticker that has no panel rows."""
+    table = materialize(modelling_table(flagged_columns(clean(bars, cfg), market), cfg), "modelling")
+    panel, skipped = panel_of(table, cfg), materialize(skip_report(bars, features_of(table), universe, cfg), "skipped")
+    if out_dir:
+        write_panel(panel, f"{out_dir}/panel")
+        write_records(skipped, f"{out_dir}/skipped")
+    return Build(table, panel, skipped)
+
+
 def anchor_rows(panel: DataFrame, folds: list[Fold], cfg: ForecastConfig = DEFAULTS, keep: list[str] | None = None) -> DataFrame:
     """Test anchors in long form: (fold, split, ticker, end_date, horizon, y) plus kept columns."""
     anchors = scored_anchors(month_end_anchors(panel), folds)
@@ -136,6 +157,7 @@ def run_export(
         scored, band = apply_ensemble(scored, params, "series_vol", forest.name), "ensemble"
     forecasts = forecast_rows(scored, band, meta, cfg)
     write_records(forecast_records(forecasts, cfg), f"{out_dir}/forecasts")
+    write_one_document(forecast_header(forecasts, cfg), f"{out_dir}/forecasts_header")
     write_records(price_arrays(price_history(raw_bars, latest, cfg.price_history_days)), f"{out_dir}/prices")
     spark.read.text(f"{artifacts}/metrics", wholetext=True).repartition(1).write.mode("overwrite").text(f"{out_dir}/metrics")
     return forecasts

@@ -9,7 +9,7 @@ from panelcast.config import ForecastConfig
 from panelcast.operators.features import compute_features
 from panelcast.operators.panel import build_panel
 from panelcast.operators.quality import (
-    TOO_MANY_NULLS, UNSTABLE, clean, enough_history, rejects, short_history, skip_report,
+    TOO_MANY_NULLS, clean, enough_history, rejects, short_history, skip_report,
 )
 from panelcast.sinks.tables import write_bars
 from panelcast.sources.bars import normalise_symbol, read_bars, tidy_bars
@@ -33,20 +33,21 @@ def test_share_of_missing_closes(to_bars, share, passes, missing):
 
 
 def test_every_reason_is_reported_once(spark, to_bars, market):
-    wild = make_ohlcv(430, 3, "WILD")
+    wild = make_ohlcv(430, 3, "WILD")  # repaired, and kept
     wild["Close"] = np.resize([50.0, 300.0, 80.0, 20.0], 430)
+    bare = make_ohlcv(240, 8, "BARE")  # passes the gate, and has no complete feature row
     holes = make_ohlcv(430, 4, "HOLES")
     holes.loc[np.arange(0, 430, 7), "Close"] = np.nan
-    bars = to_bars(pd.concat([wild, holes, make_ohlcv(90, 5, "BRIEF"), make_ohlcv(230, 6, "YOUNG"), make_ohlcv(430, 7, "FINE")]))
+    bars = to_bars(pd.concat([wild, holes, make_ohlcv(90, 5, "BRIEF"), make_ohlcv(230, 6, "YOUNG"), make_ohlcv(430, 7, "FINE"), bare]))
     cfg = ForecastConfig(window=60, horizons={"1m": 21})
-    universe = spark.createDataFrame([(t,) for t in ("WILD", "HOLES", "BRIEF", "YOUNG", "FINE", "NOWHERE")], "ticker string")
+    universe = spark.createDataFrame([(t,) for t in ("WILD", "HOLES", "BRIEF", "YOUNG", "FINE", "BARE", "NOWHERE")], "ticker string")
     features = compute_features(clean(bars, cfg), market)
     found = skip_report(bars, features, universe, cfg).collect()
     reasons = {r.ticker: r.reason for r in found}
     assert len(found) == len(reasons)
     young = features.where("ticker = 'YOUNG'").count()
     assert reasons["HOLES"] == TOO_MANY_NULLS and reasons["BRIEF"] == f"90 usable rows of {cfg.min_rows}" and reasons["NOWHERE"] == "no bars"
-    assert reasons["WILD"] == UNSTABLE and "FINE" not in reasons and ("YOUNG" not in reasons or young < cfg.min_feature_rows)
+    assert reasons["BARE"] == f"0 feature rows of {cfg.min_feature_rows}" and not {"WILD", "FINE"} & set(reasons) and ("YOUNG" not in reasons or young < cfg.min_feature_rows)
 
 
 def test_negative_and_zero_closes_go(to_bars):
@@ -81,19 +82,48 @@ def test_calm_series_pass_bit_by_bit(to_bars):
 
 def test_bad_neighbours_leave_a_good_series_alone(to_bars, market):
     good, cfg = make_ohlcv(430, 13, "GOOD"), ForecastConfig(window=60, horizons={"1m": 21})
-    vanishing = make_ohlcv(430, 14, "VANISH")
-    vanishing["Close"] = np.resize([100.0, 400.0, 150.0, 60.0, 25.0], 430)
+    falling = make_ohlcv(430, 14, "FALLS")
+    falling["Close"] = 100 * 0.94 ** np.arange(430)
+    falling.loc[5, "Close"] *= 0.3  # one spike, so the whole series is rebuilt
     patchy = make_ohlcv(430, 15, "PATCHY")
     patchy.loc[215, "High"] = np.nan
     alone = build_panel(to_bars(good), market, cfg)
-    together = build_panel(to_bars(pd.concat([vanishing, good, patchy])), market, cfg)
-    assert together.where("ticker = 'VANISH'").count() == 0
+    together = build_panel(to_bars(pd.concat([falling, good, patchy])), market, cfg)
     ours = together.where("ticker = 'GOOD'")
     assert ours.count() == alone.count() > 0 and ours.exceptAll(alone).count() == 0
     patched = in_order(clean(to_bars(patchy)))
     assert len(patched) == 429 and not patched[VALUES].isna().any().any()
 
 
+def test_vanishing_and_soaring_series_are_kept(to_bars):
+    down, up = make_ohlcv(1500, 16, "DOWN"), make_ohlcv(2500, 17, "UP")
+    down["Close"] = np.maximum(100 * 0.4 ** np.arange(1500), 1e-300)
+    up["Close"] = np.minimum(100 * 1.9 ** np.arange(2500), 1e300)
+    for series, factor in ((down, 0.5), (up, 1.5)):
+        out = in_order(clean(to_bars(series)))
+        old = series.Close.to_numpy()
+        steps = np.log(np.r_[1.0, np.where(np.abs(old[1:] / old[:-1] - 1) > 0.5, factor, old[1:] / old[:-1])])
+        want = np.clip(np.log(old[0]) + np.cumsum(steps), -700, 700)
+        assert len(out) == len(series) and (out.Close > 0).all() and np.isfinite(out.Close).all()
+        np.testing.assert_allclose(np.log(out.Close), want, rtol=1e-9)
+
+
+def test_build_job_reads_everything_from_one_table(spark, to_bars, market, tmp_path):
+    from panelcast.operators.panel import latest_of, latest_rows, panel_from_features
+    from panelcast.plans.training import run_build
+
+    cfg = ForecastConfig(window=60, horizons={"1w": 5, "1m": 21})
+    bars = to_bars(pd.concat([make_ohlcv(430, 3, "A"), make_ohlcv(410, 4, "B"), make_ohlcv(210, 5, "C")]))
+    built = run_build(bars, market, None, cfg, str(tmp_path))
+    features = compute_features(clean(bars, cfg), market)
+    want = panel_from_features(features, cfg)
+    assert built.panel.columns == want.columns and want.count() > 100
+    assert built.panel.exceptAll(want).count() == want.exceptAll(built.panel).count() == 0
+    assert latest_of(built.table, cfg).exceptAll(latest_rows(features, cfg)).count() == 0 and latest_of(built.table, cfg).count() == 2
+    assert [r.ticker for r in built.skipped.collect()] == ["C"] and spark.read.json(str(tmp_path / "skipped")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "panel")).count() == want.count()
+
+
 def test_history_gate(features):
     short = ForecastConfig(window=60, horizons={"1m": 21})
     n = features.count()

@@ -12,14 +12,15 @@ from panelcast.functions.windows import full_frame
 from panelcast.operators.backtest import monthly_returns
 from panelcast.operators.cv import Fold, scored_anchors, walk_forward_folds
 from panelcast.operators.ensemble import apply_ensemble, fit_ensemble
-from panelcast.operators.features import complete_rows, feature_columns
+from panelcast.operators.features import flagged_columns
 from panelcast.operators.metrics import score_table
-from panelcast.operators.panel import latest_rows, month_end_anchors, panel_from_features
+from panelcast.operators.panel import features_of, latest_of, modelling_table, month_end_anchors, panel_of
 from panelcast.operators.quality import clean
 from panelcast.operators.series_vol import SeriesVol
 from panelcast.operators.views import forecast_rows
 from panelcast.plans.materialize import materialize
 from panelcast.plans.training import predict_anchors
+from panelcast.schemas import FEATURES
 from panelcast.sources.bars import daily_bars, walk_bars
 from panelcast.sources.market import derive_market
 
@@ -102,18 +103,22 @@ def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @once
+def modelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Features with labels, from bars in one plan: the features, the panel and the latest rows are reads of it."""
+    return materialize(modelling_table(flagged_columns(clean(bars(spark, sf), CFG), market(spark, sf)), CFG), "modelling")
+
+
 def all_features(spark: SparkSession, sf: str) -> DataFrame:
     """All feature columns, warm-up rows included."""
-    return materialize(feature_columns(clean(bars(spark, sf), CFG), market(spark, sf)), "features")
+    return modelling(spark, sf).select("ticker", "date", *FEATURES)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return complete_rows(all_features(spark, sf))
+    return features_of(modelling(spark, sf))
 
 
-@once
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(panel_from_features(features(spark, sf), CFG), "panel")
+    return panel_of(modelling(spark, sf), CFG)
 
 
 @once
@@ -172,6 +177,6 @@ def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     from panelcast.sources.reference_data import constituents
 
     horizons = F.explode(F.array(*[F.lit(h) for h in CFG.horizons])).alias("horizon")
-    latest = latest_rows(features(spark, sf), CFG).select("ticker", "end_date", "base_close", horizons)
+    latest = latest_of(modelling(spark, sf), CFG).select("ticker", "end_date", "base_close", horizons)
     scored = SeriesVol(CFG).fit(bars(spark, sf)).predict(latest)
     return materialize(forecast_rows(scored, "series_vol", constituents(constituent_table(spark, sf)), CFG), "forecasts")

@@ -5,6 +5,8 @@ Common steps are named table expressions; `_q` puts the ones a statement needs i
 
 from __future__ import annotations
 
+import re
+
 CTE: dict[str, tuple[list[str], str]] = {}
 
 
@@ -236,6 +238,12 @@ _cte("monthly", ["sel", "turn"], """SELECT end_date, lo - sh AS long_short, lo A
     JOIN turn USING (end_date)""")
 _cte("books", ["monthly"], """SELECT end_date, 'long_short' AS book, long_short AS r, turnover FROM monthly UNION ALL
     SELECT end_date, 'long_only', long_only, turnover FROM monthly UNION ALL SELECT end_date, 'benchmark', benchmark, turnover FROM monthly""")
+# The same book with the library's own settings: deciles of months with 30 names or more.
+for _name in ("sel", "seqd", "longs", "turn", "monthly", "books"):
+    _needs, _sql = CTE[_name]
+    for _other in ("sel", "seqd", "longs", "turn", "monthly"):
+        _sql = re.sub(rf"\b(FROM|JOIN) {_other}\b", rf"\1 {_other}_own", _sql)
+    _cte(f"{_name}_own", [n if n == "signal" else f"{n}_own" for n in _needs], _sql.replace("CAST(0.2 AS DOUBLE)", "CAST(0.1 AS DOUBLE)").replace("n >= 5", "n >= 30"))
 _EQ = """SELECT *, max(equity) OVER (PARTITION BY {k} ORDER BY end_date) AS peak FROM (
     SELECT *, product(1 + r) OVER (PARTITION BY {k} ORDER BY end_date) AS equity FROM {t})"""
 _STAT = """round(avg(r) * 12, 4) AS ann_return, round(stddev_samp(r) * sqrt(12), 4) AS ann_vol,
@@ -305,6 +313,10 @@ def _feature_sql(cols: list[str]) -> str:
     return _q(["allf"], f"SELECT ticker, date, {_r(names)} FROM allf")
 
 
+# Each ticker's features from a day of its own on.
+CUT = "date >= CAST('1993-01-01' AS DATE) + CAST(CAST(substr(ticker, 2, 7) AS INTEGER) % 7 * 400 AS INTEGER)"
+
+
 def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
     out = {
         "bars_daily": """SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
@@ -327,7 +339,19 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "quality_repair": _q(["fixed"], """SELECT ticker, date, "Open", round(ln(c), 4) AS ln_close,
             round(ln(CASE WHEN spiky THEN greatest("Open", "High", "Low", c) ELSE "High" END), 4) AS ln_high,
             round(ln(CASE WHEN spiky THEN least("Open", "High", "Low", c) ELSE "Low" END), 4) AS ln_low, "Volume" FROM fixed"""),
-        "history_gate": _q(["done"], """SELECT ticker, count(*) || ' feature rows of 1226' AS reason FROM done GROUP BY ticker HAVING count(*) < 1226"""),
+        "history_gate": _q(["done"], f"""SELECT ticker, count(*) || ' feature rows of 1026' AS reason FROM done WHERE {CUT} GROUP BY ticker HAVING count(*) < 1026"""),
+        "quality_skip_report": _q(["rawstat", "done"], f"""WITH r AS (SELECT * FROM rawstat WHERE CAST(substr(ticker, 2, 7) AS INTEGER) % 5 <> 4),
+            f AS (SELECT ticker, CASE WHEN nulls > CAST(0.05 AS DOUBLE) THEN 'too many missing closes' WHEN usable < 480 THEN usable || ' usable rows of 480' END AS reason FROM r)
+            SELECT * FROM f WHERE reason IS NOT NULL
+            UNION ALL SELECT ticker, 'no bars' FROM (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS ticker FROM supplier
+            UNION ALL SELECT n_name FROM nation) WHERE ticker NOT IN (SELECT ticker FROM r)
+            UNION ALL SELECT ticker, coalesce(n, 0) || ' feature rows of 1026' FROM f LEFT JOIN (SELECT ticker, count(*) AS n FROM done WHERE {CUT} GROUP BY ticker) USING (ticker)
+            WHERE reason IS NULL AND coalesce(n, 0) < 1026"""),
+        "market_cached": _q(["market"], f"SELECT date, {_r(['vix_close', 'sp500_ret_21d', 'sp500_ret_63d'], 6)} FROM market"),
+        "bt_monthly_defaults": _q(["monthly_own"], f"SELECT end_date, {_r(['long_short', 'long_only', 'benchmark', 'turnover'], 6)} FROM monthly_own"),
+        "bt_stats_defaults": _q(["books_own"], f"""SELECT book, {_STAT}, CASE WHEN book <> 'benchmark' THEN round(avg(turnover), 3) END AS avg_turnover
+            FROM ({_EQ.format(k='book', t='books_own')}) GROUP BY book"""),
+        "view_forecast_horizons": _q(["fc"], "SELECT '1m,3m,6m' AS anchor_horizons, '21,63,126' AS horizon_rows, count(DISTINCT ticker) AS n_forecasts FROM fc"),
         "market_join_ffill": _q(["joined"], f"SELECT ticker, date, {_r(['vix_close', 'sp500_ret_21d', 'sp500_ret_63d'], 6)} FROM joined"),
         "features_complete": _q(["done", "macd"], f"""SELECT ticker, count(*) AS n, min(date) AS first, max(date) AS last,
             {', '.join(f'round(avg({c}), {mean_digits(c.strip(chr(34)))}) AS {c}' for c in FEATURE_COLS)} FROM done JOIN macd USING (ticker, date) GROUP BY ticker"""),
@@ -422,9 +446,9 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "view_chart_range": _q(["extent"], """SELECT ticker, round(y_min, 3) AS y_min, round(y_max, 3) AS y_max,
             round(CASE WHEN y_max = y_min THEN 1 ELSE (y_max - y_min) * CAST(0.06 AS DOUBLE) END, 3) AS pad,
             round(y_min + (y_max - y_min) / 3, 3) AS tick_1, round(y_max, 3) AS tick_3 FROM extent"""),
-        "view_screener": _q(["fc"], """SELECT CAST(row_number() OVER (ORDER BY q50 DESC, ticker) AS INTEGER) AS position, ticker, sector, q10, q50, q90 FROM fc
+        "view_screener": _q(["fc"], """SELECT row_number() OVER (ORDER BY q50 DESC, ticker) AS position, ticker, sector, q10, q50, q90 FROM fc
             WHERE horizon = '3m' AND (contains(ticker, 'SUPPLIER#00') OR contains(upper(name), 'SUPPLIER#00'))"""),
-        "view_screener_sector": _q(["fc"], """SELECT CAST(row_number() OVER (ORDER BY q50, ticker) AS INTEGER) AS position, ticker, name, q90 FROM fc
+        "view_screener_sector": _q(["fc"], """SELECT row_number() OVER (ORDER BY q50, ticker) AS position, ticker, name, q90 FROM fc
             WHERE horizon = '1m' AND sector = 'Unknown'"""),
         "view_sectors": _q(["fc"], """SELECT 0 AS ord, 'All' AS sector UNION ALL
             SELECT CAST(row_number() OVER (ORDER BY sector) AS INTEGER), sector FROM (SELECT DISTINCT sector FROM fc)"""),

@@ -29,8 +29,9 @@ from panelcast.plans.materialize import materialize, run_folder
 from panelcast.plans.training import anchor_rows
 from panelcast.schemas import FEATURES, MARKET_COLS
 from panelcast.sinks.documents import flat_metrics, metrics_document, model_card, write_one_document
-from panelcast.sinks.tables import write_bars, write_panel
+from panelcast.sinks.tables import write_bars, write_market, write_panel
 from panelcast.sources.bars import daily_bars, normalise_symbol, read_bars, tickers, tidy_bars
+from panelcast.sources.market import read_market
 from panelcast.sources.reference_data import constituents, read_metrics_params
 from verification import datasets as ds
 from verification.datasets import BOOK, CFG, SHORT_SERIES
@@ -100,6 +101,14 @@ def market_series(spark, sf):
     return rounded(ds.market(spark, sf), MARKET_COLS, 6)
 
 
+@query
+def market_cached(spark, sf):
+    """The market sink, read back."""
+    path = f"{run_folder(spark)}/market-{uuid.uuid4().hex}"
+    write_market(ds.market(spark, sf), path)
+    return rounded(read_market(spark, path), MARKET_COLS, 6)
+
+
 @query
 def constituents_meta(spark, sf):
     return constituents(ds.constituent_table(spark, sf))
@@ -137,7 +146,20 @@ def quality_repair(spark, sf):
 
 @query
 def history_gate(spark, sf):
-    return quality.short_history(ds.features(spark, sf), ds.ForecastConfig(window=1100))
+    """Series too short for a window of half the longest one's rows: bars are cut off ticker by ticker."""
+    cut = F.date_add(F.lit("1993-01-01").cast("date"), F.pmod(F.substring("ticker", 2, 7).try_cast("int"), F.lit(7)) * 400)
+    return quality.short_history(ds.features(spark, sf).where(F.col("date") >= cut), ds.ForecastConfig(window=900))
+
+
+@query
+def quality_skip_report(spark, sf):
+    """Every ticker without panel rows and why: unknown ones, those the gate rejects, those with too little history."""
+    universe = ds.table(spark, sf, "supplier").select(ds.supplier_ticker("s_suppkey").alias("ticker"))
+    extra = ds.table(spark, sf, "nation").select(F.col("n_name").alias("ticker"))
+    spoiled = ds.raw_bars(spark, sf).where(F.pmod(F.substring("ticker", 2, 7).try_cast("int"), F.lit(5)) != 4)
+    cut = F.date_add(F.lit("1993-01-01").cast("date"), F.pmod(F.substring("ticker", 2, 7).try_cast("int"), F.lit(7)) * 400)
+    features = ds.features(spark, sf).where(F.col("date") >= cut)
+    return quality.skip_report(spoiled, features, universe.union(extra), ds.ForecastConfig(window=900, min_rows=480))
 
 
 # --- features ------------------------------------------------------------------------------
@@ -453,6 +475,18 @@ def bt_monthly(spark, sf):
     return rounded(bt.monthly_returns(ds.signal(spark, sf), BOOK).select("end_date", *cols), cols, 6)
 
 
+@query
+def bt_monthly_defaults(spark, sf):
+    """The library's own book: deciles of months with 30 names or more."""
+    cols = ["long_short", "long_only", "benchmark", "turnover"]
+    return rounded(bt.monthly_returns(ds.signal(spark, sf), CFG).select("end_date", *cols), cols, 6)
+
+
+@query
+def bt_stats_defaults(spark, sf):
+    return bt.book_statistics(materialize(bt.monthly_returns(ds.signal(spark, sf), CFG).repartition(1), "monthly-defaults"))
+
+
 @query
 def bt_stats(spark, sf):
     return bt.book_statistics(ds.monthly(spark, sf))
@@ -516,6 +550,18 @@ def view_forecast_records(spark, sf):
     return records.select("ticker", "anchor_price", F.size("horizons").alias("n"), F.col("horizons")["3m"]["q90"].alias("q90_3m"))
 
 
+@query
+def view_forecast_horizons(spark, sf):
+    """The header that goes with the forecast records: the horizons and how many records there are."""
+    path = f"{run_folder(spark)}/forecast-header-{uuid.uuid4().hex}"
+    write_one_document(views.forecast_header(ds.forecasts(spark, sf), CFG), path)
+    text = spark.read.text(path)
+    shape = "struct<anchor_horizons:array<string>,horizon_rows:array<int>,n_forecasts:bigint>"
+    return text.select(F.from_json("value", shape).alias("d")).select(
+        F.array_join("d.anchor_horizons", ",").alias("anchor_horizons"), F.array_join(F.col("d.horizon_rows").cast("array<string>"), ",").alias("horizon_rows"),
+        F.col("d.n_forecasts").alias("n_forecasts"))
+
+
 def _history(spark, sf):
     return views.price_history(ds.bars(spark, sf), ds.forecasts(spark, sf).select("ticker").distinct())
 
