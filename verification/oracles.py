@@ -264,6 +264,8 @@ _cte("raw", [], f"""SELECT ticker, date, "Open", "High", "Low", CASE WHEN "Volum
       last(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS c, sum(l_quantity) AS "Volume"
     FROM lineitem GROUP BY 1, 2)""")
 _cte("rawstat", ["raw"], """SELECT ticker, avg(CASE WHEN "Close" IS NULL THEN 1.0 ELSE 0.0 END) AS nulls, count(*) FILTER (WHERE "Close" > 0) AS usable FROM raw GROUP BY ticker""")
+_cte("first_reason", ["rawstat"], """SELECT ticker, CASE WHEN nulls > CAST(0.05 AS DOUBLE) THEN 'too many missing closes'
+    WHEN usable < 480 THEN usable || ' usable rows of 480' END AS reason FROM rawstat WHERE CAST(substr(ticker, 2, 7) AS INTEGER) % 5 <> 4""")
 _cte("gated", ["raw", "rawstat"], """SELECT raw.* FROM raw JOIN rawstat USING (ticker) WHERE nulls <= CAST(0.05 AS DOUBLE) AND usable >= 480 AND "Close" > 0""")
 _cte("move", ["gated"], """SELECT *, "Close" / lag("Close") OVER (PARTITION BY ticker ORDER BY date) - 1 AS r,
     first_value("Close") OVER (PARTITION BY ticker ORDER BY date) AS c0 FROM gated""")
@@ -340,12 +342,10 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
             round(ln(CASE WHEN spiky THEN greatest("Open", "High", "Low", c) ELSE "High" END), 4) AS ln_high,
             round(ln(CASE WHEN spiky THEN least("Open", "High", "Low", c) ELSE "Low" END), 4) AS ln_low, "Volume" FROM fixed"""),
         "history_gate": _q(["done"], f"""SELECT ticker, count(*) || ' feature rows of 1026' AS reason FROM done WHERE {CUT} GROUP BY ticker HAVING count(*) < 1026"""),
-        "quality_skip_report": _q(["rawstat", "done"], f"""WITH r AS (SELECT * FROM rawstat WHERE CAST(substr(ticker, 2, 7) AS INTEGER) % 5 <> 4),
-            f AS (SELECT ticker, CASE WHEN nulls > CAST(0.05 AS DOUBLE) THEN 'too many missing closes' WHEN usable < 480 THEN usable || ' usable rows of 480' END AS reason FROM r)
-            SELECT * FROM f WHERE reason IS NOT NULL
+        "quality_skip_report": _q(["first_reason", "done"], f"""SELECT * FROM first_reason WHERE reason IS NOT NULL
             UNION ALL SELECT ticker, 'no bars' FROM (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS ticker FROM supplier
-            UNION ALL SELECT n_name FROM nation) WHERE ticker NOT IN (SELECT ticker FROM r)
-            UNION ALL SELECT ticker, coalesce(n, 0) || ' feature rows of 1026' FROM f LEFT JOIN (SELECT ticker, count(*) AS n FROM done WHERE {CUT} GROUP BY ticker) USING (ticker)
+            UNION ALL SELECT n_name FROM nation) WHERE ticker NOT IN (SELECT ticker FROM first_reason)
+            UNION ALL SELECT ticker, coalesce(n, 0) || ' feature rows of 1026' FROM first_reason LEFT JOIN (SELECT ticker, count(*) AS n FROM done WHERE {CUT} GROUP BY ticker) USING (ticker)
             WHERE reason IS NULL AND coalesce(n, 0) < 1026"""),
         "market_cached": _q(["market"], f"SELECT date, {_r(['vix_close', 'sp500_ret_21d', 'sp500_ret_63d'], 6)} FROM market"),
         "bt_monthly_defaults": _q(["monthly_own"], f"SELECT end_date, {_r(['long_short', 'long_only', 'benchmark', 'turnover'], 6)} FROM monthly_own"),
