@@ -31,13 +31,13 @@ def settled(df: DataFrame, keep: list[str], computed: dict[str, Column]) -> Data
     return df.select(*[F.col(f"`{k}`") for k in keep], F.inline_outer(F.array(row)))
 
 
-def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` rows, those with the smallest hashes of the key; `__hash` is appended.
+def smallest_hashes(rows: DataFrame, key: str | list[str], most: int) -> DataFrame:
+    """At most `most` rows, those with the smallest hashes of the key (one column or several); `__hash` is appended.
 
     A cut of the hash range comes first, so that about 2 * most rows in all leave the tasks, where
     a plain top-k would send that many from each.
     """
-    hashed = rows.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(key), 1))
+    hashed = rows.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(*([key] if isinstance(key, str) else key)), 1))
     n = rows.count()
     if n > 2 * most:
         hashed = hashed.filter(F.col("__hash") < int(2 * most / n * 2**63))

@@ -151,7 +151,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     marked = labels.select(F.col(id).alias("__id"), F.col(label).cast("double").alias("__y")).filter("__y IS NOT NULL AND __id IS NOT NULL")
     sample = F.broadcast(smallest_hashes(marked, "__id", max_rows).drop("__hash"))  # ids and labels, at most max_rows
     rows = docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("__t")).join(sample, "__id")
-    learnt = features(rows.select(F.struct("__id", "__y").alias("k"), "__t"), "__t", "k").select("k.*", *FEATURES).toPandas()
+    measured = features(rows.select(F.struct("__id", "__y").alias("k"), "__t"), "__t", "k").select("k.*", *FEATURES).persist()
+    try:  # an id that repeats in docs stands for many rows: the bound holds for them too
+        learnt = smallest_hashes(measured, ["__id", *FEATURES], max_rows).drop("__hash").toPandas()
+    finally:
+        measured.unpersist()
     learnt = learnt.sort_values(["__id", "__y", *FEATURES])  # the fit does not depend on the order of tasks
     return fit(learnt[FEATURES].to_numpy(), learnt["__y"].to_numpy())
 

@@ -5,13 +5,14 @@ of tags (and of the words in their class, id and role attributes) above it. A bi
 reads for every block the hashed path, hashed words and a few numbers, and labels the block as main text or not
 with the whole page as context. The blocks labelled as main text, in page order, are the extraction.
 
-The labeller is trained here, on layouts built from at most `MAX_PAGES` pages of the table (those with the
-smallest hashes of page_id): the pages as they are, where text within <article> or <main> is main text, and the same
-texts set anew in layouts with menus, banners, notices, adverts, forms, comments, sidebars and footers under many
+The labeller is trained here, on layouts built from at most `MAX_PAGES` pages of up to MAX_CHARS characters (those with the
+smallest hashes of id and html): the pages as they are, where text within <article> or <main> is main text unless a nested
+sidebar, menu, form, footer, advert or comment holds it, and the same texts set anew in layouts with menus, banners, notices, adverts, forms, comments, sidebars and footers under many
 names, whose labels are known by construction. Everything is extracted by the one model that this gives.
 
 Defined results: null and empty html gives an empty text; scripts, styles, templates, comments and the head
-give no blocks; character references are decoded and white space within a block (line breaks too) is one space;
+give no blocks, all other text does (formulas and pictures' text in line, fallback text of embedded objects as blocks of its
+own); character references are decoded and white space within a block (line breaks too) is one space;
 broken markup is read as browsers do as far as the standard parser goes; nothing is cut, whatever its length;
 null ids and repeated pages pass through; other columns are ignored unless named in `keep`; with no pages to learn from, the
 layouts alone are learnt from fixed words.
@@ -30,19 +31,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelcast.llm.common import map_texts, smallest_hashes
 
-MAX_PAGES = 300
+MAX_PAGES, MAX_CHARS = 300, 200_000
 PATH_SLOTS, WORD_SLOTS, NUMBERS = 512, 64, 5
 INPUTS = PATH_SLOTS + WORD_SLOTS + NUMBERS
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 12, 32, 0.01, 7
-CELLS = 20_000  # blocks, with padding, that are labelled at a time
+CELLS, STRIDE = 20_000, 1024  # blocks, with padding, that are labelled at a time; blocks whose inputs exist at a time
 
 # Fixed by the HTML standard.
 BLOCK_TAGS = set("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select
 summary table tbody td textarea tfoot th thead tr ul""".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = set("script style template noscript head title iframe object svg math canvas audio video".split())
-CLOSES_P = BLOCK_TAGS - set("body html li dd dt td th tr tbody thead tfoot option optgroup button legend caption summary".split())
+SILENT_TAGS = set("script style template head title".split())
+FALLBACK_TAGS = set("noscript iframe object canvas audio video".split())  # their text is a block of its own, to be labelled like any other
+BLOCK_TAGS |= FALLBACK_TAGS
+CLOSES_P = BLOCK_TAGS - FALLBACK_TAGS - set("body html li dd dt td th tr tbody thead tfoot option optgroup button legend caption summary".split())
+# Within <article> or <main>, what these hold is not main text.
+NESTED = set("<aside <form <nav <footer <menu <noscript .ad .ads .advert .advertisement .sponsored .comment .comments .cookie .newsletter .related".split())
 NAME = re.compile(r"[A-Za-z][a-z]*|\d+")
 
 
@@ -138,12 +143,12 @@ def slot(word: str, slots: int) -> int:
     return zlib.crc32(word.encode()) % slots
 
 
-def inputs(blocks: list[Block]) -> np.ndarray:
-    """One row per block: hashed path, share of hashed words, and numbers."""
-    x = np.zeros((len(blocks), INPUTS), np.float32)
-    n = len(blocks)
-    for i, b in enumerate(blocks):
-        row = x[i]
+def inputs(blocks: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+    """One row per block from start to end: hashed path, share of hashed words, and numbers."""
+    n, end = len(blocks), len(blocks) if end is None else min(end, len(blocks))
+    x = np.zeros((end - start, INPUTS), np.float32)
+    for i in range(start, end):
+        b, row = blocks[i], x[i - start]
         for p in b.path:
             row[slot(p, PATH_SLOTS)] = 1
         words = b.text.lower().split()
@@ -170,11 +175,11 @@ class Labeller:
         self.p["v"] = rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
-    def direction(self, x, mask, d, trace=None):
-        steps, size, _ = x.shape
+    def direction(self, driven, mask, d, trace=None):
+        """driven: what the inputs contribute to the gates."""
+        steps, size, _ = driven.shape
         h = np.zeros((size, HIDDEN), np.float32)
         c, out = h, np.empty((steps, size, HIDDEN), np.float32)
-        driven = x @ self.p[f"w{d}"] + self.p[f"b{d}"]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = driven[t] + h @ self.p[f"u{d}"]
             gates, g = sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
@@ -187,8 +192,14 @@ class Labeller:
             out[t] = h
         return out
 
+    def driven(self, x, d):
+        return x @ self.p[f"w{d}"] + self.p[f"b{d}"]
+
     def logits(self, x, mask, traces=None):
-        states = [self.direction(x, mask, d, None if traces is None else traces.setdefault(d, [])) for d in "fb"]
+        return self.read_out({d: self.driven(x, d) for d in "fb"}, mask, traces)
+
+    def read_out(self, driven, mask, traces=None):
+        states = [self.direction(driven[d], mask, d, None if traces is None else traces.setdefault(d, [])) for d in "fb"]
         both = np.concatenate(states, axis=2)
         return both @ self.p["v"] + self.p["c"], both
 
@@ -232,17 +243,27 @@ class Labeller:
                     scale = RATE * (0.8**epoch)
                     self.p[k] = (self.p[k] - scale * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block is main text; pages are labelled in groups of like length."""
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Whether each block is main text; pages are labelled in groups of like length.
+
+        Inputs are wide, so they are made a slice of STRIDE blocks at a time and only their gates are kept.
+        """
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order, start = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if len(pages[i])], 0
         while start < len(order):
             end = start + 1
             while end < len(order) and (end + 1 - start) * len(pages[order[end]]) <= CELLS:
                 end += 1
-            group = [(pages[i], np.zeros(len(pages[i]), np.float32)) for i in order[start:end]]
-            x, mask, _ = padded(group)
-            logits, _ = self.logits(x, mask)
+            steps = len(pages[order[end - 1]])
+            driven = {d: np.zeros((steps, end - start, 4 * HIDDEN), np.float32) for d in "fb"}
+            mask = np.zeros((steps, end - start), np.float32)
+            for column, i in enumerate(order[start:end]):
+                mask[: len(pages[i]), column] = 1
+                for low in range(0, len(pages[i]), STRIDE):
+                    x = inputs(pages[i], low, low + STRIDE)
+                    for d in "fb":
+                        driven[d][low : low + len(x), column] = self.driven(x, d)
+            logits, _ = self.read_out(driven, mask)
             for column, i in enumerate(order[start:end]):
                 out[i] = logits[: len(pages[i]), column] > 0
             start = end
@@ -320,10 +341,14 @@ def layouts(texts: list[list[str]], rng: np.random.Generator, count: int) -> lis
 
 
 def train_labeller(pages: DataFrame, html: str = "html", id: str = "page_id", max_pages: int = MAX_PAGES) -> Labeller:
-    filled = pages.select(F.col(f"`{html}`").alias("h"), F.col(f"`{id}`").alias("k")).filter("length(h) > 0")
-    sample = sorted(smallest_hashes(filled, "k", max_pages).collect(), key=lambda r: (r["__hash"], r.h))
+    filled = pages.select(F.col(f"`{html}`").alias("h"), F.col(f"`{id}`").alias("k")).filter(f"length(h) BETWEEN 1 AND {MAX_CHARS}")
+    sample = sorted(smallest_hashes(filled, ["k", "h"], max_pages).collect(), key=lambda r: (r["__hash"], r.h))
     read = [read_blocks(r.h) for r in sample]
-    main = lambda b: ("<article" in b.path or "<main" in b.path)
+
+    def main(b: Block) -> bool:
+        inside = next((i for i, p in enumerate(b.path) if p in ("<article", "<main")), None)
+        return inside is not None and not NESTED & set(b.path[inside:])
+
     real = [(blocks, np.array([main(b) for b in blocks], np.float32)) for blocks in read if any(map(main, blocks))]
     texts = [[b.text for b in blocks if main(b)] for blocks, _ in real]
     rng = np.random.default_rng(SEED)
@@ -338,7 +363,7 @@ def extract(pages: DataFrame, model: Labeller, html: str = "html", keep: list[st
 
     def work(texts: list[bytes]) -> list[list]:
         read = [read_blocks(t.decode()) for t in texts]
-        labels = model.label([inputs(blocks) for blocks in read])
+        labels = model.label(read)
         chosen = [[b.text for b, y in zip(blocks, ys) if y] for blocks, ys in zip(read, labels)]
         return [["\n\n".join(c) for c in chosen], [len(b) for b in read], [len(c) for c in chosen]]
 

@@ -79,7 +79,9 @@ def mix_sources(
     """The mixed corpus in its shuffled order: all columns of docs, then copy (from 1), copies, rate, shuffle_key."""
     columns = [c for c in docs.columns if c not in ADDED]
     rates = with_inversion(source_rates(docs, weights, epochs, by, text)).select(F.col("source").alias("__source"), "rate", "draws", "cdf")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{by}`").alias("__by"), F.col(f"`{id}`").alias("__id"))
+    # Drawn by id and text, so that rows without an id, or with one id in common, draw and go their own ways.
+    drawn_by = F.concat_ws(":", F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("-")), F.sha2(whole(f"`{text}`"), 256))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{by}`").alias("__by"), drawn_by.alias("__id"))
     if rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         drawn = rows.join(F.broadcast(rates), F.col("__by").eqNullSafe(F.col("__source")))
     else:  # a hot source is spread over the salts

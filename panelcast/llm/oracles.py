@@ -49,16 +49,16 @@ cdf AS (
   UNION ALL
   SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < 119),
 uniform AS (
-  SELECT doc_id, d.source, unnest(range(1, draws + 1)) AS j FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source),
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '-') || ':' || sha256(coalesce(text, '')) AS k, d.source, unnest(range(1, draws + 1)) AS j FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source),
 drawn AS (
   SELECT u.doc_id, sum((SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source
-    AND cdf.c <= ('0x' || substr(sha256('17:' || u.doc_id || ':' || u.j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))::INT AS copies
+    AND cdf.c <= ('0x' || substr(sha256('17:' || u.k || ':' || u.j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))::INT AS copies
   FROM uniform u GROUP BY u.doc_id),
 spread AS (
   SELECT d.*, copies, rate, unnest(range(1, copies + 1))::INT AS copy
   FROM documents d JOIN drawn USING (doc_id) JOIN means m ON d.source IS NOT DISTINCT FROM m.source)
 SELECT doc_id, text, lang, source, n_chars, copy, copies, rate,
-       ('0x' || substr(sha256('17:place:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key
+       ('0x' || substr(sha256('17:place:' || coalesce(doc_id::VARCHAR, '-') || ':' || sha256(coalesce(text, '')) || ':' || copy), 1, 15))::BIGINT AS shuffle_key
 FROM spread
 """
 
@@ -88,6 +88,10 @@ SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.turn) AS tu
          || ',"id":"' || coalesce(c.call_id, a.call_id) || '","name":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '"reply"' END
          || ',"result":' || coalesce(to_json(a.text), 'null') || '}' AS json
 FROM calls c LEFT JOIN lev l USING (conv_id, turn) FULL JOIN answers a ON a.call_id = c.call_id
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, NULL, NULL, 0, 'other_turn', '',
+       '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 ORACLES["op9_near_dedup"] = r"""

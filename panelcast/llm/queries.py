@@ -77,8 +77,7 @@ def op8_mixing(spark, sf):
 
 @query
 def op10_tool_calls(spark, sf):
-    calls, results = tool_calls.turns_as_calls(table(spark, sf, "conversations"))
-    linked = tool_calls.link_tool_calls(calls, results, tool_calls.REPLY)
+    linked = tool_calls.linked_turns(table(spark, sf, "conversations"))
     return linked.withColumn("errors", F.array_join("errors", ","))
 
 
@@ -89,7 +88,7 @@ def op9_near_dedup(spark, sf):
 
 @query
 def op2_quality_gam(spark, sf):
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     model = gam.fit_on(docs, labels.filter(~held_out))
     return gam.score(docs, model).select(

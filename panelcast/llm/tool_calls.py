@@ -13,6 +13,10 @@ the smallest turn (then content) is linked and `n_results` counts all. Status is
 `no_id` (null conversation or call id). A call after an unknown call, or after itself, starts a chain with
 error `unknown_after`; calls on a cycle have a null level and error `cycle`. Null or malformed arguments
 fail with `not_an_object`. Extra columns are ignored; empty tables give an empty result.
+
+Conversations (`linked_turns`): user turns are calls, assistant turns results; turns of any other role, or of none, are no
+part of a call and get one row each with status `other_turn`, their content and role in the JSON. Null and empty
+texts are kept as such; a null turn or conversation gets `no_id`, unless its role is another one.
 """
 
 from __future__ import annotations
@@ -147,9 +151,19 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 REPLY: Schemas = {"reply": [Arg("after", "string", required=False, least=1), Arg("prompt", "string", least=1), Arg("turn", "integer", least=0)]}
 
 
+def linked_turns(conversations: DataFrame) -> DataFrame:
+    """Every turn of every conversation: calls linked with results, and the turns that are neither."""
+    calls, results = turns_as_calls(conversations)
+    other = conversations.filter("role IS NULL OR role NOT IN ('user', 'assistant')").select(
+        "conv_id", "turn", F.lit("other_turn").alias("status"), F.lit(0).cast("long").alias("n_results"),
+        F.array().cast("array<string>").alias("errors"),
+        F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"}).alias("json"))
+    return link_tool_calls(calls, results, REPLY).unionByName(other, allowMissingColumns=True)
+
+
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as calls of a tool `reply`: each user turn is a call, the assistant turn after it the
-    result; a user turn two turns on builds on that result."""
+    result; a user turn two turns on builds on that result. Other turns are not among them."""
     named = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     turn = F.col("turn")
     after = F.when(turn >= 2, named(turn - 2))

@@ -353,9 +353,9 @@ def fit_on(
     sample = F.broadcast(smallest_hashes(marked.distinct(), "__id", max_rows).drop("__hash"))  # at most max_rows ids and labels
     rows = docs.select(F.col(f"`{id}`").alias("__id"), whole(f"`{text}`").alias("__t")).join(sample, "__id")
     # Equal texts with equal labels are learnt from once, whatever their ids.
-    rows = rows.groupBy(F.sha2("__t", 256).alias("__h"), "__y").agg(F.first("__t").alias("__t")).select("__t", "__y").persist()
+    rows = rows.groupBy(F.sha2("__t", 256).alias("__h"), "__y").agg(F.first("__t").alias("__t")).persist()
     try:
-        return _fit(rows, max_patterns)
+        return _fit(smallest_hashes(rows, ["__h", "__y"], max_rows).select("__t", "__y"), max_patterns)  # an id may stand for many texts
     finally:
         rows.unpersist()
 

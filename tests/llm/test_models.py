@@ -64,6 +64,11 @@ def test_the_sample_is_bounded(labelled, monkeypatch):
     gam.fit_on(docs, labels, max_rows=40)
     gam.fit_on(docs, labels)
     assert seen == [40, 600]
+    again = docs.filter("doc_id = 3").unionByName(docs.filter("doc_id = 3"))
+    for _ in range(6):
+        again = again.unionByName(again)
+    gam.fit_on(docs.unionByName(again), labels, max_rows=100)
+    assert seen[-1] <= 100
 
 
 # --- block labeller --------------------------------------------------------------------------
@@ -78,6 +83,8 @@ def test_blocks_of_broken_and_quoted_markup():
     assert texts_of('<head><title>t</title></head><script>var a="<p>x</p>";</script><style>p{}</style><!-- <p>y</p> --><div>z<ul><li>1<li>2</ul>w') == ["z", "1", "2", "w"]
     assert texts_of("a < b and c > d") == ["a < b and c > d"]
     assert texts_of("") == [] and texts_of("<<<>>><p") is not None
+    assert texts_of("<main><p>Energy is <math><mi>E</mi></math> <svg><text>s</text></svg> here.<noscript>turn it on</noscript>more") == ["Energy is E s here.", "turn it on", "more"]
+    assert texts_of("<p>a<object>b</object>c<video>d</video><iframe>e</iframe><audio>f</audio><canvas>g</canvas>") == list("abcdefg")
     assert texts_of("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
 
 
@@ -130,10 +137,37 @@ def test_extraction_keeps_the_article_only(pages):
     assert right >= 78
     long_page = "<main><h1>t</h1>" + "".join(f"<p>{prose(i, 20)}</p>" for i in range(3000)) + "</main><footer>f</footer>"
     blocks = html_extract.read_blocks(long_page)
-    kept = model.label([html_extract.inputs(blocks)])[0]
+    kept = model.label([blocks])[0]
     assert len(blocks) == 3002 and kept[:-1].mean() > 0.95
 
 
+def test_slices_of_inputs_do_not_change_labels_and_memory_stays_low(pages, monkeypatch):
+    import tracemalloc
+
+    model = html_extract.train_labeller(pages)
+    several = [html_extract.read_blocks(r.html or "") for r in pages.limit(30).collect()]
+    whole = model.label(several)
+    monkeypatch.setattr(html_extract, "STRIDE", 3)
+    assert all((a == b).all() for a, b in zip(whole, model.label(several)))
+    monkeypatch.undo()
+    many = html_extract.read_blocks("<p>w" * 60_000)
+    tracemalloc.start()
+    assert len(model.label([many])[0]) == 60_000
+    assert tracemalloc.get_traced_memory()[1] < 90e6
+    tracemalloc.stop()
+
+
+def test_null_ids_do_not_fill_the_sample_and_nested_blocks_are_not_taught(spark, monkeypatch):
+    rows = [(None, f"<main><p>{prose(i, 8)}</p><aside><p>side</p></aside><div class=comments><p>talk</p></div></main>") for i in range(300)]
+    rows += [(i, f"<main><p>known {i}</p></main>") for i in range(300)] + [(1, "<main>" + "<p>w" * 100_000)]
+    seen = []
+    monkeypatch.setattr(html_extract.Labeller, "train", lambda self, lessons, rng: seen.extend(lessons))
+    monkeypatch.setattr(html_extract, "layouts", lambda texts, rng, n: seen.append(texts) or [])
+    html_extract.train_labeller(spark.createDataFrame(rows, "page_id long, html string"))
+    texts = [t for page in seen[0] for t in page]
+    assert len(seen[0]) == 300 and sum(t.startswith("known") for t in texts) > 100 and not {"side", "talk", "w"} & set(texts)
+
+
 def test_no_pages(pages):
     model = html_extract.train_labeller(pages.limit(0))
     assert html_extract.extract(pages.limit(0), model).count() == 0

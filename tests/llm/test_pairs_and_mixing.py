@@ -210,3 +210,23 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     rows = [(1, f"c{i}", f"c{i - 1}" if i else None) for i in order]
     got = {r.call_id: r.level for r in tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after string")).collect()}
     assert got == {f"c{i}": i for i in range(300)} and len(made) <= 11
+
+
+def test_every_turn_has_a_row(spark):
+    long_text = prose(9, 20_000)
+    turns = [(1, 0, "system", "be kind", 1), (1, 1, "user", "hi", 1), (1, 2, "assistant", "yes", 1), (1, 3, None, None, 1), (1, 4, "tool", "", 1),
+             (2, 0, "user", None, 1), (2, None, "user", "lost", 1), (None, 1, "assistant", "lost too", 1), (3, 0, "user", long_text, 1), (3, 1, "assistant", "", 1)]
+    made = tool_calls.linked_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, status int").repartition(3))
+    got = {(r.conv_id, r.turn): r for r in made.collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        (1, 0): "other_turn", (1, 1): "linked", (1, 3): "other_turn", (1, 4): "other_turn", (2, 0): "no_result", (2, None): "no_id", (None, 1): "no_id", (3, 0): "linked"}
+    assert got[(1, 0)].json == '{"content":"be kind","role":"system"}' and got[(1, 3)].json == '{"content":null,"role":null}'
+    assert long_text in got[(3, 0)].json and got[(2, 0)].errors == ["missing:prompt"]
+    assert tool_calls.linked_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_rows_without_an_id_are_drawn_and_placed_apart(spark):
+    rows = [(None, f"text {i}", "a") for i in range(1000)] + [(7, f"text {i}", "a") for i in range(1000)] + [(i, "same", "b") for i in range(1000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for group in ([r for r in got if r.doc_id is None], [r for r in got if r.doc_id == 7], [r for r in got if r.source == "b"]):
+        assert len({r.shuffle_key for r in group}) == len(group) and len({r.copies for r in group}) > 2
