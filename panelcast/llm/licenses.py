@@ -32,37 +32,70 @@ BASE: list[tuple[str, str]] = [
     ("cc-by-nc", "cc by nc"),
 ]
 
-# Public license wordings with their variable regions marked.
+# Public license wordings with their variable regions marked, whole texts to their end: a text with other mandatory wording
+# anywhere in it (a further condition, a field of use left out) is not that license. Notices that only name a
+# license follow. Fixed values.
+MIT = """permission is hereby granted free of charge to any person obtaining a copy of this {{object=software|work}} and associated documentation
+files the {{object=software|materials|work}} to deal in the {{object=software|materials|work}} without restriction including without limitation
+the rights to use copy modify merge publish distribute sublicense and or sell copies of the {{object=software|materials|work}} and to permit
+persons to whom the {{object=software|materials|work}} is furnished to do so subject to the following conditions the above copyright notice
+and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the
+{{object=software|materials|work}} the {{object=software is|materials are|work is}} provided as is without warranty of any kind express or implied
+including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+{{who=the authors or copyright holders|the copyright holders|the authors|the x consortium}} be liable for any claim damages or other liability
+whether in an action of contract tort or otherwise arising from out of or in connection with the {{object=software|materials|work}} or the use
+or other dealings in the {{object=software|materials|work}}"""
+BSD_2 = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following
+disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
+disclaimer in the documentation and or other materials provided with the distribution"""
+BSD_NAMES = """[[3]] neither the name of {{organisation:1-15}} nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission"""
+BSD_END = """this software is provided by {{who=the copyright holders and contributors|the copyright holder and contributors|the regents and
+contributors|the author and contributors}} as is and any express or implied warranties including but not limited to the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{who=the copyright owner or
+contributors|the copyright holder or contributors|the copyright holders or contributors|the regents or contributors|the author or contributors}}
+be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of
+substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in
+contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if
+advised of the possibility of such damage"""
+ISC = """permission to use copy modify {{and=and or|and}} distribute this software for any purpose with or without fee is hereby granted
+provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and
+{{who=the author|the authors|isc}} {{disclaims=disclaims|disclaim}} all warranties with regard to this software including all implied warranties of
+merchantability and fitness in no event shall {{who=the author|the authors|isc}} be liable for any special direct indirect or consequential
+damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+tortious action arising out of or in connection with the use or performance of this software"""
+APACHE_NOTICE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+you may obtain a copy of the license at {{scheme=http|https}} www apache org licenses license 2 0 unless required by applicable law or
+agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any
+kind either express or implied see the license for the specific language governing permissions and limitations under the license"""
+UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile
+sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the
+warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim
+damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the
+use or other dealings in the software"""
 TEMPLATES: list[tuple[str, str]] = [
-    ("mit", "[[the]] mit license [[mit]] [[copyright [[c]] {{holder:0-20}}]] [[all rights reserved]] permission is hereby granted "
-            "free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
-            "in the software without restriction"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files the {{object=software|materials|work}} to deal in the {{object=software|materials|work}} without restriction"),
+    ("mit", f"[[the]] mit license [[mit]] [[copyright [[c]] {{{{holder:0-20}}}}]] [[all rights reserved]] {MIT}"),
+    ("mit", MIT),
+    ("apache-2", APACHE_NOTICE),
+    ("bsd-3-clause", f"{BSD_2} {BSD_NAMES} {BSD_END}"),
+    ("bsd-2-clause", f"{BSD_2} {BSD_END}"),
+    ("isc", ISC),
+    ("unlicense", UNLICENSE),
     ("mit", "{{verb=released|licensed|distributed|available}} under the [[terms of the]] [[expat]] mit license"),
     ("mit", "spdx license identifier mit"),
     ("apache-2", "licensed under the [[terms of the]] apache license [[version]] 2 [[0]]"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache-2", "apache 2 0 license"),
     ("apache-2", "spdx license identifier apache 2 0"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-                     "following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of "
-                     "conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice "
-                     "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
-                     "distribution [[3]] neither the name of {{organisation:1-15}} nor the names of its contributors may be used"),
-    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-                     "following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of "
-                     "conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice "
-                     "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
-                     "distribution this software is provided by"),
     ("bsd", "under [[the terms of]] {{article=a|the}} [[modified|revised|simplified]] [[{{n=2|3}} clause]] bsd [[style]] license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
-            "provided that the above copyright notice and this permission notice appear in all copies"),
     ("gpl-3", "gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
     ("gpl-2", "gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
     ("lgpl", "gnu {{kind=lesser|library}} general public license"),
     ("mpl-2", "mozilla public license [[v]] [[version]] {{version=2 0|2}}"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc0", "cc0 {{version=1 0}}"),
     ("cc-by", "cc by {{version=1 0|2 0|2 5|3 0|4 0}}"),
     ("cc-by-sa", "cc by sa {{version=1 0|2 0|2 5|3 0|4 0}}"),

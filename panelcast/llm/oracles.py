@@ -169,3 +169,11 @@ FROM v JOIN c USING (rn), h"""
 
 
 ORACLES["op11_vector_codes"] = _code_rounds(2)
+
+_LEDGER = ORACLES["op6_quality_rules"].replace("SELECT t.doc_id,", "SELECT t.doc_id, t.source,").replace(
+    "SELECT doc_id, coalesce(text, '') AS text,", "SELECT doc_id, source, coalesce(text, '') AS text,")
+ORACLES["rule_ablation"] = _LEDGER[: _LEDGER.rindex("SELECT doc_id, n_words")] + """
+SELECT source, rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS failed, count(*) FILTER (WHERE fail_bits & 111 = bit) AS only,
+       count(*) FILTER (WHERE fail_bits & 111 <> 0) AS rejected, count(*) AS total
+FROM b, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbol_density', 4), ('word_length', 8), ('exclamations', 32), ('capitals', 64)) r(rule, bit) GROUP BY source, rule
+"""

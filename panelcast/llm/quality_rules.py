@@ -115,6 +115,11 @@ def rule_ledger(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     return _ledger(docs, text, [id])
 
 
+def keyed_ledger(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The ledger with some columns of docs in place of the id."""
+    return _ledger(docs, text, keep)
+
+
 def accepted(policy: str = CURRENT, bits: str | Column = "fail_bits") -> Column:
     return (F.col(bits) if isinstance(bits, str) else bits).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
 

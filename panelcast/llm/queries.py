@@ -32,6 +32,14 @@ def op6_quality_rules(spark, sf):
     )
 
 
+@query
+def rule_ablation(spark, sf):
+    """What each rule of the current policy rejects, and rejects alone, by source."""
+    docs = table(spark, sf, "documents")
+    ledger = quality_rules.keyed_ledger(docs, ["source"])
+    return quality_rules.ablation(ledger, by=["source"])
+
+
 @query
 def op5_bpe(spark, sf):
     coded = bpe.encode(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), decoded=True)

@@ -63,13 +63,67 @@ def test_automaton_agrees_with_regular_expressions():
         assert ours == brute_matches(text, wordings), text
 
 
-def test_mandatory_words_must_match_and_marked_regions_may_differ():
-    full = ("MIT License\n\nCopyright (c) {}\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this "
-            "software and associated documentation files (the \"Software\"), to deal in the Software without restriction")
+def written(template: str) -> list[tuple[str, bool]]:
+    """The shortest text of a template: words, and whether they are mandatory wording."""
+    while "[[" in template:
+        template = re.sub(r"\[\[(?:(?!\[\[|\]\]).)*\]\]", " ", template, flags=re.S)
+    out = []
+    for m in re.finditer(r"\{\{\w+:(\d+)-\d+\}\}|\{\{\w+=([^|}]*)[^}]*\}\}|\S+", template):
+        free = ["any"] * int(m[1]) if m[1] else (m[2] or "").split() if m[2] else None
+        out += [(w, False) for w in free] if free is not None else [(m[0], True)]
+    return out
+
+
+LONG = [(n, label, wording) for n, (label, wording) in enumerate(licenses.TEMPLATES) if len(wording.split()) > 60]
+
+
+@pytest.mark.parametrize("number, label, wording", LONG)
+def test_a_mandatory_word_changed_anywhere_is_another_text(number, label, wording):
+    automaton = licenses.Automaton([w for _, w in licenses.TEMPLATES])
+    words = written(wording)
+    found = lambda ws: {p.template for p in automaton.places([w.encode() for w in ws])}
+    plain = [w for w, _ in words]
+    assert number in found(["so", *plain, "end"])
+    for i, (w, mandatory) in enumerate(words):
+        if mandatory:
+            others = [[*plain[:i], "zebra", *plain[i + 1 :]], [*plain[:i], *plain[i + 1 :]]]
+            if i and words[i - 1][1]:  # not where a marked region may take up the new word
+                others.append([*plain[:i], "zebra", *plain[i:]])
+            for other in others:
+                assert number not in found(other), (i, w)
+
+
+def test_every_license_has_its_whole_text():
+    assert {label for _, label, _ in LONG} == {"mit", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense"}
+    three = [w for n, label, t in LONG if label == "bsd-3-clause" for w, _ in written(t)]
+    automaton = licenses.Automaton([t for _, _, t in LONG])
+    assert {LONG[p.template][1] for p in automaton.places([w.encode() for w in three])} == {"bsd-3-clause"}
+
+
+def test_marked_regions_may_differ():
+    text = "MIT License\n\nCopyright (c) {}\n\n" + licenses.re.sub(r"\s+", " ", " ".join(w for w, _ in written(licenses.MIT)))
     automaton = licenses.Automaton([licenses.TEMPLATES[0][1]])
     ends = lambda t: {p.end for p in automaton.places(licenses.words_of(t.encode()))}
-    assert ends(full.format("2020 Ann Author")) and ends(full.format("1999-2024 The Very Long Name of Some Foundation, Inc."))
-    assert not ends(full.format("2020").replace("hereby", "not"))
+    assert ends(text.format("2020 Ann Author")) and ends(text.format("1999-2024 The Very Long Name of Some Foundation, Inc."))
+    assert not ends(text.format("2020").replace("hereby", "not"))
+
+
+def test_base_columns_against_a_plain_search(make_docs):
+    rng = random.Random(12)
+    vocabulary = "under the mit license apache version 2 cc by nc Under MIT LICENSE Version é-mit mit9".split()
+    rows = [(i, " ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", "-", ". "]) for _ in range(rng.randrange(90))), "a") for i in range(150)]
+    found = by_id(licenses.license_summary(licenses.scan_licenses(make_docs(rows))))
+    phrases = [(label, tuple(p.split())) for label, p in licenses.BASE]
+    hits = 0
+    for i, text, _ in rows:
+        words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+        at = [(k, label) for k in range(len(words)) for label, p in phrases if tuple(words[k : k + len(p)]) == p]
+        hits += len(at)
+        r = found[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min(at)[0] if at else None, max(at)[0] if at else None)
+        assert r.base_labels == ",".join(sorted({label for _, label in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+    assert hits > 20
 
 
 def test_license_summary(make_docs, odd_rows):
