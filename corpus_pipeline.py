@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller writes it as Parquet and
 hands the reread table to the next one. All stages but the last return the columns of documents.
+
+Defined results: null and empty texts fail the first stage's rules; rows without an id are never near duplicates of others, and
+rows of one id stay or go together; a null n_chars stays null unless secrets are masked in the text; a null source is a source
+of its own; extra columns travel along; an empty table gives an empty result with the columns of the last stage.
 """
 
 from __future__ import annotations
