@@ -2,7 +2,7 @@
 
 Each word is a doubly linked list of symbols. A heap holds the possible merges by rank and place;
 an entry whose symbols have changed since it was pushed is stale and skipped. Words repeat, so the
-result for a word is kept in a bounded table per task. Without a decoder in the file, decoding is
+result for a word is kept in a table per task, bounded by CACHE_WORDS. Without a decoder in the file, decoding is
 the vocabulary strings of the ids joined by spaces, as the file's own library does.
 
 Defined results: null and empty texts have no ids and decode to an empty text; a null list of ids
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelcast.llm.common import map_texts
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -139,7 +139,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
         return [ids, [bpe.decode(x) for x in ids]] if decoded else [ids]
 
     fields = "ids array<int>" + (", decoded string" if decoded else "")
-    return map_texts(docs, text, keep or ["doc_id"], fields, work)
+    return map_texts(docs, text, keep or ["doc_id"], fields, work, done=lambda: loaded(path).known.clear())
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from typing import Callable
 
 import numpy as np
@@ -11,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+BATCH_SETTING, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -44,17 +49,32 @@ def smallest_hashes(rows: DataFrame, key: str | list[str], most: int) -> DataFra
     return hashed.orderBy("__hash").limit(most)
 
 
+def give_back() -> None:
+    """Return memory that is free in this process, Arrow's and the C library's, to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def map_texts(
     df: DataFrame, text: str, keep: list[str], fields: str,
     work: Callable[..., list[list]], chunk_bytes: int = 4_000_000, given: list[Column] | None = None,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Apply work to whole texts inside the tasks and append its columns to `keep`.
 
     work takes UTF-8 texts (null becomes empty), then one list of values per column of `given`, and
-    returns one list of values per field of the DDL string `fields`. Arrow batches are cut by bytes, so that memory does not follow the number
-    of long texts in a batch; a single text is never cut. The map has no state across rows: a lost
-    task is simply run again.
+    returns one list of values per field of the DDL string `fields`. Batches are cut by bytes, on their way
+    out of the JVM (where that setting was left alone) and again here, so that memory does not follow the
+    number of long texts in a batch; a single text is never cut. The map has no state across rows: a lost task
+    is simply run again. Workers outlive their tasks, so at the end of a task `done` may empty what work has
+    cached, and free memory is given back.
     """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, DEFAULT_BATCH) == DEFAULT_BATCH:  # a session's own choice stays
+        conf.set(BATCH_SETTING, BATCH_BYTES)
     extra = T.StructType.fromDDL(fields)
     source = df.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keep)], whole(text).cast("binary").alias("__text"),
                        *[c.alias(f"__g{i}") for i, c in enumerate(given or [])])
@@ -62,7 +82,7 @@ def map_texts(
     schema = T.StructType(kept + extra.fields)
     width = len(given or [])
 
-    def run(batches):
+    def parts(batches):
         types = [to_arrow_type(f.dataType) for f in extra.fields]
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column("__text")).to_numpy(zero_copy_only=False))
@@ -78,4 +98,12 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
                 start = end
 
+    def run(batches):
+        try:
+            yield from parts(batches)
+        finally:
+            if done:
+                done()
+            give_back()
+
     return source.mapInArrow(run, schema)

@@ -31,7 +31,6 @@ extra columns are ignored by `near_duplicates` and untouched by `deduplicated`,
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -47,6 +46,7 @@ SMALL = 16
 MOST_BITS = 1 << 27
 BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_COLUMNS, STRIP = 1024, 500_000, 1024, 256
 HEAVY = 50_000  # rows that share a key, from which on the key is broadcast: rows / HEAVY such keys at most
+CHUNK_BYTES = 1_000_000  # texts that are sketched at a time; their hashes take about ten times that
 PAIRS_A_TASK = 5_000  # pairs of one node, beyond which it is lent to several tasks
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +142,8 @@ def sketch_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
                 made[3].append(key.view(np.int64))
         return made
 
-    return map_texts(docs, text, [id], "n_shingles bigint, signature binary, registers binary, bands array<bigint>", work)
+    fields = "n_shingles bigint, signature binary, registers binary, bands array<bigint>"
+    return map_texts(docs, text, [id], fields, work, chunk_bytes=CHUNK_BYTES)
 
 
 def _paired(pairs: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
@@ -211,10 +212,11 @@ def _among(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
-    @F.pandas_udf("boolean")
-    def maybe(first: pd.Series, second: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def maybe(first: pa.Array, second: pa.Array) -> pa.Array:
         held = lambda p: (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
-        return pd.Series((held(first.to_numpy()) & held(second.to_numpy())).astype(bool))
+        a, b = (held(v.to_numpy(zero_copy_only=False)) for v in (first, second))
+        return pa.array((a & b).astype(bool))
 
     likely = rows.filter(F.col(column).isNotNull()).withColumns({"__first": hashed(column)[0], "__second": hashed(column)[1]})
     likely = likely.filter(maybe("__first", "__second")).drop("__first", "__second")
@@ -315,12 +317,12 @@ def _block_links(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     met = placed.select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("other"))
     met = met.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows):
         sides = [rows[rows["block"] == rows["i"].iloc[0]], rows[rows["block"] == rows["j"].iloc[0]]]
         sets = [list(side["set"]) for side in sides]
         nodes = np.concatenate([side["node"].to_numpy() for side in sides])
         found = block_links(*sets, np.concatenate([side["component"].to_numpy() for side in sides]), percent) if all(sets) else []
-        return pd.DataFrame({"a": nodes[[a for a, _ in found]], "b": nodes[[b for _, b in found]]})
+        return type(rows)({"a": nodes[[a for a, _ in found]], "b": nodes[[b for _, b in found]]})
 
     kind = large.schema["node"].dataType.simpleString()
     sets = known.withColumnRenamed("node", "__n")
