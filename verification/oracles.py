@@ -300,6 +300,20 @@ _cte("ewmg", ["ret", "longrun"], """SELECT r.ticker, t, x, CAST(a AS DOUBLE) AS
     SELECT g.ticker, r.t, r.x, a, b, v, n, v * (1 - a - b) + a * g.x + b * g.s FROM ewmg g JOIN ret r ON r.ticker = g.ticker AND r.t = g.t + 1""")
 _cte("fitg", ["ewmg"], """SELECT ticker, a, b, sum(ln(s) + x / s) AS loss, max(v) AS v,
     max(CASE WHEN t = n THEN v * (1 - a - b) + a * x + b * s END) AS nxt FROM ewmg GROUP BY ticker, a, b""")
+_cte("lret", ["bars"], """SELECT ticker, date, lp, r, row_number() OVER (PARTITION BY ticker ORDER BY date) AS t FROM (
+    SELECT ticker, date, ln("Close") AS lp, ln("Close") - lag(ln("Close")) OVER (PARTITION BY ticker ORDER BY date) AS r FROM bars) WHERE r IS NOT NULL""")
+_cte("ewmdrift", ["lret"], """SELECT ticker, date, lp, t, phi, beta, r AS e, beta * r AS b FROM lret, (VALUES (CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)),
+      (0.8, -0.1), (0.8, 0.05), (0.8, 0.15), (0.9, -0.05), (0.9, 0.05), (0.9, 0.15), (0.97, 0.02), (0.97, 0.05)) g(phi, beta) WHERE t = 1
+    UNION ALL
+    SELECT r.ticker, r.date, r.lp, r.t, phi, beta, r.r - phi * d.b, phi * d.b + beta * (r.r - phi * d.b) FROM ewmdrift d JOIN lret r ON r.ticker = d.ticker AND r.t = d.t + 1""")
+_cte("drifting", ["ewmdrift"], """SELECT ticker, date, lp, t, phi, beta, b, sum(e * e) OVER past AS loss, sqrt(sum(e * e) OVER last_year / 252) AS sigma FROM ewmdrift
+    WINDOW past AS (PARTITION BY ticker, phi, beta ORDER BY t), last_year AS (PARTITION BY ticker, phi, beta ORDER BY t ROWS 251 PRECEDING)""")
+_cte("drift", ["drifting"], """SELECT ticker, date, lp, t, phi, beta, b, CASE WHEN t >= 252 THEN sigma END AS sigma FROM (
+      SELECT *, max(CASE WHEN phi = 0 THEN loss END) OVER (PARTITION BY ticker, t) AS still FROM drifting)
+    WHERE phi = 0 OR loss * pow(t, CAST(2 AS DOUBLE) / t) < still
+    QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY phi = 0, loss, phi, beta) = 1""")
+_DRIFT_SQL = """list_sum(list_transform(range(1, CAST({h} AS BIGINT) + 1), lambda k: pow(phi, k))) * b AS m,
+    sigma * sqrt(list_sum(list_transform(range(0, CAST({h} AS BIGINT)), lambda j: pow(1 + beta * phi * (1 - pow(phi, j)) / (1 - phi), 2)))) AS s"""
 
 FEATURE_COLS = """"Open" "High" "Low" "Close" "Volume" "SMA_10" "SMA_50" "SMA_200" "MACD" "MACD_signal" "RSI_14" "MOM_5" "ROC_21"
  "Williams_R" "ATR_14" "BB_upper" "BB_lower" "BB_width" "OBV_norm" "Volume_SMA_20" "Volume_ratio" body_size upper_shadow lower_shadow
@@ -329,6 +343,9 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
             max(value) AS "High", min(value) AS "Low", last(value ORDER BY event_id) AS "Close", count(*) AS n FROM events GROUP BY 1, 2""",
         "symbol_normalise": "SELECT upper(replace(lower(p_brand) || '.' || p_size, '.', '-')) AS symbol, count(*) AS n FROM part GROUP BY 1",
         "bars_walk": _q(["bars"], f"""SELECT ticker, date, {_r(['"Open"', '"High"', '"Low"', '"Close"'])}, "Volume" FROM bars"""),
+        "bars_cache_upsert": _q(["raw"], """SELECT ticker, date, CASE WHEN fresh THEN 2 * "Open" ELSE "Open" END AS "Open", "High", "Low", "Close",
+            round("Volume", 8) AS "Volume" FROM (SELECT *, CAST(substr(ticker, 2, 7) AS INTEGER) % 3 = 0 AND date >= DATE '1995-07-01' AS fresh FROM raw)
+            WHERE fresh OR date < DATE '1996-01-01'"""),
         "bars_cache_scan": _q(["raw"], """SELECT ticker, count(*) AS n, max(date) AS last FROM raw WHERE "Close" IS NOT NULL GROUP BY ticker"""),
         "market_series": _q(["market"], f"SELECT date, {_r(['vix_close', 'sp500_ret_21d', 'sp500_ret_63d'], 6)} FROM market"),
         "constituents_meta": _q(["meta"], "SELECT * FROM meta"),
@@ -398,6 +415,12 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), (VALUES ('1m', CAST(21 AS DOUBLE)), ('3m', 63), ('6m', 126)) t(horizon, h)"""),
         "m_series_paths_anchors": _q(["scoredl", "vol"], f"""SELECT ticker, end_date, horizon, round(exp((lp - {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q10, CAST(0 AS DOUBLE) AS q50,
             round(exp((lp + {Z} * sigma * sqrt(h)) - lp) - 1, 6) AS q90 FROM scoredl s JOIN (SELECT ticker, date AS end_date, lp, sigma FROM vol) v USING (ticker, end_date)"""),
+        "m_series_trend": _q(["scoredl", "drift"], f"""SELECT fold, ticker, end_date, horizon, round(exp(m - {Z} * s) - 1, 6) AS q10,
+            round(exp(m) - 1 + 0 * s, 6) AS q50, round(exp(m + {Z} * s) - 1, 6) AS q90 FROM (
+              SELECT fold, a.ticker, end_date, horizon, {_DRIFT_SQL.format(h="h")} FROM scoredl a LEFT JOIN drift d ON a.ticker = d.ticker AND a.end_date = d.date)"""),
+        "m_series_trend_paths": _q(["drift"], f"""SELECT ticker, end_date, step, round(lp + m - {Z} * s, 6) AS q10, round(lp + m + 0 * s, 6) AS q50,
+            round(lp + m + {Z} * s, 6) AS q90 FROM (SELECT ticker, date AS end_date, lp, step, {_DRIFT_SQL.format(h="step")}
+              FROM (SELECT * FROM drift QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY t DESC) = 1), (SELECT CAST(unnest(range(1, 127)) AS INTEGER) AS step))"""),
         "m_log_prices": _q(["bars"], 'SELECT ticker, date, round(ln("Close"), 6) AS log_price FROM bars'),
         "m_realised_vol": _q(["ret"], "SELECT ticker, round(stddev_samp(r) * sqrt(CAST(21 AS DOUBLE)), 6) AS volatility FROM ret GROUP BY ticker"),
         "m_garch_vol": _q(["fitg"], """SELECT ticker, a AS alpha, b AS beta, round(sqrt(v * 21 + (nxt - v) * (1 - pow(a + b, 21)) / (1 - (a + b))), 6) AS volatility

@@ -21,6 +21,7 @@ from panelcast.operators.ensemble import align_predictions
 from panelcast.operators.features import compute_features, join_market
 from panelcast.operators.metrics import drift_reference, score_table
 from panelcast.operators.panel import latest_rows, month_end_anchors, sliding_windows
+from panelcast.operators.series_trend import SeriesTrend, drift_paths, drift_states
 from panelcast.operators.series_vol import (
     SeriesVol, garch_volatility, log_prices, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
 )
@@ -28,6 +29,7 @@ from panelcast.operators.trees import LeafQuantileForest
 from panelcast.plans.materialize import materialize, run_folder
 from panelcast.plans.training import anchor_rows
 from panelcast.schemas import FEATURES, MARKET_COLS
+from panelcast.sinks.bar_cache import BarCache
 from panelcast.sinks.documents import flat_metrics, metrics_document, model_card, write_one_document
 from panelcast.sinks.tables import write_bars, write_market, write_panel
 from panelcast.sources.bars import daily_bars, normalise_symbol, read_bars, tickers, tidy_bars
@@ -96,6 +98,17 @@ def bars_cache_scan(spark, sf):
     return tickers(cached).join(cached.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last")), "ticker")
 
 
+@query
+def bars_cache_upsert(spark, sf):
+    """A cache filled up to a day, then appended to and corrected for a third of the tickers, then reread."""
+    raw = ds.raw_bars(spark, sf)
+    cache = BarCache(spark, f"{run_folder(spark)}/cache-{uuid.uuid4().hex}", buckets=64)
+    cache.upsert(raw.where("date < '1996-01-01'"))
+    third = raw.where(F.substring("ticker", 2, 7).cast("int") % 3 == 0)
+    cache.upsert(third.where("date >= '1995-07-01'").withColumn("Open", F.col("Open") * 2))
+    return rounded(cache.read(), ["Volume"])
+
+
 @query
 def market_series(spark, sf):
     return rounded(ds.market(spark, sf), MARKET_COLS, 6)
@@ -350,6 +363,22 @@ def m_series_paths_anchors(spark, sf):
     return with_quantiles(paths_to_returns(paths, CFG), "q", "ticker", "end_date", "horizon")
 
 
+@query
+def m_series_trend(spark, sf):
+    """Quantiles with the series' own drift for every scored anchor."""
+    rows = anchor_rows(ds.panel(spark, sf), ds.folds(spark, sf), CFG)
+    scored = SeriesTrend(CFG).fit(ds.bars(spark, sf)).predict(rows)
+    return with_quantiles(scored, "series_trend", "fold", "ticker", "end_date", "horizon")
+
+
+@query
+def m_series_trend_paths(spark, sf):
+    """The newest row of each ticker, at every step up to the last horizon."""
+    newest = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    known = drift_states(ds.bars(spark, sf)).withColumn("rn", F.row_number().over(newest)).where("rn = 1")
+    return with_quantiles(drift_paths(known.withColumnRenamed("date", "end_date"), CFG.max_horizon, CFG), "path", "ticker", "end_date", "step")
+
+
 @query
 def m_log_prices(spark, sf):
     return rounded(log_prices(ds.bars(spark, sf)), ["log_price"], 6)
