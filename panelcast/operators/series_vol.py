@@ -96,15 +96,9 @@ def realised_volatility(returns: DataFrame, horizon: int) -> DataFrame:
     )
 
 
-def garch_volatility(returns: DataFrame, horizon: int, order: str = "date") -> DataFrame:
-    """(ticker, alpha, beta, volatility): h-step volatility of a GARCH(1,1) per ticker.
-
-    The long-run variance is the ticker's mean squared return, and (alpha, beta) is the grid
-    point of highest Gaussian likelihood. The conditional variance is linear in alpha given
-    a decayed sum of squared returns, so one recurrence per beta serves the whole grid and
-    the fit is window sums plus one aggregation. A ticker whose likelihood is undefined
-    falls back to the realised volatility.
-    """
+def squared_shocks(returns: DataFrame, betas: list[float], order: str = "date") -> DataFrame:
+    """Per return its square __x, the ticker's mean square __v, its number __t from 1, __last for the newest, and for each
+    beta i the decayed sum of squares with it (__d{i}) and before it (__l{i})."""
     whole, w = Window.partitionBy("ticker"), series(order=order)
     base = returns.where(F.col("r").isNotNull()).select("ticker", order, "r")
     squared = base.select(
@@ -114,9 +108,21 @@ def garch_volatility(returns: DataFrame, horizon: int, order: str = "date") -> D
         F.row_number().over(w).alias("__t"),
         (F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc(order))) == 1).alias("__last"),
     )
-    betas = sorted({b for _, b in GARCH_GRID})
     shocks = with_decay(in_blocks(squared, order=order), [Decay(f"__d{i}", "__x", b) for i, b in enumerate(betas)], order=order)
-    lagged = shocks.select("*", *[F.coalesce(F.lag(f"__d{i}").over(w), F.lit(0.0)).alias(f"__l{i}") for i in range(len(betas))])
+    return shocks.select("*", *[F.coalesce(F.lag(f"__d{i}").over(w), F.lit(0.0)).alias(f"__l{i}") for i in range(len(betas))])
+
+
+def garch_volatility(returns: DataFrame, horizon: int, order: str = "date") -> DataFrame:
+    """(ticker, alpha, beta, volatility): h-step volatility of a GARCH(1,1) per ticker.
+
+    The long-run variance is the ticker's mean squared return, and (alpha, beta) is the grid
+    point of highest Gaussian likelihood. The conditional variance is linear in alpha given
+    a decayed sum of squared returns, so one recurrence per beta serves the whole grid and
+    the fit is window sums plus one aggregation. A ticker whose likelihood is undefined
+    falls back to the realised volatility.
+    """
+    betas = sorted({b for _, b in GARCH_GRID})
+    lagged = squared_shocks(returns, betas, order)
 
     def variance(alpha: float, beta: float, decayed: Column, steps: Column) -> Column:
         # s[t] = omega + alpha x[t-1] + beta s[t-1], s[1] = v, omega = v (1 - alpha - beta)

@@ -107,7 +107,7 @@ def test_bars_of_other_tickers_are_an_error(spark, planted_panel, raw_bars):
 
 # Queries without SQL, and the tests that hold them against something else.
 WITHOUT_SQL = {
-    "m_leaf_forest": "tests/test_models.py", "m_boosted": "tests/test_models.py",
+    "m_leaf_forest": "tests/test_models.py", "m_boosted": "tests/test_models.py", "m_garch_fit": "tests/test_garch.py",
     "op1_licenses": "tests/llm/test_text_operators.py", "op2_quality_gam": "tests/llm/test_models.py",
     "op3_secrets": "tests/llm/test_text_operators.py", "op4_fingerprints": "tests/llm/test_fingerprints.py",
     "op5_bpe": "tests/llm/test_text_operators.py", "op7_html": "tests/llm/test_models.py",

@@ -300,6 +300,11 @@ _cte("ewmg", ["ret", "longrun"], """SELECT r.ticker, t, x, CAST(a AS DOUBLE) AS
     SELECT g.ticker, r.t, r.x, a, b, v, n, v * (1 - a - b) + a * g.x + b * g.s FROM ewmg g JOIN ret r ON r.ticker = g.ticker AND r.t = g.t + 1""")
 _cte("fitg", ["ewmg"], """SELECT ticker, a, b, sum(ln(s) + x / s) AS loss, max(v) AS v,
     max(CASE WHEN t = n THEN v * (1 - a - b) + a * x + b * s END) AS nxt FROM ewmg GROUP BY ticker, a, b""")
+_cte("ewmfit", ["ret", "longrun"], """SELECT r.ticker, t, x, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, v, v AS s
+    FROM ret r JOIN longrun USING (ticker), (SELECT unnest([0.03, 0.05, 0.10, 0.18]) AS a),
+      (SELECT unnest([0.70, 0.80, 0.85, 0.88, 0.91, 0.94, 0.965, 0.98]) AS b) WHERE t = 1 AND a + b <= 0.9995
+    UNION ALL
+    SELECT g.ticker, r.t, r.x, a, b, v, v * (1 - a - b) + a * g.x + b * g.s FROM ewmfit g JOIN ret r ON r.ticker = g.ticker AND r.t = g.t + 1""")
 _cte("lret", ["bars"], """SELECT ticker, date, lp, r, row_number() OVER (PARTITION BY ticker ORDER BY date) AS t FROM (
     SELECT ticker, date, ln("Close") AS lp, ln("Close") - lag(ln("Close")) OVER (PARTITION BY ticker ORDER BY date) AS r FROM bars) WHERE r IS NOT NULL""")
 _cte("ewmdrift", ["lret"], """SELECT ticker, date, lp, t, phi, beta, r AS e, beta * r AS b FROM lret, (VALUES (CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)),
@@ -425,6 +430,8 @@ def oracles(feature_groups: dict[str, list[str]]) -> dict[str, str]:
         "m_realised_vol": _q(["ret"], "SELECT ticker, round(stddev_samp(r) * sqrt(CAST(21 AS DOUBLE)), 6) AS volatility FROM ret GROUP BY ticker"),
         "m_garch_vol": _q(["fitg"], """SELECT ticker, a AS alpha, b AS beta, round(sqrt(v * 21 + (nxt - v) * (1 - pow(a + b, 21)) / (1 - (a + b))), 6) AS volatility
             FROM fitg QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY loss, a, b) = 1"""),
+        "m_garch_fit_invariants": _q(["ewmfit"], """SELECT ticker, true AS fitted, round(min(loss), 3) AS grid_loss, false AS below_grid, true AS stationary,
+            false AS no_volatility FROM (SELECT ticker, a, b, sum(ln(s) + x / s) AS loss FROM ewmfit WHERE v > 0 GROUP BY ticker, a, b) GROUP BY ticker"""),
         "ens_params": _q(["params"], f"SELECT horizon, {_r(['w', 'delta'], 6)} FROM params"),
         "ens_predictions": _q(["ens"], "SELECT fold, split, ticker, end_date, horizon, round(e10, 6) AS q10, round(e50, 6) AS q50, round(e90, 6) AS q90 FROM ens"),
         "ens_aligned": _q(["pair"], "SELECT horizon, count(*) AS n, round(avg(a90 - b90), 6) AS gap90 FROM pair GROUP BY horizon"),

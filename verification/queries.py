@@ -21,6 +21,7 @@ from panelcast.operators.ensemble import align_predictions
 from panelcast.operators.features import compute_features, join_market
 from panelcast.operators.metrics import drift_reference, score_table
 from panelcast.operators.panel import latest_rows, month_end_anchors, sliding_windows
+from panelcast.operators.garch import garch_fit
 from panelcast.operators.series_trend import SeriesTrend, drift_paths, drift_states
 from panelcast.operators.series_vol import (
     SeriesVol, garch_volatility, log_prices, paths_to_returns, quantile_paths, realised_volatility, trailing_volatility,
@@ -398,6 +399,26 @@ def m_garch_vol(spark, sf):
     return rounded(garch_volatility(_returns(spark, sf), 21), ["volatility"], 6)
 
 
+@ds.once
+def _garch(spark, sf):
+    return materialize(garch_fit(_returns(spark, sf), 21), "garch")
+
+
+@query
+def m_garch_fit(spark, sf):
+    return rounded(_garch(spark, sf), ["omega", "alpha", "beta", "loss", "grid_loss", "volatility"], 6)
+
+
+@query
+def m_garch_fit_invariants(spark, sf):
+    """A stationary point for every ticker that moves, no less likely than the grid's best; that best and its level are SQL's too."""
+    moved = F.col("alpha").isNotNull()
+    return _garch(spark, sf).select(
+        "ticker", moved.alias("fitted"), F.round("grid_loss", 3).alias("grid_loss"), (moved & (F.col("loss") > F.col("grid_loss"))).alias("below_grid"),
+        F.coalesce((F.col("omega") > 0) & (F.col("alpha") > 0) & (F.col("alpha") + F.col("beta") < 1), ~moved).alias("stationary"),
+        F.col("volatility").isNull().alias("no_volatility"))
+
+
 @query
 def m_leaf_forest(spark, sf):
     """Forest quantiles of every test anchor, all folds and horizons; pred (the median) and realized are the signal."""
