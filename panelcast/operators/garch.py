@@ -17,7 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.operators.series_vol import squared_shocks
-from panelcast.plans.materialize import materialize
+from panelcast.plans.dealing import dealt
+from panelcast.plans.materialize import broadcast_if_small, materialize
 
 # Where the search starts. `LEVELS` are long-run variances as shares of the mean square.
 BETAS = (0.70, 0.80, 0.85, 0.88, 0.91, 0.94, 0.965, 0.98)
@@ -63,17 +64,20 @@ def _start(rows: DataFrame, horizon: int) -> DataFrame:
 def garch_fit(returns: DataFrame, horizon: int, order: str = "date", rounds: int = ROUNDS) -> DataFrame:
     """(ticker, omega, alpha, beta, loss, grid_loss, volatility): the likeliest point found, its loss and that of the best
     grid point with the mean square as long-run variance, and the h-step volatility."""
-    rows = materialize(squared_shocks(returns, list(BETAS), order), "garch-shocks")
+    kept = materialize(returns.where(F.col("r").isNotNull()).select("ticker", order, "r"), "garch-returns")
+    # Sixteen decayed sums a row: they are computed for each of their two readers and not written.
+    rows = squared_shocks(dealt(kept), list(BETAS), order)
     points = materialize(_start(rows, horizon).withColumn("step", F.lit(FIRST_STEP)), "garch-points")
     # From here on each ticker keeps its beta, and of the decayed sums only the one of that beta.
     alpha, beta, level, step = (F.col(c) for c in ("best.alpha", "best.beta", "best.level", "step"))
     of_beta = lambda kind: F.coalesce(*[F.when(beta == b, F.col(f"__{kind}{i}")) for i, b in enumerate(BETAS)])
-    own = materialize(rows.join(points.where("best IS NOT NULL"), "ticker").select(
+    own = materialize(rows.join(broadcast_if_small(points.where("best IS NOT NULL")), "ticker").select(
         "ticker", "__t", "__x", "__v", "__last", of_beta("l").alias("__l"), of_beta("d").alias("__d"), F.pow(beta, F.col("__t") - 1).alias("__kept")), "garch-rows")
     around = [(alpha * F.exp(step * i), beta, level * F.exp(step * j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
     losses = [f"__loss{k}" for k in range(len(around))]
     for _ in range(rounds):
-        sums = own.join(points.select("ticker", "best", "step"), "ticker").groupBy("ticker").agg(*[_loss(*p).alias(n) for p, n in zip(around, losses)])
+        # One row for each ticker: sent to the rows, which stay where they are.
+        sums = own.join(broadcast_if_small(points.select("ticker", "best", "step")), "ticker").groupBy("ticker").agg(*[_loss(*p).alias(n) for p, n in zip(around, losses)])
         tried = points.join(sums, "ticker", "left").withColumn("found", _least(losses, around))
         better = F.coalesce(F.col("found.loss") < F.col("best.loss"), F.lit(False))
         points = materialize(tried.select(

@@ -69,3 +69,20 @@ def test_momentum_of_month_ends_is_the_panels(spark, tables):
     wanted = ds.panel(spark, tables).where("month_end").select("ticker", "end_date", "ROC_21", *ds.CFG.label_cols)
     kept = ds.labels(spark, tables).where("month_end").select(*wanted.columns)
     assert kept.count() > 0 and kept.exceptAll(wanted).isEmpty() and wanted.exceptAll(kept).isEmpty()
+
+
+def test_garch_writes_no_decayed_sums_and_does_not_depend_on_the_deal(spark, monkeypatch):
+    from panelcast.operators.garch import garch_fit
+
+    rows = spark.range(4 * 300).select(
+        (F.col("id") % 4).cast("string").alias("ticker"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 4).cast("int")).alias("date"),
+        (F.pmod(F.xxhash64("id"), F.lit(2001)) / 50000 - 0.02).alias("r"))
+    whole = garch_fit(rows, 21, rounds=2).orderBy("ticker").collect()
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 100)
+    before = set(os.listdir(run_folder(spark)))
+    apart = garch_fit(rows, 21, rounds=2).orderBy("ticker").collect()
+    for a, b in zip(whole, apart, strict=True):
+        assert a["ticker"] == b["ticker"] and a["alpha"] is not None
+        assert [a[c] for c in ("omega", "alpha", "beta", "loss", "volatility")] == pytest.approx([b[c] for c in ("omega", "alpha", "beta", "loss", "volatility")])
+    for made in set(os.listdir(run_folder(spark))) - before:
+        assert "__d7" not in spark.read.parquet(f"{run_folder(spark)}/{made}").columns, made
