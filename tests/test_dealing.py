@@ -86,3 +86,55 @@ def test_garch_writes_no_decayed_sums_and_does_not_depend_on_the_deal(spark, mon
         assert [a[c] for c in ("omega", "alpha", "beta", "loss", "volatility")] == pytest.approx([b[c] for c in ("omega", "alpha", "beta", "loss", "volatility")])
     for made in set(os.listdir(run_folder(spark))) - before:
         assert "__d7" not in spark.read.parquet(f"{run_folder(spark)}/{made}").columns, made
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bars_are_walked_before_they_are_stretched(spark, tables):
+    from panelcast.sources.bars import walk_bars
+
+    plan = plan_of(walk_bars(ds.ticks(spark, tables)))
+    above = plan[: plan.index("Generate explode")]
+    assert "Sort [" not in above and "Window [" not in above
+
+
+def test_a_walk_stands_at_100_before_its_first_tick_and_then_keeps_its_last_close(spark):
+    from datetime import date
+
+    from panelcast.sources.bars import walk_bars
+
+    ticks = spark.createDataFrame(
+        [("A", date(2024, 1, 1), 1.0, 1.0), ("A", date(2024, 1, 10), 3.0, 2.0), ("B", date(2024, 1, 4), 1.0, 7.0), ("B", date(2024, 1, 6), 2.0, 1.0)],
+        "ticker string, date date, price double, quantity double")
+    got = {(r.ticker, r.date.day): (r.Open, r.Close, r.Volume) for r in walk_bars(ticks).collect()}
+    assert len(got) == 16 and got["B", 1] == got["B", 3] == (100.0, 100.0, 0.0)
+    assert got["A", 1] == (99.005, 99.005, 1.0) and got["A", 9] == (99.005, 99.005, 0.0) and got["A", 10] == (99.005, 100.0, 2.0)
+    assert got["B", 4] == (100.0, 99.3356, 7.0) and got["B", 5] == (99.3356, 100.0, 1.0) and got["B", 10] == (100.0, 100.0, 0.0)
+
+
+@pytest.mark.parametrize("name", ["labels_forward", "view_lookup"])
+def test_who_asks_which_rows_are_complete_computes_no_long_frame(spark, tables, name):
+    rows = ds.complete_modelling(spark, tables).select("ticker", "date", "y_1m", "n_rows")
+    plan = plan_of(rows)
+    assert "max(High" not in plan and "stddev_samp" not in plan and plan.count("Sort [") == 1
+    QUERIES[name](spark, tables).count()
+
+
+def test_complete_rows_alone_make_the_same_modelling_table(spark, tables):
+    both = [m(spark, tables).where("complete") for m in (ds.modelling, ds.complete_modelling)]
+    columns = ["ticker", "date", *ds.CFG.label_cols, "label_end", "row", "n_rows", "month_end", "Close"]
+    a, b = (d.select(*columns) for d in both)
+    assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+
+
+def test_history_that_no_anchor_date_sees_is_left_out(spark):
+    from panelcast.plans.asof import asof_rows, reachable_rows
+
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    history = spark.range(40).select(F.lit("A").alias("ticker"), day(F.col("id").cast("int")).alias("date"), "id").where("id % 10 != 9")
+    anchors = spark.createDataFrame([("A", 9), ("B", 25), ("A", 12)], "ticker string, n int").select("ticker", day(F.col("n")).alias("end_date"))
+    assert sorted(r.id for r in reachable_rows(history, anchors, "ticker", "end_date", "date").collect()) == [8, 12, 25]
+    got = {(r.ticker, r.end_date.day): r.id for r in asof_rows(anchors, history, ["id"]).collect()}
+    assert got == {("A", 10): 8, ("A", 13): 12, ("B", 26): None}
