@@ -39,7 +39,7 @@ def drift_states(bars: DataFrame, rows: int = 252) -> DataFrame:
     sigma is the root mean square of the chosen candidate's last `rows` errors.
     """
     w = series()
-    moves = dealt(log_prices(bars)).withColumn("__r", F.col("log_price") - F.lag("log_price").over(w)).where("__r IS NOT NULL")
+    moves = log_prices(dealt(bars)).withColumn("__r", F.col("log_price") - F.lag("log_price").over(w)).where("__r IS NOT NULL")
     decays = [Decay(f"__b{i}", F.col("__r") * beta, phi * (1 - beta)) for i, (phi, beta) in enumerate(DRIFT_GRID)]
     drifts = with_decay(in_blocks(moves), decays)
     errors = {"__e": F.col("__r")}

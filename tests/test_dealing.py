@@ -138,3 +138,46 @@ def test_history_that_no_anchor_date_sees_is_left_out(spark):
     assert sorted(r.id for r in reachable_rows(history, anchors, "ticker", "end_date", "date").collect()) == [8, 12, 25]
     got = {(r.ticker, r.end_date.day): r.id for r in asof_rows(anchors, history, ["id"]).collect()}
     assert got == {("A", 10): 8, ("A", 13): 12, ("B", 26): None}
+
+
+def test_a_written_walk_stays_dealt_for_all_its_readers(spark, tables, monkeypatch):
+    from panelcast.operators.series_vol import trailing_volatility
+    from panelcast.operators.views import price_history
+    from panelcast.sources.bars import walk_bars
+
+    forget(tables)
+    small = {name: QUERIES[name](spark, tables).collect() for name in ("labels_forward", "view_lookup", "m_series_vol_asof")}
+    forget(tables)
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 700)
+    bars = ds.bars(spark, tables)
+    assert bars.dealt_over == ("ticker", 8) and dealt(bars) is bars
+    assert "Generate explode" in plan_of(bars)  # the dense rows are not written
+    plain = walk_bars(ds.ticks(spark, tables))
+    assert bars.count() == plain.count() > 5000 and bars.exceptAll(plain).isEmpty()
+    for read in (ds.complete_modelling(spark, tables).select("ticker", "date", "y_1m"), trailing_volatility(bars), price_history(bars)):
+        assert exchanges(read) == []
+    for name, rows in small.items():
+        assert sorted(map(str, QUERIES[name](spark, tables).collect())) == sorted(map(str, rows)) and rows
+    forget(tables)
+
+
+def test_null_tickers_survive_the_written_walk(spark, monkeypatch):
+    from panelcast.plans.dealing import write_dealt
+
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 1)
+    rows = dealt(spark.createDataFrame([(None, 1), (None, 2), ("A", 1)], "ticker string, date int"))
+    kept = write_dealt(rows, "kept")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect())) and kept.dealt_over == rows.dealt_over
+
+
+def test_forecasts_and_labels_share_one_pass(spark, tables):
+    forget(tables)
+    alone = ds.latest(spark, tables).collect()
+    forget(tables)
+    wanted = ds.panel(spark, tables).select("ticker", "end_date", *ds.CFG.label_cols, "label_end", "month_end")
+    labels = ds.labels(spark, tables).select(*wanted.columns)
+    shared = ds.latest(spark, tables)
+    assert alone and sorted(map(str, shared.collect())) == sorted(map(str, alone))
+    assert "Window [" not in plan_of(shared)  # read from the label table
+    assert labels.count() == wanted.count() > 0 and labels.exceptAll(wanted).isEmpty()
+    forget(tables)
