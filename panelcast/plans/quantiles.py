@@ -6,8 +6,19 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 100_000
-_MARGIN = 4.0 / ACCURACY
+BINS = 256  # bins to a factor of e: neighbours in a bin differ by 0.4 % at most
+_LOGS = (-746.0, 710.0)  # of all positive finite doubles
+_ZERO = int(-_LOGS[0]) * BINS
+_NAN = 4 * _ZERO
+
+
+def _bin(y: Column) -> Column:
+    """A whole number that never falls as y rises, over all doubles; logarithms are semi-monotonic by their specification."""
+
+    def size(v: Column) -> Column:
+        return F.floor(F.greatest(F.least(F.ln(v), F.lit(_LOGS[1])), F.lit(_LOGS[0])) * BINS) + _ZERO
+
+    return F.when(F.isnan(y), F.lit(_NAN)).when(y > 0, size(y)).when(y < 0, -size(-y)).otherwise(0).cast("int")
 
 
 def exact_quantiles(
@@ -22,61 +33,43 @@ def exact_quantiles(
     The group count must be small and configured (folds x horizons); group sizes may be
     anything. Two passes, each with map-side partial results and a small shuffle:
 
-    1. a mergeable sketch brackets every wanted order statistic;
-    2. rows under the bracket are only counted, rows inside it (about 8 in 100,000) are
-       grouped by value, and the wanted ranks are read off the cumulative counts.
+    1. rows are counted by bins on a logarithmic scale, which says in which bins the wanted order statistics lie;
+    2. rows of these bins (a few in 10,000 each, unless values repeat) are grouped by value, and the wanted ranks
+       are read off the cumulative counts.
 
-    A bracket that misses its rank raises instead of returning a wrong value. `adjust` turns
-    (n, level) into the level really used, for finite-sample corrections.
+    `adjust` turns (n, level) into the level really used, for finite-sample corrections.
     """
     target = adjust or (lambda n, level: F.lit(level))
-    cuts = sorted({min(max(p + d, 0.0), 1.0) for p in levels for d in (-_MARGIN, _MARGIN)})
-    sketch = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(value, cuts, ACCURACY).alias("cuts"),
-            F.min(value).alias("lowest"),
-            F.max(value).alias("highest"),
-        )
-    )
-
-    def bracket(level: float) -> Column:
-        lo_at, hi_at = max(level - _MARGIN, 0.0), min(level + _MARGIN, 1.0)
-        lo = F.col("lowest") if lo_at == 0.0 else F.col("cuts")[cuts.index(lo_at)]
-        hi = F.col("highest") if hi_at == 1.0 else F.col("cuts")[cuts.index(hi_at)]
-        rank = (F.col("n") - 1) * target(F.col("n"), level)
-        # Small groups: the adjusted level or the interpolation partner may leave the bracket.
-        small = F.col("n") * _MARGIN < 8
-        return F.struct(
-            F.lit(level).alias("level"),
-            rank.alias("rank"),
-            F.when(small, F.col("lowest")).otherwise(lo).alias("lo"),
-            F.when(small, F.col("highest")).otherwise(hi).alias("hi"),
-        )
-
-    wanted = sketch.select(*keys, "n", F.array(*[bracket(p) for p in levels]).alias("wanted"))
-    # One row per configured group: the broadcast does not grow with the data.
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value).join(F.broadcast(wanted), keys)
-    spread = rows.select(*keys, "n", value, F.explode("wanted").alias("q")).where(F.col(value) <= F.col("q.hi"))
-    at = F.when(F.col(value) >= F.col("q.lo"), F.col(value))
-    counts = spread.groupBy(*keys, "n", F.col("q.level").alias("level"), F.col("q.rank").alias("rank"), at.alias("v")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    upto = Window.partitionBy(*keys, "level").orderBy(F.col("v").asc_nulls_first())
-    placed = counts.withColumn("end", F.sum("c").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "start", F.col("end") - F.col("c")
-    )
+    binned = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), _bin(F.col(value).cast("double")).alias("bin"))
+    # At most some ten thousand bins for each configured group, whatever the number of rows.
+    bins = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*keys)
+    placed = bins.select(
+        *keys, "bin", F.sum("c").over(group).alias("n"),
+        F.sum("c").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("end"), "c")
+    ranks = F.array(*[F.struct(F.lit(p).alias("level"), ((F.col("n") - 1) * target(F.col("n"), p)).alias("rank")) for p in levels])
+
+    def holds(rank: Column, start: Column, end: Column) -> Column:
+        return (start <= rank) & (rank < end)
+
+    def wanted(start: Column, end: Column) -> Callable[[Column], Column]:
+        return lambda r: holds(F.floor(r["rank"]), start, end) | holds(F.ceil(r["rank"]), start, end)
+
+    start = F.col("end") - F.col("c")
+    asked = placed.select(*keys, "bin", "n", start.alias("before"), F.filter(ranks, wanted(start, F.col("end"))).alias("ranks")).where(F.size("ranks") > 0)
+    # Two bins at most for each group and level: the broadcast does not grow with the data.
+    values = binned.join(F.broadcast(asked.select(*keys, "bin")), [*keys, "bin"]).groupBy(*keys, "bin", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = values.select(*keys, "bin", "v", "c", F.sum("c").over(upto).alias("upto")).join(F.broadcast(asked), [*keys, "bin"])
+    end = F.col("before") + F.col("upto")
+    hits = counted.select(*keys, "n", "v", (end - F.col("c")).alias("start"), end.alias("end"), F.explode("ranks").alias("r")).select("*", "r.level", "r.rank")
 
     def pick(rank: Column) -> Column:
-        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("v")))
+        return F.max(F.when(holds(rank, F.col("start"), F.col("end")), F.col("v")))
 
-    found = placed.groupBy(*keys, "n", "level", "rank").agg(
-        pick(F.floor("rank")).alias("a"), pick(F.ceil("rank")).alias("b")
-    )
+    found = hits.groupBy(*keys, "n", "level", "rank").agg(pick(F.floor("rank")).alias("a"), pick(F.ceil("rank")).alias("b"))
     part = F.col("rank") - F.floor("rank")
     exact = F.when(
         F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("a") + (F.col("b") - F.col("a")) * part
-    ).otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+    ).otherwise(F.raise_error(F.lit("quantile bins missed a rank")).cast("double"))
     return found.select(*keys, "level", "n", exact.alias(value))

@@ -31,6 +31,27 @@ def test_quantiles_use_brackets_on_large_groups(spark):
         assert got[p] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+def test_quantiles_group_few_values_and_sketch_none(spark):
+    """Rows are counted by bin; only the bins of the wanted ranks are grouped by value, over all signs and magnitudes."""
+    df = spark.range(200_000, numPartitions=4).select(
+        (F.col("id") % 2).alias("k"), ((F.rand(3) - 0.4) * F.pow(F.lit(10.0), F.col("id") % 9 - 4)).alias("v"))
+    found = exact_quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.9, 1.0])
+    assert "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString()
+    values = df.toPandas().groupby("k").v
+    for r in found.collect():
+        assert r.n == 100_000 and r.v == pytest.approx(np.quantile(values.get_group(r.k), r.level), rel=1e-12)
+
+
+def test_bins_never_fall_as_values_rise(spark):
+    from panelcast.plans.quantiles import _bin
+
+    inf = float("inf")
+    values = [-inf, -1.7e308, -2.0, -1.001, -1.0, -1e-3, -1e-300, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1e-3, 1.0, 1.001, 2.0, 1.7e308, inf, float("nan")]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", _bin(F.col("v")).alias("b")).orderBy("i").collect()
+    bins = [r.b for r in rows]
+    assert bins == sorted(bins) and bins[values.index(-0.0)] == 0 and bins[10] > 0 > bins[7] and bins[-1] > bins[-2]
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One group and one value hold far more than a third of the rows."""
