@@ -154,3 +154,29 @@ def test_symbols_and_bar_cache(spark, to_bars, tmp_path):
 
 def test_rejects_need_no_universe(to_bars):
     assert [r.ticker for r in rejects(to_bars(make_ohlcv(40, ticker="TINY"))).collect()] == ["TINY"]
+
+
+def test_clean_is_gate_and_repair_with_one_window_less(spark):
+    """Spikes, missing and negative closes, incomplete rows and rows without ticker or date."""
+    import datetime as dt
+    import random
+
+    from panelcast.operators import quality
+    from panelcast.schemas import OHLCV
+
+    draw = random.Random(3)
+    rows = []
+    for ticker in ("A", "B", "C", None):
+        for i in range(260):
+            close = 100 * 1.01 ** (i % 40) * (5.0 if ticker == "B" and i in (50, 51, 200) else 1.0)
+            odd = draw.random()
+            close = None if odd < 0.02 else -close if odd < 0.04 else float("nan") if odd < 0.05 else close
+            day = None if i == 30 and ticker != "C" else dt.date(2020, 1, 1) + dt.timedelta(days=i)
+            rows.append((ticker, day, 1.0, None if odd > 0.97 else 200.0, 0.5, close, 10.0))
+    bars = spark.createDataFrame(rows, "ticker string, date date, Open double, High double, Low double, Close double, Volume double")
+    want = quality.repair(quality.gate(quality.without_nan(bars)).na.drop(subset=OHLCV))
+    got = quality.clean(bars)
+    assert got.columns == want.columns and got.count() == want.count() > 600
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().count("Window [") for df in (got, want)]
+    assert plans == [2, 3]

@@ -48,3 +48,12 @@ def test_decay_is_a_linear_recurrence(spark):
         y = 0.9 * y + v
         want.append(y)
     np.testing.assert_allclose(out.d, want, atol=1e-11)
+
+
+def test_long_frames_take_two_levels_and_share_their_counts(spark):
+    """Every level is a window over all rows, and every count a frame of its own."""
+    assert tile_factors(252) == [18, 14] and tile_factors(14) == [14] and tile_factors(200) == [20, 10]
+    df, _ = long_series(spark, 300)
+    two = [Rolling("s", "sum", "x", 14), Rolling("m", "max", "x", 14), Rolling("l", "min", "x", 252)]
+    plan = with_rolling(df, two, series())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("count(x") == 2
