@@ -372,3 +372,27 @@ def test_a_horizon_without_bands_keeps_its_weight(spark):
     preds = spark.createDataFrame(rows, f"horizon string, split string, y double, a {Q}, b {Q}")
     got = {r.horizon: r for r in fit_ensemble(preds, "a", "b").collect()}
     assert set(got) == {"1m", "3m"} and got["1m"].delta is not None and got["3m"].w is not None and got["3m"].delta is None
+
+
+def test_volatility_rolls_only_rows_that_anchors_see(spark):
+    """Sigma of every anchor is that of the whole history, from the frames before the anchors only."""
+    from panelcast.plans.asof import asof_rows
+
+    day = lambda n: F.date_add(F.lit("2020-01-01").cast("date"), F.col(n).cast("int"))
+    each = spark.range(4 * 400).select(F.col("id") % 4, (F.col("id") / 4).cast("int").alias("n")).toDF("k", "n")
+    close = F.exp(F.pmod(F.xxhash64("k", "n"), F.lit(1000)) / 1000)
+    bars = each.select(
+        F.when(F.col("k") < 3, F.concat(F.lit("T"), F.col("k").cast("string"))).alias("ticker"),
+        F.when(F.col("n") != 350, day("n")).alias("date"), F.when(F.col("n") % 37 != 5, close).alias("Close"))
+    asked = [("T0", 330), ("T0", 360), ("T1", 390), ("T1", 1), ("T2", 350), ("T9", 300), (None, 300)]
+    anchors = spark.createDataFrame(asked, "ticker string, n int").select("ticker", day("n").alias("end_date"), F.lit("1m").alias("horizon"))
+    want = {(r.ticker, r.end_date): r.sigma for r in asof_rows(anchors, trailing_volatility(bars, 20), ["sigma"]).collect()}
+    few = trailing_volatility(bars, 20, anchors)
+    got = {(r.ticker, r.end_date): r.sigma for r in asof_rows(anchors, few, ["sigma"]).collect()}
+    assert got.keys() == want.keys() and sum(v is not None for v in got.values()) == 4
+    for k, v in want.items():
+        assert got[k] == v or got[k] == pytest.approx(v, rel=1e-12)
+    newest = anchors.where("ticker = 'T2'")
+    assert trailing_volatility(bars, 20, newest).count() <= 21 < trailing_volatility(bars, 20).count()
+    bands = {(r.ticker, r.end_date): r.series_vol for r in SeriesVol(rows=20).fit(bars).predict(anchors).collect()}
+    assert len(bands) == len(asked) and all((bands[k][0] is None) == (v is None) for k, v in want.items() if k[0])
