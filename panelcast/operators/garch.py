@@ -1,24 +1,25 @@
 """GARCH(1,1) by likelihood for all tickers at once, with the constant term free.
 
 s[t] = omega + alpha x[t-1] + beta s[t-1], from the ticker's mean square. Given beta this is linear in omega and alpha over
-one decayed sum, so a trial point costs a few operations a row and any number of points share an aggregation. The first
-aggregation tries a grid, which holds that of `garch_volatility`. From its best point each ticker then searches on its own:
-every round is one aggregation over the eight points around it, and its steps halve once no neighbour is better. A point is replaced by a
-likelier one only, so no ticker ends below the grid's stationary points.
+one decayed sum, so a trial point costs a few operations a row. A ticker's returns are a vector (see plans/along.py): a grid is
+tried first, which holds that of `garch_volatility`. From its best point each ticker then searches on its own: every round tries
+the eight points around it, and its steps halve once no neighbour is better. A point is replaced by a
+likelier one only, so no ticker ends below the grid's stationary points. All rounds of a ticker run in the task that holds it.
 
 Defined results: null returns are skipped; a ticker whose likelihood is undefined (no move at all) has null parameters and
-its realised volatility; an empty table stays empty.
+its realised volatility; rows without a ticker keep the best grid point, with no constant term and their realised volatility; an
+empty table stays empty.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
-from panelcast.operators.series_vol import squared_shocks
-from panelcast.plans.dealing import dealt
-from panelcast.plans.materialize import broadcast_if_small, materialize
+from panelcast.functions.vectors import decayed
+from panelcast.plans.along import Series, along_series, doubles
 
 # Where the search starts. `LEVELS` are long-run variances as shares of the mean square.
 BETAS = (0.70, 0.80, 0.85, 0.88, 0.91, 0.94, 0.965, 0.98)
@@ -28,65 +29,86 @@ MOST_PERSISTENCE = 0.9995
 ROUNDS = 12
 FIRST_STEP = math.log(1.5)
 
-
-def variance(alpha: Column, beta: Column, level: Column, decayed: Column, kept: Column) -> Column:
-    """s after a number of recursions, given the decayed sum of the squares and beta to the power of that number."""
-    return F.col("__v") * (level * (1 - alpha - beta) / (1 - beta) * (1 - kept) + kept) + decayed * alpha
-
-
-def _loss(alpha: Column, beta: Column, level: Column) -> Column:
-    """Aggregate: minus twice the log likelihood but for a constant; null outside the bounds."""
-    now = variance(alpha, beta, level, F.col("__l"), F.col("__kept"))
-    return F.sum(F.when((now > 0) & (alpha + beta <= MOST_PERSISTENCE), F.ln(now) + F.col("__x") / now))
-
-
-def _least(losses: list[str], points: list[tuple[Column, Column, Column]]) -> Column:
-    """The point (loss, alpha, beta, level) of least loss, null if none has one."""
-    found = [F.struct(F.col(n).alias("loss"), a.alias("alpha"), b.alias("beta"), v.alias("level")) for n, (a, b, v) in zip(losses, points)]
-    return F.array_min(F.filter(F.array(*found), lambda p: p["loss"].isNotNull()))
-
-
-def _start(rows: DataFrame, horizon: int) -> DataFrame:
-    """(ticker, best, grid_loss, realised): the best grid point. One row for each return and beta enters the partial sums."""
-    each = F.explode(F.array(*[F.struct(
-        F.lit(b).alias("beta"), F.col(f"__l{i}").alias("__l"), F.pow(F.lit(b), F.col("__t") - 1).alias("__kept")) for i, b in enumerate(BETAS)]))
-    tried = rows.select("ticker", "r", "__x", "__v", each.alias("__of")).select("ticker", "r", "__x", "__v", "__of.*")
-    grid = [(F.lit(a), F.col("beta"), F.lit(v)) for v in LEVELS for a in ALPHAS]
-    losses = [f"__loss{k}" for k in range(len(grid))]
-    targeted = LEVELS.index(1.0) * len(ALPHAS)
-    sums = tried.groupBy("ticker", "beta").agg(*[_loss(*p).alias(n) for p, n in zip(grid, losses)], F.stddev_samp("r").alias("sd"))
-    return sums.groupBy("ticker").agg(
-        F.min(_least(losses, grid)).alias("best"),
-        F.min(F.array_min(F.array(*losses[targeted : targeted + len(ALPHAS)]))).alias("grid_loss"),
-        (F.max("sd") * F.sqrt(F.lit(float(horizon)))).alias("realised"))
+Point = tuple[float, float, float, float]  # loss, alpha, beta, level
+
+
+class _Recursion:
+    """The returns of one ticker, for trial points of one beta."""
+
+    def __init__(self, x: np.ndarray, beta: float):
+        self.x, self.beta, self.v = x, beta, float(np.mean(x))
+        self.decayed = decayed(x, beta)
+        kept = beta ** np.arange(len(x) + 1.0)
+        self.kept, self.after = kept[:-1], float(kept[-1])
+        self.before = np.r_[0.0, self.decayed[:-1]]
+        self.free, self.fixed = self.v * (1 - self.kept) / (1 - beta), self.v * self.kept
+
+    def best(self, points: list[tuple[float, float]]) -> Point | None:
+        """The likeliest of (alpha, level), ties by the least alpha, then level; None if none has a likelihood."""
+        inside = [p for p in points if p[0] + self.beta <= MOST_PERSISTENCE]
+        found = [(loss, a, self.beta, level) for (a, level), loss in zip(inside, self.losses(inside)) if not math.isnan(loss)]
+        return min(found, default=None)
+
+    def losses(self, points: list[tuple[float, float]]) -> list[float]:
+        """Minus twice the log likelihood but for a constant; NaN where no variance is positive."""
+        if not points:
+            return []
+        alpha, level = (np.array(c)[:, None] for c in zip(*points))
+        now = (level * (1 - alpha - self.beta)) * self.free + self.fixed + alpha * self.before
+        if now.min() > 0:
+            return (np.log(now).sum(1) + (self.x / now).sum(1)).tolist()
+        there = now > 0
+        now = np.where(there, now, 1.0)
+        sums = np.where(there, np.log(now) + self.x / now, 0.0).sum(1)
+        return np.where(there.any(1), sums, np.nan).tolist()
+
+    def path(self, alpha: float, level: float, horizon: int) -> float:
+        """The sum of the variances of the next rows."""
+        far, persistence = self.v * level, alpha + self.beta
+        ahead = self.v * (level * (1 - persistence) / (1 - self.beta) * (1 - self.after) + self.after) + self.decayed[-1] * alpha
+        return far * horizon + (ahead - far) * (1 - persistence**horizon) / (1 - persistence)
+
+
+def _searched(at: _Recursion, best: Point, rounds: int) -> Point:
+    step = FIRST_STEP
+    for _ in range(rounds):
+        _, alpha, _, level = best
+        found = at.best([(alpha * math.exp(step * i), level * math.exp(step * j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+        if found and found[0] < best[0]:
+            best = found
+        else:
+            step /= 2
+    return best
+
+
+def _fitted(r: np.ndarray, horizon: int, rounds: int, known: bool) -> dict[str, float]:
+    x, nan = r * r, math.nan
+    spread = float(np.std(r, ddof=1)) * math.sqrt(horizon) if len(r) > 1 else nan
+    grid = [(a, level) for level in LEVELS for a in ALPHAS]
+    best, targeted = None, nan
+    for beta in BETAS:
+        at = _Recursion(x, beta)
+        losses = at.losses(grid)
+        for (a, level), loss in zip(grid, losses):
+            if a + beta <= MOST_PERSISTENCE and not math.isnan(loss):
+                best = min(best or (loss, a, beta, level), (loss, a, beta, level))
+                targeted = min(loss if math.isnan(targeted) else targeted, loss) if level == 1.0 else targeted
+    if best is None:
+        return {"omega": nan, "alpha": nan, "beta": nan, "loss": nan, "grid_loss": targeted, "volatility": spread}
+    omega = nan
+    if known:
+        at = _Recursion(x, best[2])
+        best = _searched(at, best, rounds)
+        omega, spread = at.v * best[3] * (1 - best[1] - best[2]), math.sqrt(at.path(best[1], best[3], horizon))
+    return {"omega": omega, "alpha": best[1], "beta": best[2], "loss": best[0], "grid_loss": targeted, "volatility": spread}
 
 
 def garch_fit(returns: DataFrame, horizon: int, order: str = "date", rounds: int = ROUNDS) -> DataFrame:
     """(ticker, omega, alpha, beta, loss, grid_loss, volatility): the likeliest point found, its loss and that of the best
     grid point with the mean square as long-run variance, and the h-step volatility."""
-    kept = materialize(returns.where(F.col("r").isNotNull()).select("ticker", order, "r"), "garch-returns")
-    # Sixteen decayed sums a row: they are computed for each of their two readers and not written.
-    rows = squared_shocks(dealt(kept), list(BETAS), order)
-    points = materialize(_start(rows, horizon).withColumn("step", F.lit(FIRST_STEP)), "garch-points")
-    # From here on each ticker keeps its beta, and of the decayed sums only the one of that beta.
-    alpha, beta, level, step = (F.col(c) for c in ("best.alpha", "best.beta", "best.level", "step"))
-    of_beta = lambda kind: F.coalesce(*[F.when(beta == b, F.col(f"__{kind}{i}")) for i, b in enumerate(BETAS)])
-    own = materialize(rows.join(broadcast_if_small(points.where("best IS NOT NULL")), "ticker").select(
-        "ticker", "__t", "__x", "__v", "__last", of_beta("l").alias("__l"), of_beta("d").alias("__d"), F.pow(beta, F.col("__t") - 1).alias("__kept")), "garch-rows")
-    around = [(alpha * F.exp(step * i), beta, level * F.exp(step * j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-    losses = [f"__loss{k}" for k in range(len(around))]
-    for _ in range(rounds):
-        # One row for each ticker: sent to the rows, which stay where they are.
-        sums = own.join(broadcast_if_small(points.select("ticker", "best", "step")), "ticker").groupBy("ticker").agg(*[_loss(*p).alias(n) for p, n in zip(around, losses)])
-        tried = points.join(sums, "ticker", "left").withColumn("found", _least(losses, around))
-        better = F.coalesce(F.col("found.loss") < F.col("best.loss"), F.lit(False))
-        points = materialize(tried.select(
-            "ticker", F.when(better, F.col("found")).otherwise(F.col("best")).alias("best"), "grid_loss", "realised",
-            F.when(better, step).otherwise(step / 2).alias("step")), "garch-points")
-    ends = points.join(own.where("__last").select("ticker", "__v", "__d", "__kept"), "ticker", "left")
-    far, persistence = F.col("__v") * level, alpha + beta
-    ahead = variance(alpha, beta, level, F.col("__d"), F.col("__kept") * beta)
-    path_sum = far * horizon + (ahead - far) * (1 - F.pow(persistence, F.lit(float(horizon)))) / (1 - persistence)
-    return ends.select(
-        "ticker", (far * (1 - persistence)).alias("omega"), alpha.alias("alpha"), beta.alias("beta"),
-        F.col("best.loss").alias("loss"), "grid_loss", F.coalesce(F.sqrt(path_sum), "realised").alias("volatility"))
+    def work(s: Series) -> Series | None:
+        r = s["r"][~np.isnan(s["r"])]
+        return {n: np.array([v]) for n, v in _fitted(r, horizon, rounds, bool(s["known"][0])).items()} if len(r) else None
+
+    rows = returns.select("ticker", order, "r", F.col("ticker").isNotNull().alias("known"))
+    return along_series(rows, work, doubles(["omega", "alpha", "beta", "loss", "grid_loss", "volatility"]), order=order)

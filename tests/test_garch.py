@@ -80,3 +80,28 @@ def test_dead_short_and_empty_series(spark, fitted):
     assert got.volatility["DEAD"] == 0.0 and np.isnan(got.alpha["DEAD"])
     assert got.alpha["ONE"] > 0
     assert garch_fit(spark.createDataFrame([], "ticker string, date date, r double"), 21).count() == 0
+
+
+def test_all_rounds_of_a_ticker_run_in_one_pass(spark):
+    """No round is a scan of its own, and nothing is written between them."""
+    import os
+
+    from panelcast.plans.materialize import run_folder
+
+    os.makedirs(run_folder(spark), exist_ok=True)
+    before = set(os.listdir(run_folder(spark)))
+    series = {t: simulated(*p, n=300, seed=i) for i, (t, p) in enumerate(TRUE.items())}
+    rows = [(t, d, float(x)) for t, r in series.items() for d, x in zip(pd.bdate_range("2010-01-01", periods=300).date, r)]
+    fit = garch_fit(spark.createDataFrame(rows, "ticker string, date date, r double"), 21)
+    assert fit._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.ticker: r for r in fit.collect()}
+    for t, r in series.items():
+        assert got[t].loss == pytest.approx(loss(r, got[t].omega, got[t].alpha, got[t].beta), rel=1e-9)
+    assert set(os.listdir(run_folder(spark))) == before
+
+
+def test_a_series_without_a_ticker_keeps_its_grid_point(spark):
+    r = simulated(*TRUE["CALM"], n=200)
+    rows = [(None, d, float(x)) for d, x in zip(pd.bdate_range("2010-01-01", periods=200).date, r)]
+    got = garch_fit(spark.createDataFrame(rows, "ticker string, date date, r double"), 21).first()
+    assert got.omega is None and got.alpha in (0.03, 0.05, 0.10, 0.18) and got.volatility == pytest.approx(np.std(r, ddof=1) * 21**0.5)
