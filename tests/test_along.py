@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelcast.config import ForecastConfig
 from panelcast.functions.numbers import rounded_double
-from panelcast.functions.vectors import Frames, decayed, ewm, rolling_deviation, shifted
+from panelcast.functions.vectors import decayed, ewm, powers_of, rolling_deviation, rolling_extreme, rolling_sum, shifted
+from panelcast.functions.windows import Rolling, in_blocks, series, with_ewm, with_rolling
 from panelcast.operators.features import compute_features, flagged_columns
 from panelcast.operators.panel import modelling_table, panel_from_features, sliding_windows
 from panelcast.operators.quality import clean
@@ -29,15 +30,29 @@ def test_vectors_match_pandas():
     x[300] = np.nan
     s = pd.Series(x)
     for n in (1, 2, 7, 14, 20, 50, 200, 252):
-        np.testing.assert_allclose(Frames(x, np.add).last(n), s.rolling(n).sum(), rtol=1e-12)
-        np.testing.assert_array_equal(Frames(x, np.maximum).last(n), s.rolling(n).max())
-        np.testing.assert_array_equal(Frames(x, np.minimum).last(n), s.rolling(n).min())
-    np.testing.assert_allclose(rolling_deviation(x, Frames(x, np.add).last(20) / 20, 20), s.rolling(20).std(), rtol=1e-9)
+        np.testing.assert_allclose(rolling_sum(x, n), s.rolling(n).sum(), rtol=1e-12)
+        np.testing.assert_array_equal(rolling_extreme(x, np.maximum, n), s.rolling(n).max())
+        np.testing.assert_array_equal(rolling_extreme(x, np.minimum, n), s.rolling(n).min())
+    np.testing.assert_allclose(rolling_deviation(x, 20), s.rolling(20).std(), rtol=1e-9)
     np.testing.assert_allclose(ewm(x[301:], 26), s[301:].ewm(span=26, adjust=False).mean(), rtol=1e-12)
     assert np.isnan(ewm(x[300:], 12)[0]) and len(decayed(x[:0], 0.9)) == 0
     np.testing.assert_array_equal(shifted(x[:3], -5), [np.nan] * 3)
 
 
+def test_vectors_are_the_windows_to_the_last_bit(spark):
+    """The forest draws rows by a hash of their features."""
+    x = np.round(np.random.default_rng(3).normal(50, 20, 1100), 4)
+    df = spark.createDataFrame([("A", i, float(v)) for i, v in enumerate(x)], "ticker string, date int, x double")
+    rolled = with_rolling(df, [Rolling(f"s{n}", "sum", "x", n) for n in (10, 14, 20, 50, 200)], series())
+    sd = rolled.withColumn("sd", F.when(F.col("date") >= 19, F.stddev_samp("x").over(series().rowsBetween(-19, 0))))
+    got = with_ewm(in_blocks(sd), [("e9", "x", 9), ("e26", "x", 26)]).orderBy("date").toPandas()
+    for n in (10, 14, 20, 50, 200):
+        np.testing.assert_array_equal(got[f"s{n}"].to_numpy(float), rolling_sum(x, n))
+    np.testing.assert_array_equal(got.sd.to_numpy(float), rolling_deviation(x, 20))
+    for n in (9, 26):
+        np.testing.assert_array_equal(got[f"e{n}"].to_numpy(float), ewm(x, n, powers_of(spark, (9, 26))))
+
+
 def test_a_series_is_whole_however_batches_are_cut(spark):
     rows = [(k, date(2024, 1, 1) + timedelta(days=i), float(i)) for k, n in (("A", 25), (None, 7), ("B", 1), ("C", 40)) for i in range(n)]
     df = spark.createDataFrame(rows, "ticker string, date date, x double").repartition(5)
